@@ -11,20 +11,29 @@ from rankspark.functions.text import is_digits, is_letter
 NUMBER_MARKS = ["n", "no", "numero"]
 
 
+def _with_neighbours(words: Column, f) -> Column:
+    """Map ``f(word, previous, next)``; a missing neighbour is null."""
+    n = F.size(words)
+    none = F.array(F.lit(None).cast("string"))
+    previous = F.concat(none, F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))))
+    following = F.concat(F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))), none)
+    around = F.arrays_zip(words.alias("w"), previous.alias("p"), following.alias("f"))
+    return F.transform(around, lambda e: f(e["w"], e["p"], e["f"]))
+
+
 def drop_repeated_symbols(words: Column) -> Column:
     """Drop a ``-`` or ``#`` that follows the same symbol."""
-    return F.filter(
-        words, lambda w, i: ~(w.isin("-", "#") & (i > 0) & (F.get(words, i - 1) == w))
+    kept = _with_neighbours(
+        words, lambda w, p, _: F.when(w.isin("-", "#") & F.equal_null(w, p), F.lit(None)).otherwise(w)
     )
+    return F.filter(kept, lambda w: w.isNotNull())
 
 
 def number_symbol(words: Column) -> Column:
     """``n``, ``no`` or ``numero`` in front of a number becomes ``#``."""
-    return F.transform(
+    return _with_neighbours(
         words,
-        lambda w, i: F.when(
-            w.isin(NUMBER_MARKS) & F.coalesce(is_digits(F.get(words, i + 1)), F.lit(False)), "#"
-        ).otherwise(w),
+        lambda w, _, f: F.when(w.isin(NUMBER_MARKS) & F.coalesce(is_digits(f), F.lit(False)), "#").otherwise(w),
     )
 
 
@@ -54,11 +63,8 @@ def glue_tokens(words: Column) -> Column:
     Each word is tested against the original word before it, so the text can be built
     by choosing, for every word, whether a space goes in front of it.
     """
-    pieces = F.transform(
-        words,
-        lambda w, i: F.when(i == 0, w)
-        .when(_glues(w, F.get(words, i - 1)), w)
-        .otherwise(F.concat(F.lit(" "), w)),
+    pieces = _with_neighbours(
+        words, lambda w, p, _: F.when(p.isNull() | _glues(w, p), w).otherwise(F.concat(F.lit(" "), w))
     )
     return F.array_join(pieces, "")
 

@@ -17,6 +17,11 @@ STATISTIC_WIDTH = 41
 NULL_FEATURES = ("null", "nullLtrFeatures")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def reindex_table() -> dict[int, int]:
     """Old index -> new index: 1-36 without the skipped ones, then 36, then 64-68."""
     kept = [i for i in range(1, 37) if i not in SKIPPED_INDEXES] + [36] + list(range(64, 69))
@@ -33,21 +38,23 @@ def parse_features(c: Column, cap: int = FEATURE_CAP) -> Column:
     value = lambda text: F.round(text.cast("double"), 7)
     indexed = F.filter(
         F.transform(
-            tokens,
-            lambda t: F.struct(
-                F.get(F.split(t, ":"), 0).cast("int").alias("i"), value(F.get(F.split(t, ":"), 1)).alias("v")
-            ),
+            F.transform(tokens, lambda t: F.split(t, ":")),
+            lambda kv: F.struct(F.get(kv, 0).cast("int").alias("i"), value(F.get(kv, 1)).alias("v")),
         ),
         lambda e: e.i <= cap,
     )
-    last = F.filter(
-        indexed,
-        lambda e, at: ~F.exists(F.slice(indexed, at + 2, F.lit(cap)), lambda later: later.i == e.i),
-    )
+
+    def last_wins(entries: Column) -> Column:
+        names = F.array_distinct(entries["i"])
+        repaired = F.transform(
+            names, lambda i: F.struct(i.alias("i"), F.element_at(F.filter(entries, lambda e: e.i == i), -1).v.alias("v"))
+        )
+        return F.map_from_entries(F.when(F.size(names) == F.size(entries), entries).otherwise(repaired))
+
     plain = F.transform(tokens, lambda t, at: F.struct((at + 1).alias("i"), value(t).alias("v")))
-    return F.when(c.isNotNull() & ~c.isin(*NULL_FEATURES), F.map_from_entries(
-        F.when(c.contains(":"), last).otherwise(plain)
-    ))
+    return F.when(c.isNotNull() & ~c.isin(*NULL_FEATURES), F.when(
+        c.contains(":"), let(indexed, last_wins)
+    ).otherwise(F.map_from_entries(plain)))
 
 
 def malformed_tokens(c: Column) -> Column:
@@ -57,8 +64,9 @@ def malformed_tokens(c: Column) -> Column:
 
 def densify(features: Column, show_pos: Column, cap: int = FEATURE_CAP) -> Column:
     """Fixed-width array with 0.0 for missing features; slot 0 holds the show position."""
-    at = lambda i: F.coalesce(F.try_element_at(features, i.cast("int")), F.lit(0.0))
-    rest = F.transform(F.sequence(F.lit(1), F.lit(cap)), at)
+    rest = let(features, lambda m: F.transform(
+        F.sequence(F.lit(1), F.lit(cap)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))
+    ))
     return F.concat(F.array(show_pos.cast("double")), rest)
 
 
@@ -75,15 +83,15 @@ def reindex(features: Column, match_ratio: Column) -> Column:
     """Selected features moved to their new slots; feature 28 in thousands, match ratio last."""
     slots = {new: old for old, new in reindex_table().items()}
 
-    def slot(i: int) -> Column:
+    def slot(m: Column, i: int) -> Column:
         if i == REINDEXED_WIDTH:
             return match_ratio.cast("double")
         if i not in slots:
             return F.lit(0.0)
-        v = F.try_element_at(features, F.lit(slots[i]))
+        v = F.try_element_at(m, F.lit(slots[i]))
         return F.coalesce(v / 1000 if slots[i] == 28 else v, F.lit(0.0))
 
-    return F.array(*[slot(i) for i in range(1, REINDEXED_WIDTH + 1)])
+    return let(features, lambda m: F.array(*[slot(m, i) for i in range(1, REINDEXED_WIDTH + 1)]))
 
 
 def median_ratio_log(x: Column, median: Column, low: Column) -> Column:

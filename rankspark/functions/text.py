@@ -95,20 +95,21 @@ def has_control_chars(c: Column) -> Column:
 
 def char_trigrams(c: Column) -> Column:
     """Overlapping three-character substrings of the lower-cased text; shorter text yields itself."""
-    low = F.lower(c)
-    n = F.length(low)
-    return F.when(n < 3, F.filter(F.array(low), lambda x: x != "")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: low.substr(i, F.lit(3)))
+    chars = F.split(F.lower(c), "")
+    n = F.greatest(F.size(chars) - 2, F.lit(0))
+    grams = F.zip_with(
+        F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b)),
+        F.slice(chars, F.lit(3), n),
+        lambda ab, c: F.concat(ab, c),
     )
+    low = F.lower(c)
+    return F.when(F.length(low) < 3, F.filter(F.array(low), lambda x: x != "")).otherwise(grams)
 
 
 def word_bigrams(words: Column) -> Column:
-    n = F.size(words)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-            lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)),
-        )
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions import text
-from rankspark.operators.skew import salted_join
+from rankspark.operators.skew import attach
 
 # BM25 parameters.
 K1 = 1.2
@@ -45,7 +45,7 @@ def tfidf(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     """(key, term, tf, weight) over a corpus of documents with unique keys."""
     tf = term_frequencies(docs, key, terms)
     idf = inverse_frequencies(tf, docs.count())
-    return salted_join(tf, idf, ["term"]).select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+    return attach(tf, idf, ["term"]).select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def text_vectors(corpus: DataFrame, terms: Terms, out: str) -> DataFrame:
@@ -61,13 +61,9 @@ def text_vectors(corpus: DataFrame, terms: Terms, out: str) -> DataFrame:
     )
     tf = term_frequencies(distinct, "text", terms(F.col("text")))
     entry = F.struct("term", F.struct(F.col("tf").cast("double").alias("tf"), "idf"))
-    vectors = salted_join(tf, idf, ["term"]).groupBy("text").agg(
+    return attach(tf, idf, ["term"]).groupBy("text").agg(
         F.map_from_entries(F.collect_list(entry)).alias(out)
     )
-    empty = F.map_from_entries(F.array().cast(
-        "array<struct<term:string,v:struct<tf:double,idf:double>>>"
-    ))
-    return distinct.join(vectors, "text", "left").select("text", F.coalesce(out, empty).alias(out))
 
 
 def _sum(keys: Column, f) -> Column:
@@ -114,9 +110,17 @@ def mean_length(corpus: DataFrame, terms: Terms) -> float:
     return corpus.agg(F.avg(F.size(terms(F.col("text"))))).first()[0] or 1.0
 
 
-def attach(rows: DataFrame, column: str, vectors: DataFrame) -> DataFrame:
-    """Add the vector of a row's text; a text shared by very many rows is salted."""
-    return salted_join(rows, vectors.withColumnRenamed("text", column), [column], "left")
+def attach_vectors(rows: DataFrame, column: str, *vectors: DataFrame) -> DataFrame:
+    """Add the vectors of the text in ``column``; a text without terms gets empty maps."""
+    merged = vectors[0]
+    for v in vectors[1:]:
+        merged = merged.join(v, "text", "full")
+    names = [c for c in merged.columns if c != "text"]
+    empty = F.map_from_entries(F.array().cast(
+        "array<struct<term:string,v:struct<tf:double,idf:double>>>"
+    ))
+    joined = attach(rows, merged.withColumnRenamed("text", column), [column], "left")
+    return joined.withColumns({c: F.coalesce(c, empty) for c in names})
 
 
 def similarity_features(
@@ -124,11 +128,10 @@ def similarity_features(
 ) -> DataFrame:
     """The 23 similarity features of rows with ``query``, ``name`` and ``addr``, as one
     array column ``sim``; the other three inputs are corpora with a ``text`` column."""
-    r = attach(rows, "query", text_vectors(queries, unigrams, "q1"))
-    r = attach(r, "query", text_vectors(queries, bigrams, "q2"))
-    r = attach(r, "name", text_vectors(names, unigrams, "n1"))
-    r = attach(r, "name", text_vectors(names, bigrams, "n2"))
-    r = attach(r, "addr", text_vectors(addrs, unigrams, "a1"))
+    vec = text_vectors
+    r = attach_vectors(rows, "query", vec(queries, unigrams, "q1"), vec(queries, bigrams, "q2"))
+    r = attach_vectors(r, "name", vec(names, unigrams, "n1"), vec(names, bigrams, "n2"))
+    r = attach_vectors(r, "addr", vec(addrs, unigrams, "a1"))
     one = cosine_features(F.col("q1"), F.col("n1"))
     two = cosine_features(F.col("q2"), F.col("n2"))
     name_bm25 = bm25(F.col("q1"), F.col("n1"), mean_length(names, unigrams))

@@ -25,27 +25,14 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     )
 
 
-def salted_join(
-    big: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join a fact table with a table of one row per key, salting only the hot keys."""
-    keys = list(keys)
-    hot = F.broadcast(hot_groups(big, keys, hot_rows))
-    spread = big.join(hot, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(big)]), F.coalesce("_salts", F.lit(1)))
-    ).drop("_salts")
-    copies = per_key.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)).cast("bigint") - 1))
-    ).drop("_salts")
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with a derived table of one row per key.
+
+    The derived table is written first. Spark then knows its real size and broadcasts it
+    only when it is small; otherwise both join inputs are plain shuffles, which adaptive
+    execution splits when a key is hot. The rows themselves are evaluated only once.
+    """
+    return rows.join(materialise(per_key, "per-key"), list(keys), how)
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
