@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Highest feature index, tree limit, and the pass-through of re-indexed features.
@@ -193,3 +193,14 @@ def leaf_offsets(leaves_per_tree: Sequence[int]) -> list[int]:
 
 def leaf_ids(leaves: Column, offsets: Sequence[int]) -> Column:
     return F.zip_with(leaves, F.array(*[F.lit(o) for o in offsets]), lambda a, b: (a + b).cast("int"))
+
+
+def append(rows: DataFrame, extra: DataFrame, key: str, features: str, new: str) -> DataFrame:
+    """Left-join new feature maps by row key; indexes already present win."""
+    joined = rows.join(extra, key, "left")
+    fresh = F.map_filter(
+        F.col(new), lambda i, v: ~F.array_contains(F.map_keys(F.col(features)), i)
+    )
+    return joined.withColumn(
+        features, F.when(F.col(new).isNull(), F.col(features)).otherwise(F.map_concat(features, fresh))
+    ).drop(new)

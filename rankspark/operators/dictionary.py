@@ -19,11 +19,14 @@ def value_counts(rows: DataFrame, values: dict[str, Sequence[Column]]) -> DataFr
 
     An array column counts each of its elements.
     """
+    def tagged(values: Column, key: str) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(key).alias("dict_key"), v.cast("string").alias("value")))
+
     entries = []
     for key, columns in values.items():
         for c in columns:
             as_list = c if dict(rows.select(c.alias("x")).dtypes)["x"].startswith("array") else F.array(c.cast("string"))
-            entries.append(F.transform(as_list, lambda v, key=key: F.struct(F.lit(key).alias("dict_key"), v.cast("string").alias("value"))))
+            entries.append(tagged(as_list, key))
     return (
         rows.select(F.inline(F.concat(*entries)))
         .where(F.col("value").isNotNull())

@@ -66,7 +66,7 @@ def clicked_against_rest(rows: DataFrame, key: str, columns: Sequence[str]) -> D
 def top_with_all(rows: DataFrame, key: str, columns: Sequence[str], require_positive: bool = False) -> DataFrame:
     """The item with the highest label (first listed on ties) with every item, itself included."""
     order = F.struct((-F.col("label")).alias("a"), "show_pos", "impression_id")
-    top = first_by(rows, key, F.struct("label", *columns), order, "_top")
+    top = first_by(rows, key, F.struct(*dict.fromkeys(["label", *columns])), order, "_top")
     if require_positive:
         top = top.where(F.col("_top.label") == CLICKED)
     top = top.select(key, *[F.col(f"_top.{c}").alias(f"pos_{c}") for c in columns])

@@ -149,3 +149,19 @@ def dummies(train: DataFrame, df: DataFrame, columns: Sequence[str], max_levels:
         for v in sorted(levels, key=str):
             added[f"{c}_{v}"] = F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
     return df.withColumns(added)
+
+
+def group_medians(long: DataFrame, key: str, value: str, out: str = "median") -> DataFrame:
+    """Exact median per key from positions among the counts per distinct value."""
+    counts = long.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sums(counts, [F.col(key), F.col(value)], {"_upto": "_n"})
+    totals = counts.groupBy(key).agg(F.sum("_n").alias("_total"))
+    # Ranks run over all keys in order; a key's own ranks start after the keys before it.
+    first = ranked.groupBy(key).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"))
+    at = ranked.join(first, key).join(totals, key).select(
+        key, F.col(value).cast("double").alias("v"), "_total",
+        (F.col("_upto") - F.col("_start")).alias("upto"), F.col("_n").alias("n"),
+    )
+    holds = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("v")))
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    return at.groupBy(key).agg(((holds(low) + holds(high)) / 2).alias(out))

@@ -96,7 +96,7 @@ def main(args):
                 problems, rows = [], len(df.collect())
         except Exception:
             text = traceback.format_exc()
-            problems, rows = [text[:200] + " ... " + text[-1500:]], -1
+            problems, rows = [text[:150] + " ... " + text[-700:]], -1
         kind = "sql" if n in oracles else "rows"
         print(f"{'FAIL' if problems else 'ok  '} {n:28s} {kind:4s} {rows:8d} rows {time.time() - t:6.2f}s", flush=True)
         for p in problems:
