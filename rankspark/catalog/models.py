@@ -1 +1,131 @@
-"""Checks."""
+"""Model checks. Fits are not expressible in SQL, so most give rows only; every one trains
+on whole tables, with few iterations."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from rankspark.catalog.registry import check, ints
+from rankspark.functions import features
+from rankspark.operators import models, pairs, profile, sampling
+from rankspark.sources import tables
+
+
+def click_rows(spark, d):
+    """Click table with log-scaled value and the hour as features."""
+    c = tables.clicks(spark, d)
+    return models.training_rows(c, "isclk", [F.log1p("dclk"), F.col("hr") / 24])
+
+
+def ranking_rows(spark, d):
+    """Impressions with their four ranking features; clicked or not is the label."""
+    f = features.parse_features(F.col("ltr_features"))
+    dense = F.slice(features.densify(f, F.lit(0), 4), 2, 4)
+    return tables.impressions(spark, d).select(
+        "search_uid", "impression_id", "query_type", "show_pos", (F.col("label") == 2).cast("double").alias("label"),
+        dense.alias("x"),
+    ).withColumn("features", array_to_vector("x"))
+
+
+def _fitted(spark, d, penalty):
+    rows = click_rows(spark, d)
+    model = models.logistic(rows, penalty, max_iter=20)
+    return models.probability(model, rows).select(
+        "cid", "isclk", F.round("p", 6).alias("p"), (F.col("p") > 0.5).cast("int").alias("predicted")
+    )
+
+
+@check("lr_l2")
+def lr_l2(spark, d):
+    return _fitted(spark, d, "l2")
+
+
+@check("lr_l1")
+def lr_l1(spark, d):
+    return _fitted(spark, d, "l1")
+
+
+@check("weight_histogram")
+def weight_histogram(spark, d):
+    model = models.logistic(click_rows(spark, d), "l2", max_iter=20)
+    return profile.histogram(models.coefficients(model, ["log_dclk", "hour"]), "weight")
+
+
+def _trees(rows, trees=5, depth=3):
+    split = rows.withColumns({
+        "is_validation": sampling.unit_hash(F.col("impression_id"), 1) < 0.2,
+        "weight": F.when(F.col("label") == 1, models.POSITIVE_WEIGHT).otherwise(1.0),
+    })
+    return models.boosted_trees(trees, depth, validation="is_validation", weight="weight").fit(split)
+
+
+@check("gbt_train")
+def gbt_train(spark, d):
+    rows = ranking_rows(spark, d)
+    return models.probability(_trees(rows), rows).select("impression_id", "label", F.round("p", 6).alias("p"))
+
+
+@check("gbt_leaves")
+def gbt_leaves(spark, d):
+    rows = ranking_rows(spark, d)
+    return models.with_leaves(_trees(rows), rows).select(
+        "impression_id", ints("leaves").alias("leaves"), F.round("tree_score", 6).alias("tree_score")
+    )
+
+
+@check("pairwise_lr")
+def pairwise_lr(spark, d):
+    rows = ranking_rows(spark, d)
+    both = pairs.positive_negative(rows, "search_uid", ["query_type"], ["x"], F.col("label") == 1)
+    start = F.col("query_type") == 4
+    fitted = models.pairwise_logistic(both, "pos_x", "neg_x", {"start": start, "end": ~start})
+    out = None
+    for task, model in fitted.items():
+        w = models.coefficients(model, ["f1", "f2", "f3", "f4"]).withColumn("task", F.lit(task))
+        out = w if out is None else out.unionByName(w)
+    return out
+
+
+SQL_LEVELS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@check("dummies", "tabular", f"""
+SELECT id, {', '.join(f"CASE WHEN seg_cat = '{v}' THEN 1 ELSE 0 END AS seg_cat_{v}" for v in SQL_LEVELS)} FROM tabular""")
+def dummies(spark, d):
+    # Levels come from the rows with a target of 1; all segments occur there.
+    t = tables.tabular(spark, d)
+    wide = profile.dummies(t.where("target = 1"), t, ["seg_cat"])
+    return wide.select("id", *[c for c in wide.columns if c.startswith("seg_cat_")])
+
+
+@check("oof_stacking")
+def oof_stacking(spark, d):
+    t = profile.impute_mode(tables.tabular(spark, d), ["nation_cat", "bal"])
+    rows = models.training_rows(t, "target", ["nation_cat", "bal", "ps_calc_01"]).drop("label")
+    part = sampling.train_test(F.col("id"))
+    estimators = {
+        "lr": lambda: LogisticRegression(maxIter=10),
+        "gbt": lambda: models.boosted_trees(3, 3),
+    }
+    oof, test = models.stack(
+        rows.where(part == "train"), rows.where(part == "test"), "id", "target", estimators, k=5
+    )
+    shown = lambda df, kind: df.select(
+        "id", F.lit(kind).alias("part"), F.round("lr", 6).alias("lr"), F.round("gbt", 6).alias("gbt")
+    )
+    return shown(oof, "train").unionByName(shown(test, "test"))
+
+
+@check("fm_train")
+def fm_train(spark, d):
+    # One-hot ids of city, layer and category position, as sparse vectors.
+    im = tables.impressions(spark, d)
+    ids = F.array(F.col("city_id"), F.col("layer") + 30, F.col("query_type") + 90)
+    dense = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.array_contains(F.col("ids"), i).cast("double"))
+    rows = im.select("impression_id", (F.col("label") == 2).cast("double").alias("label"), ids.alias("ids")).withColumn(
+        "features", array_to_vector(dense)
+    )
+    model = models.factorisation(4, max_iter=5).fit(rows)
+    return models.probability(model, rows).select("impression_id", F.round("p", 6).alias("p"))

@@ -192,7 +192,7 @@ def sink_examples(spark, d):
     return spark.read.parquet(path).select("impression_id", "label", F.round("score", 9).alias("score"))
 
 
-@check("sink_single", "impressions", "SELECT country_code, count(*) AS n, sum(label) AS labels FROM impressions GROUP BY country_code")
+@check("sink_single", "impressions", "SELECT country_code, count(*) AS n, CAST(sum(label) AS BIGINT) AS labels FROM impressions GROUP BY country_code")
 def sink_single(spark, d):
     path = new_path(spark, "merged")
     files.write_compact(tables.impressions(spark, d).select("country_code", "label"), path)
@@ -242,7 +242,7 @@ def vectors_typed_union(spark, d):
 
 @check("sample_projections", "impressions", """
 SELECT 'lengths' AS kind, search_uid AS k, count(*) AS n, 0 AS s FROM impressions GROUP BY search_uid
-UNION ALL SELECT 'labels', CAST(label AS STRING), count(*), sum(label) FROM impressions GROUP BY label
+UNION ALL SELECT 'labels', CAST(label AS STRING), count(*), CAST(sum(label) AS BIGINT) FROM impressions GROUP BY label
 UNION ALL SELECT 'features', CAST(label AS STRING), count(*), CAST(sum(f1) AS BIGINT) FROM impressions GROUP BY label""")
 def sample_projections(spark, d):
     im = tables.impressions(spark, d)
@@ -269,7 +269,7 @@ def route_predictions(spark, d):
 
 
 @check("merge_shuffle", "impressions", """
-SELECT country_code, count(*) AS n, count(DISTINCT impression_id) AS n_ids, sum(label) AS labels FROM impressions GROUP BY country_code""")
+SELECT country_code, count(*) AS n, count(DISTINCT impression_id) AS n_ids, CAST(sum(label) AS BIGINT) AS labels FROM impressions GROUP BY country_code""")
 def merge_shuffle(spark, d):
     path = new_path(spark, "countries")
     tables.impressions(spark, d).select("impression_id", "label", "country_code").write.partitionBy("country_code").parquet(path)

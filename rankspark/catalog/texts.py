@@ -221,7 +221,7 @@ idf AS (SELECT gram, term, ln(((SELECT count(*) FROM texts) + 1) / (count(*) + 1
 
 @check("tfidf_terms", "texts", f"""
 WITH {SQL_TERM_WEIGHTS}
-SELECT doc_id, gram, count(*) AS n_terms, sum(tf) AS n_words, round(sum(tf * idf), 4) AS total_weight,
+SELECT doc_id, gram, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_words, round(sum(tf * idf), 4) AS total_weight,
   round(max(tf * idf), 6) AS max_weight FROM tf JOIN idf USING (gram, term) GROUP BY doc_id, gram""")
 def tfidf_terms(spark, d):
     docs = tables.texts(spark, d)

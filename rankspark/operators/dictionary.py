@@ -77,15 +77,15 @@ def look_up(rows: DataFrame, dictionary: DataFrame, fields: dict[str, tuple[str,
     }
     for name, (column, key) in fields.items():
         ids = dictionary.where(F.col("dict_key") == key).select(
-            F.col("value").alias("_value"), F.col("idx").alias(name)
+            F.col("value").alias("_entry"), F.col("idx").alias(name)
         )
         text = F.col(column).cast("string")
         fallback = F.lit(unknown.get(key, 0))
         if key == "uid":
             fallback = F.when(F.length(text) >= 8, features.user_bucket(text)).otherwise(fallback)
         out = (
-            out.join(ids, text == F.col("_value"), "left")
+            out.join(ids, text == F.col("_entry"), "left")
             .withColumn(name, F.coalesce(name, fallback).cast("int"))
-            .drop("_value")
+            .drop("_entry")
         )
     return out

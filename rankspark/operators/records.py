@@ -73,7 +73,8 @@ def samples(log: DataFrame, threshold: int = 1) -> DataFrame:
     parsed = parse_log(dedup_lines(log))
     kept = parsed.withColumn("items", by_show_position(keep_labelled(F.col("items"), threshold)))
     kept = drop_incomplete(kept).withColumn("group_len", F.size("items"))
-    return item_rows(kept, ["group_len"]).select(
+    carried = [c for c in ("page", "dt", "country_code") if c in kept.columns]
+    return item_rows(kept, [*carried, "group_len"]).select(
         "*",
         F.col("p_label").cast("int").alias("label"),
         features.parse_features(F.col("p_ltrfeatures")).alias("features"),

@@ -106,12 +106,16 @@ def city_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
 
 def _distances(vector: Column, centres: Sequence[Sequence[float]]) -> Column:
-    """Euclidean distances to a fixed, small set of centres."""
-    literal = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
-    square = lambda c: F.aggregate(
-        F.zip_with(vector, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x
-    )
-    return F.transform(literal, lambda c: F.sqrt(square(c)))
+    """Euclidean distances to a fixed, small set of centres, a batch of vectors at a time."""
+    c = np.asarray(centres)
+
+    @F.pandas_udf("array<double>")
+    def distances(v: pd.Series) -> pd.Series:
+        x = np.vstack(v.to_numpy())
+        square = (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (x @ c.T)
+        return pd.Series(list(np.sqrt(np.maximum(square, 0.0))))
+
+    return distances(vector)
 
 
 def fit_cells(items: DataFrame, n_cells: int, seed: int = 7) -> list[list[float]]:
@@ -124,10 +128,13 @@ def fit_cells(items: DataFrame, n_cells: int, seed: int = 7) -> list[list[float]
 
 def into_cells(items: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
     """Items with their nearest cell and the distance to its centre."""
-    far = F.transform(_distances(F.col("vector"), centres), lambda x, i: F.struct(x.alias("d"), i.alias("c")))
-    return items.withColumn("_near", F.array_min(far)).select(
-        "*", F.col("_near.c").alias("cell"), F.col("_near.d").alias("centre_distance")
-    ).drop("_near")
+    far = F.transform("_d", lambda x, i: F.struct(x.alias("d"), i.alias("c")))
+    return (
+        items.withColumn("_d", _distances(F.col("vector"), centres))
+        .withColumn("_near", F.array_min(far))
+        .select("*", F.col("_near.c").alias("cell"), F.col("_near.d").alias("centre_distance"))
+        .drop("_near", "_d")
+    )
 
 
 def exact_top_k(queries: DataFrame, items: DataFrame, k: int, n_cells: int = 16) -> DataFrame:
@@ -169,11 +176,11 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, n_cells: int = 16)
 def probe_top_k(queries: DataFrame, items: DataFrame, k: int, n_cells: int = 16, n_probes: int = 4) -> DataFrame:
     """Approximate top-k: each query searches its ``n_probes`` nearest cells only."""
     centres = fit_cells(items, n_cells)
-    placed = into_cells(items, centres).select("item_id", "cell", "vector")
-    order = F.array_sort(F.transform(
-        _distances(F.col("vector"), centres), lambda x, c: F.struct(x.alias("d"), c.alias("c"))
-    ))
-    q = queries.select("query_id", "vector", F.explode(F.slice(order, 1, n_probes)).alias("e")).select(
+    placed = materialise(into_cells(items, centres).select("item_id", "cell", "vector"), "cells")
+    order = F.array_sort(F.transform("d", lambda x, c: F.struct(x.alias("d"), c.alias("c"))))
+    q = queries.withColumn("d", _distances(F.col("vector"), centres)).select(
+        "query_id", "vector", F.explode(F.slice(order, 1, n_probes)).alias("e")
+    ).select(
         "query_id", "vector", F.col("e.c").alias("cell")
     )
     return cell_top_k(q, placed, k)

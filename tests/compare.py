@@ -60,6 +60,15 @@ def differences(spark_df, con, sql):
     want_names = [d[0] for d in res.description]
     want = normal(want_names, res.fetchall())
     problems = []
+    loose = [
+        f"{r[0]} {r[1]}" for r in con.execute(f"DESCRIBE {sql}").fetchall() if r[1].startswith(("HUGEINT", "DECIMAL"))
+    ]
+    if loose:
+        problems.append(f"SQL types to cast: {loose}")
+    fractional = {f.name for f in spark_df.schema.fields if f.dataType.simpleString() in ("double", "float")}
+    fractional_sql = {r[0] for r in con.execute(f"DESCRIBE {sql}").fetchall() if r[1] in ("DOUBLE", "FLOAT")}
+    if fractional != fractional_sql:
+        problems.append(f"fractional on one side only: {sorted(fractional ^ fractional_sql)}")
     if sorted(got_names) != sorted(want_names):
         problems.append(f"columns {sorted(got_names)} <> {sorted(want_names)}")
     if len(got) != len(want):
