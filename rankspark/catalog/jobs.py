@@ -1 +1,312 @@
-"""Checks."""
+"""Checks of the sample-building jobs."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from rankspark.catalog.joins import SQL_LAST, SQL_TAKEN, item_index
+from rankspark.catalog.models import _trees
+from rankspark.catalog.numbers import SQL_KM, SQL_VOCAB, sql_fit, sql_ids, vocabulary
+from rankspark.catalog.records import SQL_NAME
+from rankspark.catalog.registry import check, ints
+from rankspark.catalog.texts import sql_normalise
+from rankspark.functions import features, geo
+from rankspark.operators import dictionary, groups, profile, records
+from rankspark.plans import jobs
+from rankspark.session import new_path
+from rankspark.sources import files, logs, tables
+
+
+def _lines(spark, df, *columns):
+    path = new_path(spark, "lines")
+    files.write_lines(df, path, *columns)
+    return files.scan_text(spark, path)
+
+
+def shown(columns):
+    return [ints(c).alias(c) for c in columns]
+
+
+@check("job_parse_log", "impressions", f"""
+WITH s AS (SELECT search_uid, date_trunc('month', min(dt)) AS m FROM impressions GROUP BY search_uid)
+SELECT search_uid, impression_id, count(*) OVER (PARTITION BY search_uid) AS group_len, label, show_pos, {SQL_NAME} AS name_address, f1, f2, f3, f4
+FROM impressions JOIN s USING (search_uid) WHERE label >= 1 AND country_code = 'AMERICA' AND m BETWEEN DATE '1993-01-01' AND DATE '1998-06-01'""")
+def job_parse_log(spark, d):
+    path = new_path(spark, "log")
+    logs.write_log(tables.search_log(spark, d), path)
+    samples = records.samples(logs.scan_log(spark, path, "1993-01-01", "1998-06-01", "AMERICA"))
+    return samples.select(
+        "search_uid", F.col("p_impression_id").alias("impression_id"), F.col("group_len").cast("bigint").alias("group_len"),
+        "label", F.col("p_show_pos").alias("show_pos"), F.col("p_name_address").alias("name_address"),
+        *[F.try_element_at("features", F.lit(i)).alias(f"f{i}") for i in range(1, 5)],
+    )
+
+
+def _located(spark, d):
+    """Impressions with name, address, features and both coordinates."""
+    name, addr = jobs.name_and_address()
+    p = tables.places(spark, d).select("poi_id", F.col("lat").alias("item_lat"), F.col("lng").alias("item_lng"))
+    s = tables.searchers(spark, d).select("uid", "lat", "lng")
+    return (
+        tables.impressions(spark, d).join(p, "poi_id").join(s, "uid")
+        .withColumns({"name": name, "addr": addr, "f": features.parse_features(F.col("ltr_features"))})
+    )
+
+
+@check("job_gbdt_samples", "impressions places searchers", f"""
+WITH p AS (SELECT *, split_part(name_address, '|', 1) AS nm, split_part(name_address, '|', 2) AS ad FROM impressions
+  QUALIFY row_number() OVER (PARTITION BY search_uid, poi_id ORDER BY show_pos, impression_id) = 1),
+k AS (SELECT i.*, {SQL_KM} AS km FROM p i JOIN places p ON p.poi_id = i.poi_id JOIN searchers s ON s.uid = i.uid)
+SELECT impression_id, count(*) OVER (PARTITION BY search_uid) AS group_len, label, 244 AS width,
+  round(1 - levenshtein(query, nm) / greatest(length(query), length(nm)), 6) AS edit_name,
+  round(1 - levenshtein(query, ad) / greatest(length(query), length(ad)), 6) AS edit_addr,
+  length(query) AS query_len, CASE WHEN query_type = 1 THEN 1 ELSE 0 END AS is_end, round(km, 4) AS km FROM k""")
+def job_gbdt_samples(spark, d):
+    order = [F.col("show_pos"), F.col("impression_id")]
+    rows = jobs.gbdt_samples(_located(spark, d), "search_uid", "poi_id", order)
+    places = tables.places(spark, d)
+    out = jobs.similarity_samples(
+        rows, rows.select(F.col("query").alias("text")).distinct(),
+        places.select(F.col("name").alias("text")), places.select(F.col("addr").alias("text")),
+    )
+    at = lambda i: F.get("dense", F.lit(i))
+    return out.select(
+        "impression_id", "group_len", "label", F.size("dense").alias("width"), F.round(at(15), 6).alias("edit_name"),
+        F.round(at(16), 6).alias("edit_addr"), at(20).cast("int").alias("query_len"), at(24).cast("int").alias("is_end"),
+        F.round(at(26), 4).alias("km"),
+    )
+
+
+def _pair_job(spark, d, keep=(), prepare=lambda df: df):
+    im = tables.impressions(spark, d)
+    counts = dictionary.value_counts(
+        im, {"uid": [F.col("uid")], "poiid": [F.col("poi_id")], "layer": [F.col("layer")]}
+    )
+    ids = dictionary.number(counts.unionByName(dictionary.unknown_rows(im, ["uid", "poiid", "layer"])))
+    f = features.parse_features(F.col("ltr_features"))
+    rows = im.withColumn("f", f).withColumn("features", array_to_vector(F.slice(features.densify(F.col("f"), F.lit(0), 4), 2, 4)))
+    model = _trees(rows.withColumn("label", (F.col("label") == 2).cast("double")), trees=3)
+    long = rows.select(F.explode("f").alias("idx", "value"))
+    stats = profile.feature_statistics(long).join(profile.group_medians(long, "idx", "value"), "idx")
+    # One row per feature index: a fixed number.
+    table = {r.idx: (r.median, r.low) for r in stats.collect()}
+    fields = {"uid_id": ("uid", "uid"), "poi_idx": ("poi_id", "poiid"), "layer_id": ("layer", "layer")}
+    return jobs.pair_samples(prepare(rows), "search_uid", ids, fields, model, table, keep)
+
+
+@check("job_pair_samples")
+def job_pair_samples(spark, d):
+    out = _pair_job(spark, d)
+    return out.select(
+        "search_uid", "impression_id", "uid_id", "poi_idx", "pos_poi_idx", "pos_label", "label",
+        *shown(["leaves", "pos_leaves"]), F.round("tree_score", 6).alias("tree_score"), F.size("scaled").alias("n_scaled"),
+    )
+
+
+@check("job_token_pair_samples")
+def job_token_pair_samples(spark, d):
+    from rankspark.functions import tokens
+    from rankspark.operators import encoding
+
+    def with_tokens(rows):
+        coded = encoding.with_ids(rows, {"query": "_q", "name_address": "_n"}, vocabulary(spark, d))
+        return coded.withColumn("token_ids", tokens.encode_pair(F.col("_q"), F.col("_n"), 60).token_ids)
+
+    out = _pair_job(spark, d, ["token_ids"], with_tokens)
+    return out.select(
+        "search_uid", "impression_id", "poi_idx", "pos_poi_idx", *shown(["token_ids", "pos_token_ids"]),
+        F.round("tree_score", 6).alias("tree_score"),
+    )
+
+
+@check("job_poi_tokens", "places", f"""
+WITH {SQL_VOCAB}, x AS (SELECT *, lower(category) || ' ' || name AS ac FROM places),
+y AS (SELECT *, addr || ' ' || array_to_string(string_split(ac, ' ')[1:32 - len(string_split(name, ' ')) - len(string_split(addr, ' '))], ' ') AS second FROM x),
+{sql_ids('y', 'poi_id', 'name', 'a')}, {sql_ids('y', 'poi_id', 'second', 'b')},
+e AS (SELECT poi_id, [4] || a.ids || [5] || b.ids || [5] AS ids FROM a JOIN b USING (poi_id))
+SELECT poi_id, CAST(city_id AS STRING) AS city, {sql_fit('ids', 32)} AS poi_token_ids, city_id AS area_id, layer AS geocode_id, CAST(layer AS DOUBLE) / 4 AS click_score,
+  concat_ws(',', layer, city_id, 0, 0) AS category_ids, '1,1,0,0' AS category_mask FROM y JOIN e USING (poi_id)""")
+def job_poi_tokens(spark, d):
+    p = tables.places(spark, d)
+    line = F.concat_ws(
+        "||", "poi_id", "name", "addr", "lng", "lat", "city_id", F.lit("55"), "city_id", "layer",
+        (F.col("layer") / 4).cast("string"), F.concat_ws("#", "layer", "city_id"), F.lit("MX"),
+        F.concat_ws(" ", F.lower("category"), "name"),
+    )
+    out = jobs.poi_tokens(_lines(spark, p, line), vocabulary(spark, d))
+    lists = ("poi_token_ids", "category_ids", "category_mask")
+    return out.select(*[c for c in out.columns if c not in lists], *shown(lists))
+
+
+def _query_lines(spark, d, extra=False):
+    im = tables.impressions(spark, d).where("label = 2")
+    fields = [
+        "search_id", "country_code", "city_id", "poi_id", "query", "name_address", F.lit(""), F.lit("0"), "impression_id",
+        F.when(F.col("layer") > 25, "origin").otherwise("deep_correct"), F.lit("q"),
+    ]
+    if extra:
+        fields += ["query_type", "city_id", "layer", F.dayofweek("dt").cast("string"), F.floor(F.pmod("search_id", F.lit(24)) / 4).cast("string")]
+    text = [F.col(c).cast("string") if isinstance(c, str) else c for c in fields]
+    return _lines(spark, im, F.lit("key"), F.concat_ws("##", *text))
+
+
+SQL_QUERY_ITEMS = f"""
+x AS (SELECT *, split_part(name_address, '|', 1) AS nm, split_part(name_address, '|', 2) AS ad FROM impressions WHERE label = 2),
+{sql_ids('x', 'impression_id', 'query', 'q')}, {sql_ids('x', 'impression_id', 'nm', 'a')}, {sql_ids('x', 'impression_id', 'ad', 'b')},
+idx AS (SELECT poi_id, row_number() OVER (ORDER BY poi_id) - 1 AS idx FROM places WHERE layer <= 40),
+t AS (SELECT x.*, idx.idx, [4] || q.ids || [5] AS qt, [4] || a.ids || [5] || b.ids || [5] AS pt
+  FROM x JOIN q USING (impression_id) JOIN a USING (impression_id) JOIN b USING (impression_id) JOIN idx USING (poi_id))"""
+
+
+@check("job_query_rows", "impressions places", f"""
+WITH {SQL_VOCAB}, {SQL_QUERY_ITEMS}
+SELECT impression_id AS uniq_id, poi_id, city_id, idx, {sql_fit('qt', 32)} AS query_token_ids, {sql_fit('pt', 32)} AS poi_token_ids FROM t WHERE length(query) >= 15""")
+def job_query_rows(spark, d):
+    idx = item_index(tables.places(spark, d).where("layer <= 40"))
+    out = jobs.query_rows(_query_lines(spark, d), vocabulary(spark, d), idx)
+    return out.select("uniq_id", "poi_id", "city_id", "idx", *shown(["query_token_ids", "poi_token_ids"]))
+
+
+@check("job_multifeature_rows", "impressions places", f"""
+WITH {SQL_VOCAB}, {SQL_QUERY_ITEMS},
+m AS (SELECT impression_id AS uniq_id, idx, query_type, city_id AS area_id, layer AS geohash_id, dayofweek(dt) + 1 AS week_bucket,
+  CAST(floor((search_id % 24) / 4) AS INT) AS day_bucket, {sql_fit('pt', 32)} AS poi_token_ids, city_id, layer FROM t)
+SELECT 'train' AS part, * EXCLUDE (city_id, layer) FROM m UNION ALL SELECT 'test', * EXCLUDE (city_id, layer) FROM m WHERE city_id = 7 AND layer > 25""")
+def job_multifeature_rows(spark, d):
+    idx = item_index(tables.places(spark, d).where("layer <= 40"))
+    lines, vocab = _query_lines(spark, d, extra=True), vocabulary(spark, d)
+    show = lambda df, part: df.select(
+        F.lit(part).alias("part"), "uniq_id", "idx", *jobs.EXTRA_COLUMNS, *shown(["poi_token_ids"])
+    )
+    train, test = (jobs.multifeature_rows(lines, vocab, idx, city) for city in (None, "7"))
+    return show(train, "train").unionByName(show(test, "test"))
+
+
+@check("job_labelled_pairs", "impressions places", f"""
+WITH {SQL_VOCAB}, x AS (SELECT *, split_part(name_address, '|', 1) AS nm, split_part(name_address, '|', 2) AS ad FROM impressions),
+{sql_ids('x', 'impression_id', 'query', 'q')}, {sql_ids('x', 'impression_id', 'nm', 'a')}, {sql_ids('x', 'impression_id', 'ad', 'b')}
+SELECT search_id AS query_idx, poi_id AS poi_idx, {sql_fit('[4] || q.ids || [5]', 32)} AS query_token_ids,
+  {sql_fit('[4] || a.ids || [5] || b.ids || [5]', 32)} AS poi_token_ids, least(label, 1) AS label, CASE WHEN label = 2 THEN 1 ELSE 0 END AS origin_label
+FROM x JOIN q USING (impression_id) JOIN a USING (impression_id) JOIN b USING (impression_id)""")
+def job_labelled_pairs(spark, d):
+    kind = F.when(F.col("label") == 2, "positive").when(F.col("label") == 1, "hard_negative").otherwise("negative")
+    im = tables.impressions(spark, d)
+    lines = _lines(
+        spark, im, F.col("search_id").cast("string"), "query", F.lit("p"), F.col("poi_id").cast("string"), "name_address", kind
+    )
+    out = jobs.labelled_pairs(lines, vocabulary(spark, d))
+    return out.select("query_idx", "poi_idx", "label", "origin_label", *shown(["query_token_ids", "poi_token_ids"]))
+
+
+SQL_TRIPLE = f"""
+x AS (SELECT impression_id, query, pos_name, name_address AS neg_name FROM impressions JOIN last USING (search_uid) WHERE label <> 2)"""
+
+
+@check("job_triplets", "impressions places", f"""
+WITH {SQL_VOCAB}, {SQL_LAST}, {SQL_TRIPLE}, s AS (SELECT *, split_part(pos_name, '|', 1) AS pn, split_part(pos_name, '|', 2) AS pa,
+  split_part(neg_name, '|', 1) AS nn, split_part(neg_name, '|', 2) AS na FROM x),
+{sql_ids('s', 'impression_id', 'query', 'q')}, {sql_ids('s', 'impression_id', 'pn', 'a')}, {sql_ids('s', 'impression_id', 'pa', 'b')},
+{sql_ids('s', 'impression_id', 'nn', 'c')}, {sql_ids('s', 'impression_id', 'na', 'e')}
+SELECT {sql_fit('[4] || q.ids || [5]', 32)} AS query_token_ids, {sql_fit('[4] || a.ids || [5] || b.ids || [5]', 32)} AS pos_token_ids,
+  {sql_fit('[4] || c.ids || [5] || e.ids || [5]', 32)} AS neg_token_ids, 1 AS label
+FROM q JOIN a USING (impression_id) JOIN b USING (impression_id) JOIN c USING (impression_id) JOIN e USING (impression_id)""")
+def job_triplets(spark, d):
+    from rankspark.operators import pairs
+
+    p = pairs.clicked_against_rest(tables.impressions(spark, d), "search_uid", ["name_address"])
+    lines = _lines(spark, p, "query", "pos_name_address", "name_address")
+    out = jobs.triplets(lines, vocabulary(spark, d))
+    return out.select("label", *shown(["query_token_ids", "pos_token_ids", "neg_token_ids"]))
+
+
+@check("job_group_triplets", "impressions places", f"""
+WITH {SQL_VOCAB}, {SQL_LAST}, {SQL_TRIPLE},
+{sql_ids('x', 'impression_id', 'query', 'q')}, {sql_ids('x', 'impression_id', 'pos_name', 'a')}, {sql_ids('x', 'impression_id', 'neg_name', 'b')}
+SELECT impression_id, {sql_fit('[4] || q.ids || [5] || a.ids || [5]', 64)} AS pos_token_ids,
+  {sql_fit('[4] || q.ids || [5] || b.ids || [5]', 64)} AS neg_token_ids, 1 AS label FROM q JOIN a USING (impression_id) JOIN b USING (impression_id)""")
+def job_group_triplets(spark, d):
+    out = jobs.group_triplets(tables.impressions(spark, d), "search_uid", "impression_id", vocabulary(spark, d))
+    return out.select("impression_id", "label", *shown(["pos_token_ids", "neg_token_ids"]))
+
+
+@check("job_rank_rows")
+def job_rank_rows(spark, d):
+    rows = _located(spark, d).withColumns({
+        "q_geo": geo.geohash(F.col("lat"), F.col("lng")), "geo": geo.geohash(F.col("item_lat"), F.col("item_lng")),
+    })
+    item = F.concat_ws(
+        "##", F.col("label").cast("string"), F.when(F.col("label") == 0, "-1").otherwise(F.col("show_pos").cast("string")),
+        "poi_id", "name_address", "item_lat", "item_lng", "category", "layer", "geo",
+    )
+    head = ["city_id", "query", "uid", "lat", "lng", "time_text", "query_type", "q_geo"]
+    searches = groups.first_by(rows, "search_uid", F.struct(*head), F.struct("show_pos", "impression_id"), "h")
+    lists = groups.gather(rows, ["search_uid"], [F.col("show_pos"), F.col("impression_id")], item)
+    lines = _lines(
+        spark, lists.join(searches, "search_uid"), F.col("h.city_id").cast("string"), "h.query", F.col("h.uid").cast("string"),
+        F.concat_ws("|", "h.lat", "h.lng"), "h.time_text", F.col("h.query_type").cast("string"), "h.q_geo", F.array_join("items", "||"),
+    )
+    keys = {"uid": ["uid"], "geo": ["q_geo", "geo"], "poiid": ["poi_id"], "cate": ["category"], "layer": ["layer"]}
+    counts = dictionary.value_counts(rows, {k: [F.col(c) for c in cs] for k, cs in keys.items()})
+    fixed = dictionary.value_counts(rows, {
+        "qtype": [F.lit("0"), F.lit("1")], "hour": [F.lit("0"), F.lit("1"), F.lit("2")],
+    })
+    unknown = dictionary.unknown_rows(rows, [*keys, "qtype", "hour"])
+    ids = dictionary.number(counts.unionByName(fixed).unionByName(unknown))
+    out = jobs.rank_rows(lines, vocabulary(spark, d), ids)
+    return out.select(
+        "query", "uid_id", "part", "new_label", "poi_id", "pos_poi_id", "n_match", "distance_id",
+        *shown(["query_token_ids", "poi_token_ids", "cross_token_ids", "pos_cross_token_ids"]),
+    )
+
+
+@check("job_union_rows")
+def job_union_rows(spark, d):
+    kind = F.when(F.col("label") == 2, "pos").when(F.col("label") == 1, "show_hard").otherwise("easy")
+    out = jobs.union_rows(_located(spark, d).withColumn("sample_type", kind), vocabulary(spark, d))
+    return out.select(
+        "impression_id", "query_side", "hour_id", "label", "quantiser_label", "layer", "distance_id",
+        F.size("dense").alias("width"), *shown(["query_token_ids", "poi_token_ids"]),
+    )
+
+
+@check("job_multitask_pairs", "order_log", f"""
+WITH {SQL_TAKEN}, st AS (SELECT avg(f1) AS m, stddev_pop(f1) AS s FROM impressions),
+z AS (SELECT t.search_uid, t.data_type, t.impression_id, t.label - 1 AS click_label, CASE t.data_type WHEN 'order' THEN t.label - 1 ELSE 0 END AS order_label,
+  round((i.f1 - st.m) / st.s, 6) AS z1 FROM taken t JOIN impressions i USING (impression_id), st)
+SELECT 'train' AS part, p.search_uid, p.data_type, p.impression_id AS pos_impression_id, n.impression_id AS neg_impression_id, p.order_label AS pos_order_label,
+  n.click_label AS neg_click_label, p.z1 AS pos_z1, n.z1 AS neg_z1 FROM z p JOIN z n USING (search_uid) WHERE p.click_label = 1 AND n.click_label <> 1
+UNION ALL SELECT 'test', search_uid, data_type, impression_id, impression_id, order_label, click_label, z1, z1 FROM z WHERE data_type = 'order'""")
+def job_multitask_pairs(spark, d):
+    im = tables.impressions(spark, d).withColumn("f", features.parse_features(F.col("ltr_features")))
+    stats = profile.feature_statistics(im.select(F.explode("f").alias("idx", "value")).where("idx = 1")).first()
+    z = F.round(features.zscore(F.try_element_at("f", F.lit(1)), F.lit(stats["mean"]), F.lit(stats["std"])), 6)
+    scaled = im.select("search_uid", "impression_id", "label", z.alias("z1"), F.lit("click").alias("data_type"))
+    order = tables.order_log(spark, d).select("search_uid", "impression_id", "label", "data_type").join(
+        scaled.select("impression_id", "z1"), "impression_id"
+    )
+    columns = ["impression_id", "z1"]
+    train = jobs.multitask_pairs(scaled, order, "search_uid", [], columns)
+    test = jobs.multitask_pairs(order, None, "search_uid", [], columns)
+    show = lambda df, part: df.select(
+        F.lit(part).alias("part"), "search_uid", "data_type", "pos_impression_id", "neg_impression_id",
+        "pos_order_label", "neg_click_label", "pos_z1", "neg_z1",
+    )
+    return show(train, "train").unionByName(show(test, "test"))
+
+
+@check("job_feature_dictionary", "impressions", f"""
+WITH q AS (SELECT search_uid, {sql_normalise('min(query)')} AS query FROM impressions GROUP BY search_uid),
+s AS (SELECT q.query, {SQL_NAME} AS na, city_id, uid, poi_id, layer, category FROM impressions JOIN q USING (search_uid)
+  WHERE label >= 1 AND country_code IN ('ASIA', 'EUROPE', 'AFRICA')),
+v AS (SELECT 'trigram' AS dict_key, unnest([substring(t, i, 3) for i in range(1, length(t) - 1)]) AS value FROM (SELECT unnest([lower(query), lower(na)]) AS t FROM s)
+  UNION ALL SELECT 'cityid', CAST(city_id AS STRING) FROM s UNION ALL SELECT 'uid', CAST(uid AS STRING) FROM s
+  UNION ALL SELECT 'poiid', CAST(poi_id AS STRING) FROM s UNION ALL SELECT 'layer', CAST(layer AS STRING) FROM s
+  UNION ALL SELECT 'category', category FROM s UNION ALL SELECT 'geohash', '[UNK]' FROM s)
+SELECT dict_key, value, count(*) AS cnt FROM v GROUP BY ALL
+UNION ALL SELECT unnest(['trigram', 'cityid', 'uid', 'comp_label_id', 'poiid', 'category', 'layer', 'geohash']), 'UNK', (SELECT count(*) FROM s)""")
+def job_feature_dictionary(spark, d):
+    path = new_path(spark, "log")
+    logs.write_log(tables.search_log(spark, d), path)
+    log = logs.union_countries(spark, path, "1992-01-01", "1998-12-01", ["ASIA", "EUROPE", "AFRICA"])
+    return jobs.feature_dictionary(records.samples(log))
