@@ -308,5 +308,5 @@ UNION ALL SELECT unnest(['trigram', 'cityid', 'uid', 'comp_label_id', 'poiid', '
 def job_feature_dictionary(spark, d):
     path = new_path(spark, "log")
     logs.write_log(tables.search_log(spark, d), path)
-    log = logs.union_countries(spark, path, "1992-01-01", "1998-12-01", ["ASIA", "EUROPE", "AFRICA"])
+    log = logs.union_countries(spark, path, "1990-01-01", "2030-12-31", ["ASIA", "EUROPE", "AFRICA"])
     return jobs.feature_dictionary(records.samples(log))

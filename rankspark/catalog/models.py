@@ -58,7 +58,9 @@ def _trees(rows, trees=5, depth=3):
         "is_validation": sampling.unit_hash(F.col("impression_id"), 1) < 0.2,
         "weight": F.when(F.col("label") == 1, models.POSITIVE_WEIGHT).otherwise(1.0),
     })
-    return models.boosted_trees(trees, depth, validation="is_validation", weight="weight").fit(split)
+    return models.boosted_trees(trees, depth, validation="is_validation", weight="weight").fit(
+        models.training_table(split)
+    )
 
 
 @check("gbt_train")
@@ -127,5 +129,5 @@ def fm_train(spark, d):
     rows = im.select("impression_id", (F.col("label") == 2).cast("double").alias("label"), ids.alias("ids")).withColumn(
         "features", array_to_vector(dense)
     )
-    model = models.factorisation(4, max_iter=5).fit(rows)
+    model = models.factorisation(4, max_iter=5).fit(models.training_table(rows))
     return models.probability(model, rows).select("impression_id", F.round("p", 6).alias("p"))

@@ -276,9 +276,9 @@ LEFT JOIN s b ON b.query = p.query AND b.f = 'a' AND b.t = p.ad""")
 def bm25(spark, d):
     queries, names, addrs = _corpora(spark, d)
     one = similarity.unigrams
-    r = similarity.attach_vectors(_pairs(spark, d), "query", similarity.text_vectors(queries, one, "q"))
-    r = similarity.attach_vectors(r, "name", similarity.text_vectors(names, one, "n"))
-    r = similarity.attach_vectors(r, "addr", similarity.text_vectors(addrs, one, "a"))
+    r = similarity.attach_vectors(_pairs(spark, d), "query", similarity.text_vectors(queries, q=one))
+    r = similarity.attach_vectors(r, "name", similarity.text_vectors(names, n=one))
+    r = similarity.attach_vectors(r, "addr", similarity.text_vectors(addrs, a=one))
     score = lambda c, corpus: F.round(
         similarity.bm25(F.col("q"), F.col(c), similarity.mean_length(corpus, one)), 6
     )
@@ -298,10 +298,8 @@ def tfidf_cosine(spark, d):
     queries, names, _ = _corpora(spark, d)
     r = _pairs(spark, d)
     for column, corpus in (("query", queries), ("name", names)):
-        kinds = ((1, similarity.unigrams), (2, similarity.bigrams))
-        r = similarity.attach_vectors(
-            r, column, *[similarity.text_vectors(corpus, terms, f"{column[0]}{n}") for n, terms in kinds]
-        )
+        kinds = {f"{column[0]}1": similarity.unigrams, f"{column[0]}2": similarity.bigrams}
+        r = similarity.attach_vectors(r, column, similarity.text_vectors(corpus, **kinds))
     per_gram = [
         F.struct(F.lit(n).alias("gram"), *[
             F.round(c, 6).alias(k)

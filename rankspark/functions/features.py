@@ -63,11 +63,24 @@ def malformed_tokens(c: Column) -> Column:
 
 
 def densify(features: Column, show_pos: Column, cap: int = FEATURE_CAP) -> Column:
-    """Fixed-width array with 0.0 for missing features; slot 0 holds the show position."""
-    rest = let(features, lambda m: F.transform(
-        F.sequence(F.lit(1), F.lit(cap)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))
-    ))
-    return F.concat(F.array(show_pos.cast("double")), rest)
+    """Fixed-width array with 0.0 for missing features; slot 0 holds the show position.
+
+    Each present feature, in index order, contributes the zeros of the gap before it and
+    its value, so the work is linear in the width.
+    """
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+
+    def fill(entries: Column) -> Column:
+        n = F.size(entries)
+        before = F.concat(F.array(F.lit(0)), F.slice(entries["key"], F.lit(1), F.greatest(n - 1, F.lit(0))))
+        pieces = F.zip_with(
+            entries, F.slice(before, F.lit(1), n), lambda e, last: F.concat(zeros(e.key - last - 1), F.array(e.value))
+        )
+        last = F.coalesce(F.array_max(entries["key"]), F.lit(0))
+        return F.concat(F.flatten(pieces), zeros(F.lit(cap) - last))
+
+    kept = F.filter(F.map_entries(features), lambda e: e.key.between(1, cap))
+    return F.concat(F.array(show_pos.cast("double")), let(F.sort_array(kept), fill))
 
 
 def pick(dense: Column, indexes: Sequence[int]) -> Column:

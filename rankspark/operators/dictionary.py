@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankspark.fields import FieldSpec
 from rankspark.functions import features
 from rankspark.operators.skew import sorted_positions
+from rankspark.session import materialise
 
 UNKNOWN = "UNK"
 
@@ -69,6 +70,7 @@ def look_up(rows: DataFrame, dictionary: DataFrame, fields: dict[str, tuple[str,
     hashed into a bucket instead.
     """
     out = rows
+    dictionary = materialise(dictionary, "dictionary")
     unknown = {
         r.dict_key: r.idx
         for r in dictionary.where(

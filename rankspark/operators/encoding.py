@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankspark.functions import text, tokens
 from rankspark.operators import dictionary
 from rankspark.operators.skew import attach
+from rankspark.session import materialise
 
 # Ids below this one are kept for padding and the special tokens.
 FIRST_TOKEN_ID = 6
@@ -27,31 +28,28 @@ def build_vocabulary(texts: DataFrame, column: str = "text", min_count: int = 0)
         .where(F.col("cnt") > min_count)
     )
     numbered = dictionary.number(counts)
-    return numbered.select(
+    return materialise(numbered.select(
         F.col("value").alias("token"), (F.col("idx") + FIRST_TOKEN_ID - 1).cast("int").alias("token_id")
-    )
+    ), "vocabulary")
 
 
-def text_ids(texts: DataFrame, column: str, vocabulary: DataFrame, out: str) -> DataFrame:
-    """Token ids of every distinct text, in token order; unknown tokens get the UNK id."""
-    parts = texts.select(column).distinct().select(
-        column, F.posexplode(tokenise(F.col(column))).alias("_pos", "token")
-    )
-    known = parts.join(vocabulary, "token", "left").withColumn(
-        "_id", F.coalesce("token_id", F.lit(tokens.UNK))
-    )
-    return known.groupBy(column).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_id"))), lambda e: e["_id"]).alias(out)
+def text_ids(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Token ids of every distinct ``text``, in token order; unknown tokens get the UNK id."""
+    parts = texts.distinct().select("text", F.posexplode(tokenise(F.col("text"))).alias("_pos", "token"))
+    known = parts.join(vocabulary, "token", "left").withColumn("_id", F.coalesce("token_id", F.lit(tokens.UNK)))
+    return known.groupBy("text").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_id"))), lambda e: e["_id"]).alias("_ids")
     )
 
 
 def with_ids(rows: DataFrame, columns: dict[str, str], vocabulary: DataFrame) -> DataFrame:
-    """Add id lists for text columns (text column -> output name); each distinct text is
-    encoded once. A text without tokens gets an empty list."""
+    """Add id lists for text columns (text column -> output name). Every distinct text is
+    encoded once, whichever columns and rows hold it; one without tokens gets an empty list."""
+    texts = rows.select(F.explode(F.array(*columns)).alias("text")).where(F.col("text").isNotNull())
+    ids = materialise(text_ids(texts, vocabulary), "text-ids")
     for column, out in columns.items():
-        rows = attach(rows, text_ids(rows, column, vocabulary, out), [column], "left").withColumn(
-            out, F.coalesce(out, F.array().cast("array<int>"))
-        )
+        own = ids.select(F.col("text").alias(column), F.col("_ids").alias(out))
+        rows = rows.join(own, column, "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
     return rows
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions import text
 from rankspark.operators.skew import attach
+from rankspark.session import materialise
 
 # BM25 parameters.
 K1 = 1.2
@@ -48,22 +49,38 @@ def tfidf(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     return attach(tf, idf, ["term"]).select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
-def text_vectors(corpus: DataFrame, terms: Terms, out: str) -> DataFrame:
-    """One row per distinct text with a map term -> (tf, idf), for a corpus column ``text``.
+def text_vectors(corpus: DataFrame, **kinds: Terms) -> DataFrame:
+    """One row per distinct text of a corpus column ``text``, with a map
+    term -> (tf, idf) for every kind of term (output name -> terms of a text).
 
-    Weights are computed once per distinct text, however many rows carry it.
+    Weights are computed once per distinct text, however many documents carry it.
     """
-    distinct = corpus.select("text").distinct()
-    n_docs = corpus.count()
-    per_doc = corpus.select("text", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    idf = per_doc.groupBy("term").agg(
-        (F.log((F.lit(n_docs) + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf")
+    docs = materialise(corpus.groupBy("text").agg(F.count(F.lit(1)).alias("n")), "texts")
+    n_docs = docs.agg(F.sum("n")).first()[0] or 0
+    tagged = lambda name, terms: F.transform(
+        terms(F.col("text")), lambda t: F.struct(F.lit(name).alias("kind"), t.alias("term"))
     )
-    tf = term_frequencies(distinct, "text", terms(F.col("text")))
-    entry = F.struct("term", F.struct(F.col("tf").cast("double").alias("tf"), "idf"))
-    return attach(tf, idf, ["term"]).groupBy("text").agg(
-        F.map_from_entries(F.collect_list(entry)).alias(out)
+    tf = (
+        docs.select("text", "n", F.inline(F.concat(*[tagged(k, f) for k, f in kinds.items()])))
+        .groupBy("text", "n", "kind", "term")
+        .agg(F.count(F.lit(1)).cast("double").alias("tf"))
     )
+    idf = tf.groupBy("kind", "term").agg((F.log((F.lit(n_docs) + 1) / (F.sum("n") + 1)) + 1).alias("idf"))
+    entry = F.struct("term", F.struct("tf", "idf"))
+    of_kind = lambda name: F.map_from_entries(
+        F.array_compact(F.collect_list(F.when(F.col("kind") == name, entry)))
+    ).alias(name)
+    return attach(tf, idf, ["kind", "term"]).groupBy("text").agg(*[of_kind(k) for k in kinds])
+
+
+def attach_vectors(rows: DataFrame, column: str, vectors: DataFrame) -> DataFrame:
+    """Add the vectors of the text in ``column``; a text without terms gets empty maps."""
+    names = [c for c in vectors.columns if c != "text"]
+    empty = F.map_from_entries(F.array().cast(
+        "array<struct<term:string,v:struct<tf:double,idf:double>>>"
+    ))
+    joined = attach(rows, vectors.withColumnRenamed("text", column), [column], "left")
+    return joined.withColumns({c: F.coalesce(c, empty) for c in names})
 
 
 def _sum(keys: Column, f) -> Column:
@@ -110,28 +127,14 @@ def mean_length(corpus: DataFrame, terms: Terms) -> float:
     return corpus.agg(F.avg(F.size(terms(F.col("text"))))).first()[0] or 1.0
 
 
-def attach_vectors(rows: DataFrame, column: str, *vectors: DataFrame) -> DataFrame:
-    """Add the vectors of the text in ``column``; a text without terms gets empty maps."""
-    merged = vectors[0]
-    for v in vectors[1:]:
-        merged = merged.join(v, "text", "full")
-    names = [c for c in merged.columns if c != "text"]
-    empty = F.map_from_entries(F.array().cast(
-        "array<struct<term:string,v:struct<tf:double,idf:double>>>"
-    ))
-    joined = attach(rows, merged.withColumnRenamed("text", column), [column], "left")
-    return joined.withColumns({c: F.coalesce(c, empty) for c in names})
-
-
 def similarity_features(
     rows: DataFrame, queries: DataFrame, names: DataFrame, addrs: DataFrame
 ) -> DataFrame:
     """The 23 similarity features of rows with ``query``, ``name`` and ``addr``, as one
     array column ``sim``; the other three inputs are corpora with a ``text`` column."""
-    vec = text_vectors
-    r = attach_vectors(rows, "query", vec(queries, unigrams, "q1"), vec(queries, bigrams, "q2"))
-    r = attach_vectors(r, "name", vec(names, unigrams, "n1"), vec(names, bigrams, "n2"))
-    r = attach_vectors(r, "addr", vec(addrs, unigrams, "a1"))
+    r = attach_vectors(rows, "query", text_vectors(queries, q1=unigrams, q2=bigrams))
+    r = attach_vectors(r, "name", text_vectors(names, n1=unigrams, n2=bigrams))
+    r = attach_vectors(r, "addr", text_vectors(addrs, a1=unigrams))
     one = cosine_features(F.col("q1"), F.col("n1"))
     two = cosine_features(F.col("q2"), F.col("n2"))
     name_bm25 = bm25(F.col("q1"), F.col("n1"), mean_length(names, unigrams))
