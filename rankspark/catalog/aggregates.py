@@ -183,13 +183,13 @@ def group_lengths(spark, d):
 
 @check("feature_stats", "impressions", """
 WITH f AS (SELECT unnest([1, 2, 3, 4]) AS idx, unnest([f1, f2, f3, f4]) AS v FROM impressions)
-SELECT idx, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS low, max(v) AS high,
-  round(median(v), 6) AS median FROM f GROUP BY idx""")
+SELECT idx, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std, min(v) AS low, max(v) AS high,
+  round(median(v), 9) AS median FROM f GROUP BY idx""")
 def feature_stats(spark, d):
     parsed = features.parse_features(F.col("ltr_features"))
     long = tables.impressions(spark, d).select(F.explode(parsed).alias("idx", "value"))
     stats = profile.feature_statistics(long).join(profile.group_medians(long, "idx", "value"), "idx")
-    return stats.withColumns({c: F.round(c, 6) for c in ("mean", "std", "median")})
+    return stats.withColumns({c: F.round(c, 9) for c in ("mean", "std", "median")})
 
 
 @check("city_counts", "places", """

@@ -14,7 +14,7 @@ from rankspark.catalog.texts import sql_normalise
 from rankspark.functions import features, geo
 from rankspark.operators import dictionary, groups, profile, records
 from rankspark.plans import jobs
-from rankspark.session import new_path
+from rankspark.session import materialise, new_path
 from rankspark.sources import files, logs, tables
 
 
@@ -281,7 +281,9 @@ def job_multitask_pairs(spark, d):
     im = tables.impressions(spark, d).withColumn("f", features.parse_features(F.col("ltr_features")))
     stats = profile.feature_statistics(im.select(F.explode("f").alias("idx", "value")).where("idx = 1")).first()
     z = F.round(features.zscore(F.try_element_at("f", F.lit(1)), F.lit(stats["mean"]), F.lit(stats["std"])), 6)
-    scaled = im.select("search_uid", "impression_id", "label", z.alias("z1"), F.lit("click").alias("data_type"))
+    scaled = materialise(
+        im.select("search_uid", "impression_id", "label", z.alias("z1"), F.lit("click").alias("data_type")), "scaled"
+    )
     order = tables.order_log(spark, d).select("search_uid", "impression_id", "label", "data_type").join(
         scaled.select("impression_id", "z1"), "impression_id"
     )

@@ -8,6 +8,7 @@ from rankspark.catalog.aggregates import SQL_COUNTS  # noqa: F401  (shared text)
 from rankspark.catalog.registry import check, ints, scaled
 from rankspark.functions import features, geo, tokens, vectors
 from rankspark.operators import dictionary, encoding, profile
+from rankspark.operators.skew import attach
 from rankspark.sources import tables
 
 
@@ -24,7 +25,7 @@ SELECT impression_id, idx, CASE WHEN v - lo <= 0 OR med - lo <= 0 THEN 0
 def median_ratio_log(spark, d):
     long = _long_features(spark, d)
     stats = profile.feature_statistics(long).join(profile.group_medians(long, "idx", "value"), "idx")
-    joined = long.join(stats.select("idx", "median", "low"), "idx")
+    joined = attach(long, stats.select("idx", "median", "low"), ["idx"])
     return joined.select(
         "impression_id", "idx", features.median_ratio_log(F.col("value"), F.col("median"), F.col("low")).alias("value")
     )
@@ -38,7 +39,7 @@ FROM f LEFT JOIN s USING (idx)""")
 def zscore(spark, d):
     long = _long_features(spark, d)
     stats = profile.feature_statistics(long.where("idx <> 4")).select("idx", "mean", "std")
-    return long.join(stats, "idx", "left").select(
+    return attach(long, stats, ["idx"], "left").select(
         "impression_id", "idx",
         F.round(features.zscore(F.col("value"), F.col("mean"), F.col("std")), 6).alias("value"),
     )

@@ -122,8 +122,8 @@ def load_dictionary(spark, d):
 
 @check("load_feature_stats", "impressions", """
 WITH f AS (SELECT unnest([1, 2, 3, 4]) AS idx, unnest([f1, f2, f3, f4]) AS v FROM impressions)
-SELECT CAST(idx AS STRING) AS key, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std,
-  round(min(v), 6) AS low, round(max(v), 6) AS high FROM f GROUP BY idx""")
+SELECT CAST(idx AS STRING) AS key, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std,
+  round(min(v), 9) AS low, round(max(v), 9) AS high FROM f GROUP BY idx""")
 def load_feature_stats(spark, d):
     path = new_path(spark, "stats")
     long = tables.impressions(spark, d).select(F.explode(features.parse_features(F.col("ltr_features"))).alias("idx", "value"))
@@ -133,7 +133,7 @@ def load_feature_stats(spark, d):
         *[F.col(c).cast("string") for c in ("idx", "mean", "std", "low", "high")],
     )
     return files.load_feature_stats(spark, path).select(
-        "key", *[F.round(c, 6).alias(c) for c in ("mean", "std", "low", "high")]
+        "key", *[F.round(c, 9).alias(c) for c in ("mean", "std", "low", "high")]
     )
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.operators.skew import running_sums
+from rankspark.operators.skew import attach, running_sums
+from rankspark.session import materialise
 
 
 def per_column(df: DataFrame, columns: Sequence[str], **aggregates) -> DataFrame:
@@ -40,30 +41,47 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         df, columns, count=F.count, mean=F.avg, std=F.stddev_samp,
         min=lambda c: F.min(c.cast("double")), max=lambda c: F.max(c.cast("double")),
     )
-    out = basic
-    quart = None
-    for c in columns:
-        q = quantiles(df, c, (0.25, 0.5, 0.75)).withColumn("column", F.lit(c))
-        quart = q if quart is None else quart.unionByName(q)
-    return out.join(quart, "column")
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
+    ])))
+    return basic.join(group_quantiles(long, "column", "value", (0.25, 0.5, 0.75)), "column", "left")
+
 
+def group_quantiles(
+    long: DataFrame, key: str, value: str, shares: Sequence[float], names: Sequence[str] | None = None
+) -> DataFrame:
+    """Exact interpolated quantiles per key (q25, q50, ...).
 
-def quantiles(df: DataFrame, column: str, shares: Sequence[float], names: Sequence[str] | None = None) -> DataFrame:
-    """Exact interpolated quantiles of a column as one row (q25, q50, ...)."""
+    Ranks come from running sums over the counts per distinct value, so neither memory
+    nor one task grows with the rows of a key.
+    """
     names = list(names or [f"q{round(s * 100)}" for s in shares])
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
+    counts = long.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    ranked = running_sums(counts, [F.col("v")], {"upto": "n"})
-    total = df.agg(F.count(column).alias("n")).first()["n"]
+    ranked = materialise(running_sums(counts, [F.col(key), F.col("v")], {"upto": "n"}), "ranked")
+    # Ranks run over all keys in order; a key's own ranks start after the keys before it.
+    spans = ranked.groupBy(key).agg(
+        F.min(F.col("upto") - F.col("n")).alias("_start"), F.sum("n").alias("_total")
+    )
+    at = attach(ranked, spans, [key]).withColumn("upto", F.col("upto") - F.col("_start"))
     picks = []
     for share, name in zip(shares, names):
-        at = share * (total - 1)
-        low, part = int(at), at - int(at)
+        place = F.lit(share) * (F.col("_total") - 1)
         holds = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("v")))
-        high = min(low + 1, max(total - 1, 0))
-        picks.append((holds(low) + (holds(high) - holds(low)) * part).alias(name))
-    return ranked.agg(*picks)
+        low, high, part = holds(F.floor(place)), holds(F.ceil(place)), F.max(place - F.floor(place))
+        picks.append((low + (high - low) * part).alias(name))
+    return at.groupBy(key).agg(*picks)
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles of one column as one row."""
+    long = df.select(F.lit(column).alias("_column"), F.col(column).alias("_value"))
+    return group_quantiles(long, "_column", "_value", shares).drop("_column")
+
+
+def group_medians(long: DataFrame, key: str, value: str, out: str = "median") -> DataFrame:
+    return group_quantiles(long, key, value, (0.5,), [out])
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -149,19 +167,3 @@ def dummies(train: DataFrame, df: DataFrame, columns: Sequence[str], max_levels:
         for v in sorted(levels, key=str):
             added[f"{c}_{v}"] = F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
     return df.withColumns(added)
-
-
-def group_medians(long: DataFrame, key: str, value: str, out: str = "median") -> DataFrame:
-    """Exact median per key from positions among the counts per distinct value."""
-    counts = long.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(counts, [F.col(key), F.col(value)], {"_upto": "_n"})
-    totals = counts.groupBy(key).agg(F.sum("_n").alias("_total"))
-    # Ranks run over all keys in order; a key's own ranks start after the keys before it.
-    first = ranked.groupBy(key).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"))
-    at = ranked.join(first, key).join(totals, key).select(
-        key, F.col(value).cast("double").alias("v"), "_total",
-        (F.col("_upto") - F.col("_start")).alias("upto"), F.col("_n").alias("n"),
-    )
-    holds = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col("v")))
-    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
-    return at.groupBy(key).agg(((holds(low) + holds(high)) / 2).alias(out))

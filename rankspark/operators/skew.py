@@ -63,7 +63,7 @@ def sorted_positions(
         "_part", *keys, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
     return (
-        placed.join(runs, ["_part", *keys])
+        attach(placed, runs, ["_part", *keys])
         .withColumn(out, F.col("_slot") - F.col("_first") + F.col("_before") + 1)
         .drop("_part", "_slot", "_first", "_before")
     )
@@ -107,7 +107,8 @@ def running_sums(
     )
     last = Window.currentRow if inclusive else -1
     within = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, last)
-    out = placed.join(shifts, "_part")
+    # One row per sorted partition, so its size is bounded by their number.
+    out = placed.join(F.broadcast(shifts), "_part")
     for o, c in sums.items():
         out = out.withColumn(o, F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_s_{o}"))
     return out.drop("_part", "_slot", *[f"_s_{o}" for o in sums])

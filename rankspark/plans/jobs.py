@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankspark.fields import ITEM_FIELDS, QUERY_FIELDS
 from rankspark.functions import calendar, features, geo, text, tokens
 from rankspark.operators import dictionary, encoding, groups, models, pairs, records, similarity
+from rankspark.session import materialise
 
 
 SHORT = tokens.SHORT_TOKEN_LENGTH
@@ -317,7 +318,8 @@ def multitask_pairs(click: DataFrame, order: DataFrame | None, key: str, group_c
     columns = [*item_columns, "click_label", "order_label"]
     if order is None:
         return pairs.self_pairs(label(click), key, [*group_columns, "data_type"], columns)
-    taken = pairs.prefer_orders(click, order, key)
+    # Read twice, once for either side of the pairs.
+    taken = materialise(pairs.prefer_orders(click, order, key), "taken")
     return pairs.positive_negative(
         label(taken), key, [*group_columns, "data_type"], columns, F.col("click_label") == 1
     )
