@@ -260,7 +260,14 @@ def job_rank_rows(spark, d):
     )
 
 
-@check("job_union_rows")
+@check("job_union_rows", "impressions places searchers", f"""
+WITH {SQL_VOCAB}, x AS (SELECT *, split_part(name_address, '|', 1) AS nm, split_part(name_address, '|', 2) AS ad FROM impressions),
+{sql_ids('x', 'impression_id', 'query', 'q')}, {sql_ids('x', 'impression_id', 'nm', 'a')}, {sql_ids('x', 'impression_id', 'ad', 'b')},
+k AS (SELECT i.*, {SQL_KM} AS km FROM impressions i JOIN places p ON p.poi_id = i.poi_id JOIN searchers s ON s.uid = i.uid)
+SELECT impression_id, 1 AS query_side, CASE WHEN search_id % 24 BETWEEN 6 AND 11 THEN 0 WHEN search_id % 24 BETWEEN 12 AND 17 THEN 1 ELSE 2 END AS hour_id,
+  label - 1 AS label, least(label, 1) AS quantiser_label, layer, CAST(least(floor(log2(1 + km)), 15) AS INT) AS distance_id, 215 AS width,
+  {sql_fit('[4] || q.ids || [5]', 32)} AS query_token_ids, {sql_fit('[4] || a.ids || [5] || b.ids || [5]', 32)} AS poi_token_ids
+FROM k JOIN q USING (impression_id) JOIN a USING (impression_id) JOIN b USING (impression_id)""")
 def job_union_rows(spark, d):
     kind = F.when(F.col("label") == 2, "pos").when(F.col("label") == 1, "show_hard").otherwise("easy")
     out = jobs.union_rows(_located(spark, d).withColumn("sample_type", kind), vocabulary(spark, d))
