@@ -1,29 +1,61 @@
-"""The corpus pipeline: stages over ``documents``, each calling one operator of ``rankspark.llm``."""
+"""The corpus pipeline: stages over ``documents``, each calling one operator of ``rankspark.llm``.
+
+Every stage works on all rows that its predecessor kept. Rows with null or repeated ids pass like
+any other, except that of rows that share an id the near-duplicate stage keeps one; empty texts are
+kept by all stages (the packing gives them a piece with the end id).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankspark.llm import line_dedup
+from rankspark.llm import jaccard_join, line_dedup, packing, toxicity
+from rankspark.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the given labels, doesn't reject as toxic."""
+    docs = docs.select(*COLUMNS)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return model.score(docs).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many of them repeat; all documents stay."""
     kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return kept.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*COLUMNS)
 
 
-STAGES = [("line dedup", line_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest id) of each group that five-word shingles link at 0.8 or more."""
+    docs = docs.select(*COLUMNS)
+    found = jaccard_join.jaccard_components(docs, n=5, percent=80)
+    # A component of null ids only has no id to name it; of these all rows but one go below.
+    keep = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all remaining documents' pieces in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage), ("line dedup", line_stage), ("n-gram jaccard join", near_duplicate_stage),
+    ("best-fit packing", packing_stage),
+]
+#: None: a fitted model and a tokenizer aren't SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again."""
-    from rankspark.session import materialise
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), "stage")
