@@ -1,8 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each calling one operator of ``rankspark.llm``.
 
-Every stage works on all rows that its predecessor kept. Rows with null or repeated ids pass like
-any other, except that of rows that share an id the near-duplicate stage keeps one; empty texts are
-kept by all stages (the packing gives them a piece with the end id).
+Every stage works on all rows that its predecessor kept. Rows with null ids pass like any other; of
+rows that share an id the near-duplicate stage keeps one; empty texts are kept by all stages (the
+packing gives them a piece with the end id).
 """
 
 from __future__ import annotations
@@ -32,13 +32,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group that five-word shingles link at 0.8 or more."""
-    docs = docs.select(*COLUMNS)
-    found = jaccard_join.jaccard_components(docs, n=5, percent=80)
-    # A component of null ids only has no id to name it; of these all rows but one go below.
-    keep = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*COLUMNS)
+    # Rows without an id are told apart by their text, with numbers beyond all ids.
+    stand_in = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", stand_in).alias("__key"))
+    found = jaccard_join.jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text"), n=5, percent=80)
+    keep = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("__key")).distinct()
+    one = Window.partitionBy("__key").orderBy("text", "lang", "source", "n_chars")
+    return keyed.join(keep, "__key", "left_semi").withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
