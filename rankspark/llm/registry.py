@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register a query each.
-MODULES = ("line_dedup", "jaccard_join", "packing", "toxicity", "token_files", "warc")
+MODULES = ("line_dedup", "jaccard_join", "packing", "toxicity", "token_files", "warc", "fingerprints")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
