@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register a query each.
-MODULES = ("line_dedup", "jaccard_join", "packing", "toxicity", "token_files", "warc", "fingerprints", "exact_topk", "url_filters")
+MODULES = ("line_dedup", "jaccard_join", "packing", "toxicity", "token_files", "warc", "fingerprints", "exact_topk", "url_filters",
+    "sentencepiece_lattice")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
