@@ -245,6 +245,7 @@ def job_rank_rows(spark, d):
     lines = _lines(
         spark, lists.join(searches, "search_uid"), F.col("h.city_id").cast("string"), "h.query", F.col("h.uid").cast("string"),
         F.concat_ws("|", "h.lat", "h.lng"), "h.time_text", F.col("h.query_type").cast("string"), "h.q_geo", F.array_join("items", "||"),
+        "search_uid", F.col("page").cast("string"),
     )
     keys = {"uid": ["uid"], "geo": ["q_geo", "geo"], "poiid": ["poi_id"], "cate": ["category"], "layer": ["layer"]}
     counts = dictionary.value_counts(rows, {k: [F.col(c) for c in cs] for k, cs in keys.items()})

@@ -37,7 +37,7 @@ SELECT impression_id, CASE WHEN label = 2 OR row_number() OVER (PARTITION BY sea
 def top3_pseudo_label(spark, d):
     im = tables.impressions(spark, d).select("search_uid", "impression_id", "show_pos", "label")
     order = [F.col("show_pos"), F.col("impression_id")]
-    marked = groups.mark_top(im, ["search_uid"], "impression_id", order, 3, "leading")
+    marked = groups.mark_top(im, ["search_uid"], order, 3, "leading")
     return marked.select("impression_id", ((F.col("label") == 2) | F.col("leading")).cast("int").alias("new_label"))
 
 
@@ -61,15 +61,16 @@ def run_groups(spark, d):
     return groups.runs(events, "event_type", [F.col("ts"), F.col("event_id")])
 
 
-@check("sort_show_pos", "impressions", """
-SELECT search_uid, string_agg(impression_id, ',' ORDER BY show_pos, impression_id) AS items FROM impressions GROUP BY search_uid""")
+@check("sort_show_pos", "impressions", f"""
+WITH r AS (SELECT *, (row_number() OVER (PARTITION BY search_uid ORDER BY show_pos, impression_id) - 1) // {tables.LOG_PAGE_ITEMS} AS page FROM impressions)
+SELECT search_uid, page, string_agg(impression_id, ',' ORDER BY show_pos, impression_id) AS items FROM r GROUP BY search_uid, page""")
 def sort_show_pos(spark, d):
     from rankspark.operators import records
 
     parsed = records.parse_log(tables.search_log(spark, d))
     shuffled = parsed.withColumn("items", F.reverse("items"))
     items = records.by_show_position(F.col("items"))
-    return shuffled.select("search_uid", F.array_join(F.transform(items, lambda p: p.p_impression_id), ",").alias("items"))
+    return shuffled.select("search_uid", "page", F.array_join(F.transform(items, lambda p: p.p_impression_id), ",").alias("items"))
 
 
 @check("topk_per_query", "impressions", f"""

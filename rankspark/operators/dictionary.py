@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankspark.fields import FieldSpec
 from rankspark.functions import features
 from rankspark.operators.skew import sorted_positions
-from rankspark.session import materialise
+from rankspark.session import materialise, new_path
 
 UNKNOWN = "UNK"
 
@@ -58,7 +58,11 @@ def thresholds_of(specs: Sequence[FieldSpec]) -> dict[str, int]:
 
 
 def number(counts: DataFrame) -> DataFrame:
-    """Ids from 1 per field, most frequent first, then by value; 0 is left for padding."""
+    """Ids from 1 per field, most frequent first, then by value; 0 is left for padding.
+
+    Entries of one value count together, such as the unknown entry and a literal ``UNK``.
+    """
+    counts = materialise(counts.groupBy("dict_key", "value").agg(F.sum("cnt").alias("cnt")), "counts")
     placed = sorted_positions(counts, ["dict_key"], [F.desc("cnt"), F.col("value")], "idx")
     return placed.select("dict_key", "value", F.col("idx").cast("int").alias("idx"))
 
@@ -70,17 +74,21 @@ def look_up(rows: DataFrame, dictionary: DataFrame, fields: dict[str, tuple[str,
     hashed into a bucket instead.
     """
     out = rows
-    dictionary = materialise(dictionary, "dictionary")
+    # By field, so that each join sees the size of its own field's entries.
+    path = new_path(rows.sparkSession, "dictionary")
+    dictionary.select("dict_key", "value", "idx").write.partitionBy("dict_key").parquet(path)
+    dictionary = rows.sparkSession.read.schema("value string, idx int, dict_key string").parquet(path)
     unknown = {
         r.dict_key: r.idx
         for r in dictionary.where(
             (F.col("value") == UNKNOWN) & F.col("dict_key").isin([k for _, k in fields.values()])
         ).collect()
     }
+    held = {r.dict_key for r in dictionary.select("dict_key").distinct().collect()}
+    empty = rows.sparkSession.createDataFrame([], "value string, idx int")
     for name, (column, key) in fields.items():
-        ids = dictionary.where(F.col("dict_key") == key).select(
-            F.col("value").alias("_entry"), F.col("idx").alias(name)
-        )
+        own = rows.sparkSession.read.schema("value string, idx int").parquet(f"{path}/dict_key={key}") if key in held else empty
+        ids = own.select(F.col("value").alias("_entry"), F.col("idx").alias(name))
         text = F.col(column).cast("string")
         fallback = F.lit(unknown.get(key, 0))
         if key == "uid":

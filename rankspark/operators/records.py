@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from rankspark import fields
 from rankspark.functions import features
 from rankspark.operators.skew import attach, top_k
+from rankspark.session import materialise
 
 
 def parse_log(log: DataFrame) -> DataFrame:
@@ -42,8 +43,16 @@ def has_features(text: Column) -> Column:
 
 
 def drop_incomplete(parsed: DataFrame) -> DataFrame:
-    """Drop a log line when any of its items lacks features; no shuffle, as a line is a group."""
-    return parsed.where(F.forall("items", lambda p: has_features(p.p_ltrfeatures)))
+    """Drop all lines of a search in which any item lacks features."""
+    parsed = materialise(parsed, "parsed")
+    bad = parsed.where(F.exists("items", lambda p: ~has_features(p.p_ltrfeatures))).select("search_uid").distinct()
+    return attach(parsed, bad, ["search_uid"], "left_anti")
+
+
+def with_group_length(parsed: DataFrame, out: str = "group_len") -> DataFrame:
+    """Items of the whole search, over all of its lines."""
+    parsed = materialise(parsed, "parsed")
+    return attach(parsed, parsed.groupBy("search_uid").agg(F.sum(F.size("items")).cast("int").alias(out)), ["search_uid"])
 
 
 def query_rows(parsed: DataFrame) -> DataFrame:
@@ -68,11 +77,12 @@ def dedup_lines(log: DataFrame, keys: Sequence[str] = ("search_key", "page")) ->
 
 
 def samples(log: DataFrame, threshold: int = 1) -> DataFrame:
-    """Log lines to ranking samples: parse, keep labelled items in show order, drop lines
-    with missing features, one row per item with its group length and feature map."""
+    """Log lines to ranking samples: parse, keep labelled items in show order, drop searches
+    with missing features, one row per item with its search's length and feature map.
+    A search may span several lines."""
     parsed = parse_log(dedup_lines(log))
     kept = parsed.withColumn("items", by_show_position(keep_labelled(F.col("items"), threshold)))
-    kept = drop_incomplete(kept).withColumn("group_len", F.size("items"))
+    kept = with_group_length(drop_incomplete(kept))
     carried = [c for c in ("page", "dt", "country_code") if c in kept.columns]
     return item_rows(kept, [*carried, "group_len"]).select(
         "*",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.operators.skew import attach, sorted_positions
+from rankspark.session import materialise
 
 # Sampling seed, fold seed, oversampling of clicks, size from which strata are cut.
 SEED = 12357
@@ -34,9 +35,10 @@ def sample(df: DataFrame, key: Column, n: int | None, total: int | None = None,
 
 def stratified_quarter(df: DataFrame, stratum: str, key: Column, keep_whole: str, seed: int = SEED) -> DataFrame:
     """Small strata and the default one whole, of every other one a quarter in hash order."""
+    df = materialise(df, "rows")
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     sized = attach(df, sizes, [stratum])
-    whole = (F.col("_n") < SMALL_STRATUM) | (F.col(stratum) == keep_whole)
+    whole = (F.col("_n") < SMALL_STRATUM) | F.coalesce(F.col(stratum) == keep_whole, F.lit(False))
     cut = sorted_positions(
         sized.where(~whole).withColumn("_h", hash_text(key, seed)), [stratum], [F.col("_h"), key], "_rn"
     ).where(F.col("_rn") <= F.floor(F.col("_n") / 4))

@@ -3,36 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.session import materialise
 
-# A group above this many rows is split over several tasks.
-HOT_ROWS = 1_000_000
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Groups with more than ``hot_rows`` rows and the number of salts each needs.
-
-    Counting combines map-side, and at most rows / hot_rows groups can qualify, which
-    is what makes the result safe to broadcast.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.where(F.col("_n") > hot_rows).select(
-        *keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")
-    )
-
 
 def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join rows with a derived table of one row per key.
+    """Join rows with a derived table of one row per key; a null key is a key like any other.
 
     The derived table is written first. Spark then knows its real size and broadcasts it
     only when it is small; otherwise both join inputs are plain shuffles, which adaptive
-    execution splits when a key is hot. The rows themselves are evaluated only once.
+    execution splits when a key is hot. Where ``per_key`` comes from ``rows``, pass written
+    rows, so that they aren't evaluated twice.
     """
-    return rows.join(materialise(per_key, "per-key"), list(keys), how)
+    names = {k: f"_key_{k}" for k in keys}
+    table = materialise(per_key, "per-key").withColumnsRenamed(names)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    return rows.join(table, same, how).drop(*names.values())
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
@@ -69,24 +60,9 @@ def sorted_positions(
     )
 
 
-def group_positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    out: str = "position",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """1-based position within each group: a plain window for ordinary groups, the
-    sorted form for any group too large for one task."""
-    keys = list(keys)
-    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
-    hot = hot_groups(df, keys, hot_rows).drop("_salts")
-    if hot.isEmpty():
-        return df.withColumn(out, plain)
-    hot = F.broadcast(hot)
-    cold_rows = df.join(hot, keys, "left_anti").withColumn(out, plain)
-    hot_rows_df = sorted_positions(df.join(hot, keys, "left_semi"), keys, order, out)
-    return cold_rows.unionByName(hot_rows_df)
+def group_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "position") -> DataFrame:
+    """1-based position within each group, by one sort for groups of any size; the rows are evaluated once."""
+    return sorted_positions(materialise(df, "rows"), keys, order, out)
 
 
 def running_sums(

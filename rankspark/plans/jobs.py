@@ -209,28 +209,31 @@ def group_triplets(rows: DataFrame, key: str, row_id: str, vocabulary: DataFrame
     )
 
 
-RANK_COLUMNS = "city query uid q_latlng time_text query_type q_geo items".split()
+RANK_COLUMNS = "city query uid q_latlng time_text query_type q_geo items search_key page".split()
 RANK_ITEM = "label show_pos poi_id name_address lat lng category layer geo".split()
 
 
 def rank_rows(lines: DataFrame, vocabulary: DataFrame, ids: DataFrame, city: str | None = None) -> DataFrame:
     """Rank lines to rows of the clicked item with each other item of its line.
 
-    Lines hold one search each: its fields and its items joined by a double bar.
+    A line holds a search, or a page of one: its fields, its items joined by a double bar,
+    and what names the search and the page. Lines without these two are searches of their own.
     """
     f = F.split("value", "\t")
-    rows = records.min_fields(lines, 8).select(*[F.get(f, i).alias(c) for i, c in enumerate(RANK_COLUMNS)])
+    rows = records.min_fields(lines, 8).select("value", *[F.get(f, i).alias(c) for i, c in enumerate(RANK_COLUMNS)])
     if city is not None:
         rows = rows.where(F.col("city") == city)
     rows = rows.withColumns({
-        "search": F.xxhash64("city", "query", "uid", "time_text", "items"),
+        "search": F.coalesce("search_key", F.sha2(F.col("value"), 256)),
+        "page": F.coalesce(F.col("page").cast("int"), F.lit(0)),
         "side": F.when(F.col("query_type") == "0", "0").otherwise("1"),
         "hour": calendar.hour_bucket(calendar.hour_of(F.col("time_text"))).cast("string"),
     })
     item = F.split(F.col("_item"), "##")
     rows = rows.select("*", F.posexplode(F.split("items", r"\|\|")).alias("listed", "_item")).where(F.size(item) >= 7)
     rows = rows.select(
-        *[c for c in rows.columns if c not in ("items", "_item")], *[F.get(item, i).alias(c) for i, c in enumerate(RANK_ITEM)]
+        *[c for c in rows.columns if c not in ("value", "items", "_item", "page", "listed")],
+        (F.col("page") * groups.PAGE_ROWS + F.col("listed")).alias("listed"), *[F.get(item, i).alias(c) for i, c in enumerate(RANK_ITEM)]
     )
     coded = dictionary.look_up(rows, ids, {
         "uid_id": ("uid", "uid"), "q_geo_id": ("q_geo", "geo"), "side_id": ("side", "qtype"), "hour_id": ("hour", "hour"),

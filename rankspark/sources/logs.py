@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: a day known to be bad in the log.
+# Fixed value: a day known to be bad in the log, for ``skip_days``.
 BAD_DAYS = ("20230324",)
 
 
@@ -23,16 +25,22 @@ def scan_log(
     begin: str,
     end: str,
     country: str | None = None,
-    skip_days: Sequence[str] = BAD_DAYS,
+    skip_days: Sequence[str] = (),
 ) -> DataFrame:
     """Log lines of an inclusive day range (yyyy-MM-dd) and one country.
 
-    Both conditions are on partition columns, so other folders are never listed for data.
+    Only the folders of the range's days are listed. ``skip_days`` (yyyyMMdd) are left out.
     """
     dt = F.col("dt").cast("date")
-    log = spark.read.parquet(path).where(
-        (dt >= F.lit(begin).cast("date")) & (dt <= F.lit(end).cast("date"))
-    )
+    first, last = date.fromisoformat(begin), date.fromisoformat(end)
+    days = ",".join(str(first + timedelta(i)) for i in range((last - first).days + 1))
+    try:
+        log = spark.read.option("basePath", path).parquet(f"{path}/dt={{{days}}}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log = spark.read.parquet(path)  # no day of the range has a folder: the condition leaves nothing
+    log = log.where((dt >= F.lit(begin).cast("date")) & (dt <= F.lit(end).cast("date")))
     if country is not None:
         log = log.where(F.col("country_code") == country)
     for day in skip_days:
@@ -40,7 +48,9 @@ def scan_log(
     return log
 
 
-def union_countries(spark: SparkSession, path: str, begin: str, end: str, countries: Sequence[str]) -> DataFrame:
+def union_countries(
+    spark: SparkSession, path: str, begin: str, end: str, countries: Sequence[str], skip_days: Sequence[str] = ()
+) -> DataFrame:
     """Log of several countries: one scan with a partition filter, equal to the union of
     the single-country scans."""
-    return scan_log(spark, path, begin, end).where(F.col("country_code").isin(list(countries)))
+    return scan_log(spark, path, begin, end, skip_days=skip_days).where(F.col("country_code").isin(list(countries)))

@@ -11,10 +11,6 @@ from rankspark.operators.skew import group_positions
 LOG_PAGE_ITEMS = 1000
 
 
-# Tables whose rows carry the per-row work of the queries.
-FACT_TABLES = ("lineitem", "events", "documents", "embeddings", "conversations")
-
-
 # Schemas by path: inferring one takes a Spark job, and the tables never change.
 _SCHEMAS: dict[str, T.StructType] = {}
 
@@ -23,17 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
-    return spread(df) if name in FACT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over all cores when the files give fewer scan tasks than that.
-
-    A table of many files is left as it is, so there is no shuffle at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,8 @@ def plain_positions(df):
     return {r.id: r.p for r in df.withColumn("p", F.row_number().over(w)).collect()}
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10_000])
-def test_group_positions(skewed, hot_rows):
-    got = skew.group_positions(skewed, ["k"], [F.desc("v"), F.col("id")], "p", hot_rows)
+def test_group_positions(skewed):
+    got = skew.group_positions(skewed, ["k"], [F.desc("v"), F.col("id")], "p")
     assert {r.id: r.p for r in got.collect()} == plain_positions(skewed)
 
 
@@ -53,11 +52,6 @@ def test_gather_pages_hold_everything(skewed):
     assert ids == sorted(ids) and len(ids) == skewed.where("k = 0").count()
 
 
-def test_hot_groups_are_bounded(skewed):
-    hot = skew.hot_groups(skewed, ["k"], 100).collect()
-    assert [r.k for r in hot] == [0] and hot[0]["_salts"] == 10
-
-
 def test_runs(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate("aabbbacca")], "i int, c string")
     got = sorted((r.start, r.c, r.n) for r in groups.runs(rows, "c", [F.col("i")]).collect())
