@@ -18,12 +18,14 @@ def item_index(places):
 
 
 @check("join_item_index", "impressions places", """
-WITH idx AS (SELECT poi_id, row_number() OVER (ORDER BY poi_id) - 1 AS idx FROM places WHERE layer <= 40)
-SELECT impression_id, idx, idx AS idx_or_zero FROM impressions JOIN idx USING (poi_id)
-UNION ALL SELECT impression_id, NULL, 0 FROM impressions WHERE poi_id NOT IN (SELECT poi_id FROM idx)""")
+WITH idx AS (SELECT poi_id, row_number() OVER (ORDER BY poi_id) - 1 AS idx FROM places)
+SELECT impression_id, CASE WHEN i.layer <= 40 THEN idx END AS idx, CASE WHEN i.layer <= 40 THEN idx ELSE 0 END AS idx_or_zero
+FROM impressions i JOIN idx USING (poi_id)""")
 def join_item_index(spark, d):
-    idx = item_index(tables.places(spark, d).where("layer <= 40"))
-    joined = tables.impressions(spark, d).select("impression_id", "poi_id").join(idx, "poi_id", "left")
+    # Impressions of the top layers ask for an item that no index has.
+    idx = item_index(tables.places(spark, d))
+    asked = F.when(F.col("layer") > 40, -F.col("poi_id") - 1).otherwise(F.col("poi_id")).alias("poi_id")
+    joined = tables.impressions(spark, d).select("impression_id", asked).join(idx, "poi_id", "left")
     return joined.select("impression_id", "idx", F.coalesce("idx", F.lit(0)).alias("idx_or_zero"))
 
 
@@ -144,13 +146,15 @@ def union_countries(spark, d):
 
 
 @check("city_fallback_join", "searchers places", """
-WITH c AS (SELECT city_id, count(*) AS n_items, min(poi_id) AS first_item FROM places WHERE city_id >= 5 GROUP BY city_id)
+WITH c AS (SELECT city_id, count(*) AS n_items, min(poi_id) AS first_item FROM places GROUP BY city_id)
 SELECT uid, coalesce(c.city_id, 7) AS search_city, f.n_items, f.first_item FROM searchers s
-LEFT JOIN c ON c.city_id = s.city_id JOIN c f ON f.city_id = coalesce(c.city_id, 7)""")
+LEFT JOIN c ON c.city_id = s.city_id AND s.city_id >= 5 JOIN c f ON f.city_id = coalesce(c.city_id, 7)""")
 def city_fallback_join(spark, d):
-    items = tables.places(spark, d).where("city_id >= 5")
+    # Searchers of the first five cities ask in one that has no items.
+    items = tables.places(spark, d)
     summary = items.groupBy("city_id").agg(F.count(F.lit(1)).alias("n_items"), F.min("poi_id").alias("first_item"))
-    routed = retrieval.route_to_city(tables.searchers(spark, d), items, default_city=7)
+    city = F.when(F.col("city_id") < 5, -1).otherwise(F.col("city_id"))
+    routed = retrieval.route_to_city(tables.searchers(spark, d).withColumn("city_id", city), items, default_city=7)
     return skew.attach(
         routed.select("uid", "search_city"), summary.withColumnRenamed("city_id", "search_city"), ["search_city"]
     )

@@ -4,6 +4,7 @@ on whole tables, with few iterations."""
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -122,12 +123,11 @@ def oof_stacking(spark, d):
 
 @check("fm_train")
 def fm_train(spark, d):
-    # One-hot ids of city, layer and category position, as sparse vectors.
-    im = tables.impressions(spark, d)
-    ids = F.array(F.col("city_id"), F.col("layer") + 30, F.col("query_type") + 90)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.array_contains(F.col("ids"), i).cast("double"))
-    rows = im.select("impression_id", (F.col("label") == 2).cast("double").alias("label"), ids.alias("ids")).withColumn(
-        "features", array_to_vector(dense)
-    )
+    # One-hot ids of city, layer and query type, as sparse vectors.
+    names = ["city_id", "layer", "query_type"]
+    im = tables.impressions(spark, d).select("impression_id", (F.col("label") == 2).cast("double").alias("label"), *names)
+    hot = [f"{n}_hot" for n in names]
+    rows = OneHotEncoder(inputCols=names, outputCols=hot, dropLast=False).fit(im).transform(im)
+    rows = VectorAssembler(inputCols=hot, outputCol="features").transform(rows).select("impression_id", "label", "features")
     model = models.factorisation(4, max_iter=5).fit(models.training_table(rows))
     return models.probability(model, rows).select("impression_id", F.round("p", 6).alias("p"))

@@ -12,7 +12,6 @@ from rankspark.sources import tables
 # Pieces of SQL used by several checks.
 FULL = "".join(chr(c) for c in range(0xFF00, 0xFF5F)) + "　"
 HALF = ("".join(chr(c - 0xFEE0) for c in range(0xFF00, 0xFF5F)) + " ").replace("'", "''")
-WIDE = "".join(chr(c) for c in range(0xFF00, 0xFF5F)) + "　"
 
 
 def sql_collapse(c: str) -> str:
