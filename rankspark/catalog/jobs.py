@@ -54,6 +54,10 @@ def _located(spark, d):
     )
 
 
+def _feature(i):
+    return F.try_element_at("f", F.lit(i))
+
+
 @check("job_gbdt_samples", "impressions places searchers", f"""
 WITH p AS (SELECT *, split_part(name_address, '|', 1) AS nm, split_part(name_address, '|', 2) AS ad FROM impressions
   QUALIFY row_number() OVER (PARTITION BY search_uid, poi_id ORDER BY show_pos, impression_id) = 1),
@@ -61,7 +65,10 @@ k AS (SELECT i.*, {SQL_KM} AS km FROM p i JOIN places p ON p.poi_id = i.poi_id J
 SELECT impression_id, count(*) OVER (PARTITION BY search_uid) AS group_len, label, 244 AS width,
   round(1 - levenshtein(query, nm) / greatest(length(query), length(nm)), 6) AS edit_name,
   round(1 - levenshtein(query, ad) / greatest(length(query), length(ad)), 6) AS edit_addr,
-  length(query) AS query_len, CASE WHEN query_type = 1 THEN 1 ELSE 0 END AS is_end, round(km, 4) AS km FROM k""")
+  length(query) AS query_len, CASE WHEN query_type = 1 THEN 1 ELSE 0 END AS is_end, round(km, 4) AS km,
+  round(km, 4) AS distance, CASE WHEN show_pos > 0 THEN 1 ELSE 0 END AS has_score, show_pos AS score, CASE WHEN label = 2 THEN 1 ELSE 0 END AS text_recall,
+  f1 AS common_end, CAST(0 AS DOUBLE) AS common_start, f3 AS person_end, CAST(0 AS DOUBLE) AS person_start, layer AS total,
+  0 AS query_city, round(41 * f1, 4) AS pid_query_city, round(41 * f2, 4) AS dest_geohash, 0 AS start_geohash, round(41 * f4, 4) AS pid_city FROM k""")
 def job_gbdt_samples(spark, d):
     order = [F.col("show_pos"), F.col("impression_id")]
     rows = jobs.gbdt_samples(_located(spark, d), "search_uid", "poi_id", order)
@@ -69,12 +76,21 @@ def job_gbdt_samples(spark, d):
     out = jobs.similarity_samples(
         rows, rows.select(F.col("query").alias("text")).distinct(),
         places.select(F.col("name").alias("text")), places.select(F.col("addr").alias("text")),
+        {"common_end": _feature(1), "common_start": _feature(2), "person_end": _feature(3), "person_start": _feature(4), "common_total": F.col("layer")},
+        {"dest_pid_query_city": F.array_repeat(_feature(1), 41), "dest_query_geohash": F.array_repeat(_feature(2), 41),
+         "start_query_geohash": F.array_repeat(_feature(3), 41), "dest_pid_city": F.array_repeat(_feature(4), 41)},
+        F.col("show_pos"), F.when(F.col("label") == 2, "a,google_textsearch"),
     )
     at = lambda i: F.get("dense", F.lit(i))
+    whole = lambda i: F.round(F.aggregate(F.slice("dense", i + 1, 41), F.lit(0.0), lambda s, x: s + x), 4)
     return out.select(
         "impression_id", "group_len", "label", F.size("dense").alias("width"), F.round(at(15), 6).alias("edit_name"),
         F.round(at(16), 6).alias("edit_addr"), at(20).cast("int").alias("query_len"), at(24).cast("int").alias("is_end"),
-        F.round(at(26), 4).alias("km"),
+        F.round(at(26), 4).alias("km"), F.round(at(29), 4).alias("distance"), at(30).cast("int").alias("has_score"),
+        at(31).cast("int").alias("score"), at(32).cast("int").alias("text_recall"), at(33).alias("common_end"),
+        at(34).alias("common_start"), at(35).alias("person_end"), at(36).alias("person_start"), at(37).cast("int").alias("total"),
+        whole(38).cast("int").alias("query_city"), whole(79).alias("pid_query_city"), whole(120).alias("dest_geohash"),
+        whole(161).cast("int").alias("start_geohash"), whole(202).alias("pid_city"),
     )
 
 
@@ -154,7 +170,7 @@ def _query_lines(spark, d, extra=False):
 SQL_QUERY_ITEMS = f"""
 x AS (SELECT *, split_part(name_address, '|', 1) AS nm, split_part(name_address, '|', 2) AS ad FROM impressions WHERE label = 2),
 {sql_ids('x', 'impression_id', 'query', 'q')}, {sql_ids('x', 'impression_id', 'nm', 'a')}, {sql_ids('x', 'impression_id', 'ad', 'b')},
-idx AS (SELECT poi_id, row_number() OVER (ORDER BY poi_id) - 1 AS idx FROM places WHERE layer <= 40),
+idx AS (SELECT poi_id, row_number() OVER (ORDER BY poi_id) - 1 AS idx FROM places),
 t AS (SELECT x.*, idx.idx, [4] || q.ids || [5] AS qt, [4] || a.ids || [5] || b.ids || [5] AS pt
   FROM x JOIN q USING (impression_id) JOIN a USING (impression_id) JOIN b USING (impression_id) JOIN idx USING (poi_id))"""
 
@@ -163,7 +179,7 @@ t AS (SELECT x.*, idx.idx, [4] || q.ids || [5] AS qt, [4] || a.ids || [5] || b.i
 WITH {SQL_VOCAB}, {SQL_QUERY_ITEMS}
 SELECT impression_id AS uniq_id, poi_id, city_id, idx, {sql_fit('qt', 32)} AS query_token_ids, {sql_fit('pt', 32)} AS poi_token_ids FROM t WHERE length(query) >= 15""")
 def job_query_rows(spark, d):
-    idx = item_index(tables.places(spark, d).where("layer <= 40"))
+    idx = item_index(tables.places(spark, d))
     out = jobs.query_rows(_query_lines(spark, d), vocabulary(spark, d), idx)
     return out.select("uniq_id", "poi_id", "city_id", "idx", *shown(["query_token_ids", "poi_token_ids"]))
 
@@ -174,7 +190,7 @@ m AS (SELECT impression_id AS uniq_id, idx, query_type, city_id AS area_id, laye
   CAST(floor((search_id % 24) / 4) AS INT) AS day_bucket, {sql_fit('pt', 32)} AS poi_token_ids, city_id, layer FROM t)
 SELECT 'train' AS part, * EXCLUDE (city_id, layer) FROM m UNION ALL SELECT 'test', * EXCLUDE (city_id, layer) FROM m WHERE city_id = 7 AND layer > 25""")
 def job_multifeature_rows(spark, d):
-    idx = item_index(tables.places(spark, d).where("layer <= 40"))
+    idx = item_index(tables.places(spark, d))
     lines, vocab = _query_lines(spark, d, extra=True), vocabulary(spark, d)
     show = lambda df, part: df.select(
         F.lit(part).alias("part"), "uniq_id", "idx", *jobs.EXTRA_COLUMNS, *shown(["poi_token_ids"])

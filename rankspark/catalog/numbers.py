@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankspark.catalog.aggregates import SQL_COUNTS  # noqa: F401  (shared text)
 from rankspark.catalog.registry import check, ints, scaled
 from rankspark.functions import features, geo, tokens, vectors
 from rankspark.operators import dictionary, encoding, profile
@@ -193,11 +192,15 @@ def position_weight(spark, d):
 
 
 @check("leaf_offsets", "impressions", """
-SELECT impression_id, concat_ws(',', 66454 + show_pos, 66454 + 10 + layer % 5, 66454 + 15 + label) AS tokens FROM impressions""")
+SELECT impression_id, concat_ws(',', 4, 5, 66454 + show_pos, 66454 + 10 + layer % 5, 66454 + 15 + label, 0) AS tokens,
+  '0,0,9,9,9,0' AS segments, '1,1,1,1,1,0' AS masks FROM impressions""")
 def leaf_offsets(spark, d):
     leaves = F.array(F.col("show_pos"), F.pmod("layer", F.lit(5)), F.col("label"))
-    offsets = [o + features.LEAF_TOKEN_BASE for o in features.leaf_offsets([10, 5, 3])]
-    return tables.impressions(spark, d).select("impression_id", ints(features.leaf_ids(leaves, offsets)).alias("tokens"))
+    numbers = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    text = F.struct(numbers(4, 5).alias("token_ids"), numbers(0, 0).alias("segment_ids"), numbers(1, 1).alias("mask_ids"))
+    out = tokens.append_leaves(text, features.leaf_ids(leaves, features.leaf_offsets([10, 5, 3])), 6)
+    return tables.impressions(spark, d).select("impression_id", out.alias("t")).select(
+        "impression_id", ints("t.token_ids").alias("tokens"), ints("t.segment_ids").alias("segments"), ints("t.mask_ids").alias("masks"))
 
 
 # ---------------------------------------------------------------- token sequences

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankspark.functions.features import LEAF_TOKEN_BASE, TREE_LIMIT
+
 # Sequence lengths and special ids.
 TOKEN_LENGTH = 60
 SHORT_TOKEN_LENGTH = 32
@@ -101,6 +103,17 @@ def append_features(encoded: Column, ids: Column, segments: Column, masks: Colum
     )
 
 
+# Fixed value: segment of leaf ids in a token sequence.
+LEAF_SEGMENT = 9
+
+
+def append_leaves(encoded: Column, leaf_ids: Column, n: int, limit: int = TREE_LIMIT) -> Column:
+    """Add the leaf ids of at most ``limit`` trees as tokens of the leaf segment, padded to ``n``."""
+    ids = F.transform(F.slice(leaf_ids, 1, limit), lambda i: (i + LEAF_TOKEN_BASE).cast("int"))
+    same = lambda v: F.transform(ids, lambda _: F.lit(v))
+    return append_features(encoded, ids, same(LEAF_SEGMENT), same(1), n)
+
+
 def append_alias(name: Column, addr: Column, alias: Column, budget: int = SHORT_TOKEN_LENGTH) -> Column:
     """``name|addr alias`` with as many alias words as the budget leaves."""
     words = lambda c: F.size(F.split(c, " "))

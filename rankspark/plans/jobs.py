@@ -38,10 +38,20 @@ def gbdt_samples(rows: DataFrame, key: str, item: str, order: Sequence[Column])
     return groups.dedup_items(rows, key, item, order)
 
 
-def similarity_samples(rows: DataFrame, queries: DataFrame, names: DataFrame, addrs: DataFrame) -> DataFrame:
+COUNTS = "common_end common_start person_end person_start common_total".split()
+GROUPS = "dest_query_city dest_pid_query_city dest_query_geohash start_query_geohash dest_pid_city".split()
+
+
+def similarity_samples(
+    rows: DataFrame, queries: DataFrame, names: DataFrame, addrs: DataFrame,
+    counts: dict[str, Column] | None = None, groups: dict[str, Column] | None = None,
+    click_score: Column | None = None, source_tag: Column | None = None,
+) -> DataFrame:
     """Rows with a ``dense`` list: 23 similarity, 6 other and 215 statistic features.
 
-    Rows carry query, name, addr, query_type and both coordinates.
+    Rows carry query, name, addr, query_type and both coordinates. ``counts`` and ``groups``
+    (41 numbers each) give the statistics by the names in COUNTS and GROUPS; those left out,
+    a score or a tag left out, are taken as missing.
     """
     r = similarity.similarity_features(rows, queries, names, addrs)
     km = geo.haversine_km(F.col("lng"), F.col("lat"), F.col("item_lng"), F.col("item_lat"))
@@ -49,11 +59,9 @@ def similarity_samples(rows: DataFrame, queries: DataFrame, names: DataFrame, ad
     zero = F.lit(0.0)
     none = F.lit(None).cast("array<double>")
     statistics = features.masked_statistics(
-        F.col("query_type"), km, F.lit(None).cast("double"), F.lit(None).cast("string"),
-        {k: F.lit(None) for k in ("common_end", "common_start", "person_end", "person_start", "common_total")},
-        {k: none for k in ("dest_query_city", "dest_pid_query_city", "dest_query_geohash",
-                           "start_query_geohash", "dest_pid_city")},
-        ratio,
+        F.col("query_type"), km, F.lit(None).cast("double") if click_score is None else click_score,
+        F.lit(None).cast("string") if source_tag is None else source_tag,
+        {k: F.lit(None) for k in COUNTS} | (counts or {}), {k: none for k in GROUPS} | (groups or {}), ratio,
     )
     other = F.array(zero, (F.col("query_type") == 1).cast("double"), zero, km, zero, zero)
     return r.withColumn("dense", F.concat("sim", other, statistics)).drop("sim")
