@@ -28,7 +28,7 @@ grows with the square of a segment's length (letters without a break).
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,42 +103,48 @@ def byte_ids(model: str) -> list[int]:
     return [own.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
+EDGE = "struct<k:int,ids:array<int>,rank:bigint,ends:array<bigint>,begins:array<bigint>>"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _fold(places: Column, length: Column) -> Column:
-    """Ids of a segment. places: for each position (s, edges), s from 1."""
-    # To each place, the pieces that cross the boundary before it: x characters before and y after.
-    crossed = F.transform(places, lambda at: F.struct(
-        at["edges"].alias("edges"),
-        F.flatten(F.transform(
-            F.filter(F.slice(places, F.greatest(at["s"] - (LONGEST - 1), F.lit(1)), F.least(at["s"], F.lit(LONGEST))), lambda o: o["s"] < at["s"]),
-            lambda o: F.transform(
-                F.filter(o["edges"], lambda e: e["k"] > at["s"] - o["s"]),
-                lambda e: F.struct(e["rank"].alias("rank"), (at["s"] - o["s"]).alias("x"), (e["k"] - (at["s"] - o["s"])).alias("y"))),
-        )).alias("cross")))
-
-    def admissible(path: Column, s: Column, edge: Column, cross: Column) -> Column:
-        before = F.get(path, s - 2)["ends"]
-        merges = F.exists(cross, lambda c: F.coalesce(
-            (c["rank"] < F.get(before, c["x"] - 1)) & (c["rank"] <= F.get(edge["begins"], c["y"] - 1)), F.lit(False)))
-        return (s == 1) | ~merges
-
-    def step(path: Column, p: Column) -> Column:
-        starts = F.sequence(F.greatest(p - (LONGEST - 1), F.lit(1)), p)
-        found = F.flatten(F.transform(starts, lambda s: F.transform(
-            F.filter(F.get(crossed_name, s - 1)["edges"], lambda e: (e["k"] == p - s + 1) & admissible(path, s, e, F.get(crossed_name, s - 1)["cross"])),
-            lambda e: F.struct(s.alias("s"), e["ids"].alias("ids"), e["ends"].alias("ends")))))
-        return F.concat(path, F.array(F.get(found, F.lit(0))))
-
-    crossed_name = F.col("__places")
-    kind = "array<struct<s:int,ids:array<int>,ends:array<bigint>>>"
-    path = F.aggregate(F.sequence(F.lit(1), length), F.array().cast(kind), step)
-    back = F.aggregate(
-        F.reverse(F.sequence(F.lit(1), length)),
-        F.struct(length.alias("p"), F.array().cast("array<array<int>>").alias("ids")),
-        lambda state, p: F.when(
-            state["p"] == p,
-            F.struct((F.get(F.col("__path"), p - 1)["s"] - 1).alias("p"), F.concat(F.array(F.get(F.col("__path"), p - 1)["ids"]), state["ids"]).alias("ids")),
-        ).otherwise(state))
-    return crossed, path, F.flatten(back["ids"])
+    """Ids of a segment. places: for each position (e, the edges that end there), e from 1."""
+
+    def crossing(at: Column) -> Column:
+        """The pieces that cross the boundary before a position: x characters before it and y after."""
+        ahead = F.slice(places, at["e"], F.lit(LONGEST - 1))
+        return F.flatten(F.transform(ahead, lambda o: F.transform(
+            F.filter(o["edges"], lambda e: e["k"] > o["e"] - at["e"] + 1),
+            lambda e: F.struct(e["rank"].alias("rank"), (at["e"] - o["e"] + e["k"] - 1).alias("x"), (o["e"] - at["e"] + 1).alias("y")))))
+
+    def path_of(crossed: Column) -> Column:
+        def admissible(path: Column, edge: Column, s: Column) -> Column:
+            merges = F.exists(F.get(crossed, s - 1)["cross"], lambda c: F.coalesce(
+                (c["rank"] < F.get(F.get(path, s - 2)["ends"], c["x"] - 1)) & (c["rank"] <= F.get(edge["begins"], c["y"] - 1)), F.lit(False)))
+            return (s == 1) | ~merges
+
+        def step(path: Column, p: Column) -> Column:
+            last = F.aggregate(
+                F.get(crossed, p - 1)["edges"], F.lit(None).cast(EDGE),
+                lambda found, e: F.coalesce(found, F.when(admissible(path, e, p - e["k"] + 1), e)))
+            return F.concat(path, F.array(last))
+
+        return F.aggregate(F.sequence(F.lit(1), length), F.array().cast(f"array<{EDGE}>"), step)
+
+    def back(path: Column) -> Column:
+        found = F.aggregate(
+            F.reverse(F.sequence(F.lit(1), length)),
+            F.struct(length.alias("p"), F.array().cast("array<array<int>>").alias("ids")),
+            lambda state, p: F.when(state["p"] == p, _once(F.get(path, p - 1), lambda e: F.struct(
+                (p - e["k"]).alias("p"), F.concat(F.array(e["ids"]), state["ids"]).alias("ids")))).otherwise(state))
+        return F.flatten(found["ids"])
+
+    crossed = F.transform(places, lambda at: F.struct(at["edges"].alias("edges"), crossing(at).alias("cross")))
+    return _once(crossed, lambda c: _once(path_of(c), back))
 
 
 def encode_segments(segments: DataFrame, model: str, keys: list[str]) -> DataFrame:
@@ -156,16 +162,13 @@ def encode_segments(segments: DataFrame, model: str, keys: list[str]) -> DataFra
         lambda i: F.get(bytes_of, F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
     edges = (
         parts.join(pieces, F.col("part") == F.col("piece"), "left").where(F.col("id").isNotNull() | (F.col("k") == 1))
-        .select(*keys, "s", F.struct(
+        .select(*keys, (F.col("s") + F.col("k") - 1).alias("e"), F.struct(
             "k", F.when(F.col("id").isNull(), raw).otherwise(F.array("id")).alias("ids"),
             F.coalesce("rank", F.lit(NEVER)).alias("rank"), "ends", "begins").alias("edge"))
     )
-    places = edges.groupBy(*keys, "s").agg(F.collect_list("edge").alias("edges"))
-    words = places.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s", "edges"))).alias("__rows"))
-    length = F.length("segment")
-    crossed, path, ids = _fold(F.col("__rows"), length)
-    words = words.select(*keys, crossed.alias("__places"))
-    return words.select(*keys, path.alias("__path")).select(*keys, ids.alias("ids"))
+    places = edges.groupBy(*keys, "e").agg(F.collect_list("edge").alias("edges"))
+    words = places.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("e", "edges"))).alias("__places"))
+    return words.select(*keys, _fold(F.col("__places"), F.length("segment")).alias("ids"))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
