@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankspark import session
@@ -39,13 +39,13 @@ from rankspark.llm.texts import row_slices, table, utf8
 
 #: Shingles counted at a time in pass one; a shingle that is twice in such a chunk is a candidate for the frequent ones.
 CHUNK = 1 << 21
-#: Entries the table of frequent shingles can have: it keeps those with a share of at least 1 / MOST_FREQUENT of all.
-MOST_FREQUENT = 1_000_000
+#: Entries that the table of frequent shingles can have, which is broadcast: those of the highest counts.
+MOST_FREQUENT = 2_000_000
 #: A set of ids up to this size may be broadcast; beyond, the same join is a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Ranges of the hash space that the suffix filter compares.
 RANGES = 64
-SKETCH = "doc_id long, sig binary, n int, ranges binary, prefix array<long>"
+SKETCH = "doc_id long, sig binary, n int, ranges binary, low long, high long, prefix array<long>"
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -71,18 +71,15 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
 def frequent_shingles(documents: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of the frequent shingles, sorted by hash.
 
-    Every chunk of the data reports what it holds at least twice; the sums of at least a share of
-    1 / MOST_FREQUENT of all shingles are kept, so there are MOST_FREQUENT of them at most.
+    Every chunk of the data reports what it holds at least twice; of the sums the highest are kept,
+    by steps of count, so that there are MOST_FREQUENT of them at most.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            total, often = int(times.sum()), times > 1
-            return pa.record_batch({
-                "h": pa.concat_arrays([pa.array(values[often].view(np.int64)), pa.array([None], pa.int64())]),
-                "times": pa.array(np.append(times[often], total).astype(np.int64)),
-            })
+            often = times > 1
+            return pa.record_batch({"h": pa.array(values[often].view(np.int64)), "times": pa.array(times[often].astype(np.int64))})
 
         held, size = [], 0
         for batch in row_slices(batches):
@@ -99,9 +96,14 @@ def frequent_shingles(documents: DataFrame, n: int) -> tuple[np.ndarray, np.ndar
     found = session.materialise(
         documents.select(utf8("text").alias("text")).mapInArrow(counts, "h long, times long")
         .groupBy("h").agg(F.sum("times").alias("times")), "shingle-counts")
-    total = found.where("h is null").agg(F.sum("times")).first()[0] or 0
-    least = max(4, -(-total // MOST_FREQUENT))
-    rows = found.where(F.col("h").isNotNull() & (F.col("times") >= least)).toArrow()
+    step = F.floor(8 * F.log2("times"))
+    held, least = 0, None
+    for row in found.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():  # a few hundred rows
+        held += row["k"]
+        if held > MOST_FREQUENT:
+            break
+        least = row["step"]
+    rows = found.where(step >= least if least is not None else F.lit(False)).toArrow()
     values, times = rows.column("h").to_numpy().view(np.uint64), rows.column("times").to_numpy()
     order = np.argsort(values)
     return values[order], times[order]
@@ -114,6 +116,15 @@ def ranges_of(shingles: np.ndarray) -> bytes:
     return held.astype(kind).tobytes()
 
 
+def coarse_ranges(data: bytes) -> tuple[int, int]:
+    """The same for 16 ranges, a byte each in two numbers; all bits are set if a byte can't hold one."""
+    held = ranges_from(data).reshape(16, -1).sum(axis=1)
+    if held.max(initial=0) > 255:
+        return -1, -1
+    low, high = held.astype(np.uint8).view("<i8").tolist()
+    return low, high
+
+
 def ranges_from(data: bytes) -> np.ndarray:
     return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // RANGES]).astype(np.int64)
 
@@ -125,7 +136,7 @@ def sketches(documents: DataFrame, n: int, percent: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = shared.value
         for batch in row_slices(batches):
-            rows: dict[str, list] = {"sig": [], "n": [], "ranges": [], "prefix": []}
+            rows: dict[str, list] = {"sig": [], "n": [], "ranges": [], "low": [], "high": [], "prefix": []}
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, n)
                 size = len(found)
@@ -138,8 +149,11 @@ def sketches(documents: DataFrame, n: int, percent: int) -> DataFrame:
                 rows["sig"].append(xxhash.xxh3_128_digest(found.tobytes()))
                 rows["n"].append(size)
                 rows["ranges"].append(ranges_of(found))
+                low, high = coarse_ranges(rows["ranges"][-1])
+                rows["low"].append(low)
+                rows["high"].append(high)
                 rows["prefix"].append(found[order].view(np.int64))
-            kinds = {"sig": pa.binary(), "n": pa.int32(), "ranges": pa.binary(), "prefix": pa.list_(pa.int64())}
+            kinds = {"sig": pa.binary(), "n": pa.int32(), "ranges": pa.binary(), "low": pa.int64(), "high": pa.int64(), "prefix": pa.list_(pa.int64())}
             yield pa.record_batch({"doc_id": batch.column(0)} | {k: pa.array(rows[k], kinds[k]) for k in kinds})
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
@@ -151,6 +165,16 @@ def needed(a: Column, b: Column, percent: int) -> Column:
     return F.floor(((a + b) * percent + 99 + percent) / (100 + percent)).cast("int")
 
 
+def _overlap_fits(left: str, right: str, percent: int) -> Column:
+    """Suffix filter within a join: the coarse range counts bound the intersection."""
+    most = F.lit(0)
+    for name in ("low", "high"):
+        for shift in range(0, 64, 8):
+            most += F.least(*(F.shiftrightunsigned(F.col(f"{side}.{name}"), shift).bitwiseAND(F.lit(255)) for side in (left, right)))
+    full = (F.col(f"{left}.low") == -1) | (F.col(f"{right}.low") == -1)
+    return full | (most >= needed(F.col(f"{left}.n"), F.col(f"{right}.n"), percent))
+
+
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     """Suffix filter: the range counts of both sets bound their intersection."""
 
@@ -205,11 +229,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, n: int
 
 
 def _near(left: str, right: str, percent: int) -> Column:
-    """Length and positional filters of two postings of the same n-gram."""
+    """Length and positional filters of two postings of the same n-gram.
+
+    Before it each set has ``pos`` n-grams, of which ``shared`` are in another prefix too; only
+    these can be in both sets, as both list them in the same order.
+    """
     a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
-    i, j = F.col(f"{left}.pos"), F.col(f"{right}.pos")
+    after = F.least(a - F.col(f"{left}.pos"), b - F.col(f"{right}.pos"))
     least = needed(a, b, percent)
-    return (least <= F.least(a, b)) & (F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1) >= least)
+    return (least <= F.least(a, b)) & (F.least(f"{left}.shared", f"{right}.shared") + after >= least)
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -221,10 +249,14 @@ def _labels(links: DataFrame) -> DataFrame:
 def linked(classes: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect all that are similar."""
     postings = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    own = F.struct("n", "node", "pos")
-    hubs = postings.groupBy("token").agg(F.count("*").alias("k"), F.min(own).alias("low"), F.max(own).alias("high"))
-    # What no other class has can't make a pair; the rest is written with the hubs of its n-gram.
-    shared = session.materialise(postings.join(hubs.where("k > 1").drop("k"), "token"), "postings")
+    # What no other class has can't make a pair; the rest is written with the hubs of its n-gram: the
+    # set that has the fewest rarer n-grams of its own, and the longest set.
+    frequent = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    before = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1
+    shared = session.materialise(postings.join(frequent, "token").withColumn("shared", before), "postings")
+    hubs = shared.groupBy("token").agg(
+        F.min(F.struct("pos", "n", "node", "shared")).alias("low"), F.max(F.struct("n", "pos", "node", "shared")).alias("high"))
+    shared = session.materialise(shared.join(hubs, "token"), "postings")
 
     links = tested = None
     for hub in ("low", "high"):
@@ -237,7 +269,7 @@ def linked(classes: DataFrame, documents: DataFrame, n: int, percent: int) -> Da
                       F.col(f"{hub}.node") == F.col("hub_node"), "left")
                 .where(F.coalesce("label", "node") != F.coalesce("hub_label", f"{hub}.node"))
             )
-        near = F.struct("node", "n", "pos")
+        near = F.struct("node", "n", "pos", "shared")
         pairs = (
             ask.select(near.alias("x"), F.col(hub).alias("y")).where("x.node <> y.node").where(_near("x", "y", percent))
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
@@ -252,16 +284,17 @@ def linked(classes: DataFrame, documents: DataFrame, n: int, percent: int) -> Da
     # All pairs of an n-gram that aren't known to be connected. The most common label of an n-gram is
     # joined with the others only, so a large connected group meets just what lies outside it.
     labelled = shared.join(_labels(links), "node", "left").select(
-        "token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+        "token", "node", "n", "pos", "shared", F.coalesce("label", "node").alias("label"))
     labelled = session.materialise(labelled, "postings")
     sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"))
     mixed = labelled.join(main.where("labels > 1").select("token", "main"), "token")
-    mixed = session.materialise(mixed.withColumn("inside", F.col("label") == F.col("main")).drop("main"), "postings")
+    mixed = mixed.withColumn("inside", F.col("label") == F.col("main")).drop("main")
+    mixed = session.materialise(mixed.join(classes.select("node", "low", "high"), "node"), "postings")
     x, y = mixed.where("not inside").alias("x"), mixed.alias("y")
     rest = (
         x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label"))
-               & (F.col("y.inside") | (F.col("x.node") < F.col("y.node"))) & _near("x", "y", percent))
+               & (F.col("y.inside") | (F.col("x.node") < F.col("y.node"))) & _near("x", "y", percent) & _overlap_fits("x", "y", percent))
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         .join(tested, ["a", "b"], "left_anti")
     )
@@ -278,7 +311,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     rows = sketches(documents, n, percent)
     classes = (
         rows.where("n > 0").groupBy("sig")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.first("prefix").alias("prefix"))
+        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("ranges", "low", "high", "prefix")))
     )
     # Classes without any id get a stand-in beyond all ids, so that they can link too.
     stand_in = F.shiftrightunsigned(F.xxhash64("sig"), 2) + F.lit(1 << 62)
