@@ -183,10 +183,15 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
         own = zstandard.ZstdCompressionDict(words) if words else None
         packer = zstandard.ZstdCompressor(level=3, dict_data=own, write_checksum=True)
         lead = [dictionary_frame(words)] if words else []
+        now, to = None, {}
         for batch in row_slices(batches, 64):
             out = []
-            for page_id, url, html, others in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "revisits")), strict=True):
-                to = {r["digest"]: r["response"] for r in others or ()}
+            for key, page_id, url, html, others in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "url", "html", "revisits")), strict=True):
+                if key != now:
+                    now, to = key, {}
+                if others is not None:  # comes before the pages of its key
+                    to = {r["digest"]: r["response"] for r in others}
+                    continue
                 response = to.get(hashlib.sha256(html).hexdigest()) if to else None
                 out.append(packer.compress(record(page_id, url, html, response, response is not None)))
             if out:
@@ -194,9 +199,11 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
                 lead = []
 
     n = max(1, -(-total // archive_bytes))
-    rows = pages.select(key.alias("key"), "page_id", "url", payload.alias("html")).repartition(n, "key")
-    joined = rows.join(revisits.repartition(n, "key"), "key", "left").drop("key")
-    joined.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string")).write.option(
+    # What a page revisits goes ahead of it in one exchange; a join would need the texts sorted as well.
+    rows = pages.select(key.alias("key"), F.lit(1).alias("kind"), "page_id", "url", payload.alias("html"))
+    both = revisits.withColumn("kind", F.lit(0)).unionByName(rows, allowMissingColumns=True)
+    dealt = both.repartition(n, "key").sortWithinPartitions("key", "kind")
+    dealt.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string")).write.option(
         "lineSep", EMPTY_FRAME.decode("ascii")).option("compression", "none").text(path)
 
 
