@@ -1,7 +1,7 @@
 """Document fingerprints from improbable features.
 
 A feature is a window of 64 bytes. Windows are ranked by how rare their entropy is in the corpus
-(the histogram covers every document in whole); in each run of 64 windows the rarest is marked,
+(the histogram counts every window of every document); in each run of 64 windows the rarest is marked,
 and windows marked often enough are the features. They go, 160 to a filter, into a chain of Bloom
 filters of 2048 bits. Two chains are as alike as the mean, over the filters of the shorter one, of
 the best overlap beyond chance with a filter of the other.
@@ -72,21 +72,27 @@ def entropy_levels(data: np.ndarray) -> np.ndarray:
     return _levels(np.concatenate(([first], first + np.cumsum(steps))))
 
 
+def level_counts(texts: list[bytes]) -> np.ndarray:
+    """How many windows of the texts have each level: every window within a text, none across two."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    within, end = np.ones(len(data), bool), 0
+    for text in texts:
+        start, end = end, end + len(text)
+        within[max(start, end - WINDOW + 1) : end] = False
+    counts = np.zeros(LEVELS, np.int64)
+    for s in range(0, len(data) - WINDOW + 1, SLICE):
+        levels = entropy_levels(data[s : s + SLICE + WINDOW - 1])
+        counts += np.bincount(levels[within[s : s + len(levels)]], minlength=LEVELS)
+    return counts
+
+
 def level_ranks(documents: DataFrame) -> np.ndarray:
-    """For each level its rank: 0 for the rarest over all texts, cut into windows end to end."""
+    """For each level its rank: 0 for the rarest over every window of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(LEVELS, np.int64)
         for batch in row_slices(batches, 64):
-            cut = [t[: len(t) // WINDOW * WINDOW] for t in batch.column(0).to_pylist()]
-            windows = np.sort(np.frombuffer(b"".join(cut), np.uint8).reshape(-1, WINDOW), axis=1)
-            for start in range(0, len(windows), SLICE // WINDOW):
-                some = windows[start : start + SLICE // WINDOW]
-                edge = np.ones((len(some), WINDOW), bool)
-                edge[:, 1:] = some[:, 1:] != some[:, :-1]
-                at = np.flatnonzero(edge)
-                runs = _TERM[np.diff(at, append=some.size)]
-                held += np.bincount(_levels(np.add.reduceat(runs, np.cumsum(edge.sum(axis=1)) - edge.sum(axis=1))), minlength=LEVELS)
+            held += level_counts(batch.column(0).to_pylist())
         yield pa.record_batch({"level": pa.array(np.arange(LEVELS)), "times": pa.array(held)})
 
     counts = documents.select(utf8("text").alias("text")).mapInArrow(count, "level long, times long")

@@ -287,6 +287,22 @@ def test_levels_by_counting():
             assert got[i] == (fingerprints._MOST - terms) * 1000 // fingerprints._MOST
 
 
+def test_levels_are_counted_over_every_window(spark, monkeypatch):
+    """Shifted windows, the tail and both sides of a slice count; windows across two texts don't."""
+    monkeypatch.setattr(fingerprints, "SLICE", 100)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aaab cdeé", k=k)) for k in (0, 1, 63, 64, 65, 127, 130, 700)] + ["x" * 64 + "the rare tail of a text"]
+    times = Counter()
+    for text in (t.encode() for t in texts):
+        for i in range(len(text) - 63):
+            terms = sum(int(fingerprints._TERM[k]) for k in Counter(text[i : i + 64]).values())
+            times[(fingerprints._MOST - terms) * 1000 // fingerprints._MOST] += 1
+    counts = fingerprints.level_counts([t.encode() for t in texts])
+    assert {level: n for level, n in enumerate(counts.tolist()) if n} == times
+    ranks = fingerprints.level_ranks(spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3))
+    assert np.argsort(ranks).tolist() == sorted(range(fingerprints.LEVELS), key=lambda level: (times[level], level))
+
+
 def test_fingerprints_do_not_depend_on_neighbours():
     rng = random.Random(3)
     texts = ["".join(rng.choices("abcdefgh éü", k=rng.choice([0, 1, 5, 63, 64, 65, 130, 500, 3000]))).encode() for _ in range(50)]
