@@ -18,6 +18,9 @@ from rankspark.session import materialise
 # Vectors per side of one scoring block; a block and its score matrix stay small.
 BLOCK_ROWS = 20_000
 SCORE_DIGITS = 6
+# Queries that set the number of probed cells, and the share of their true neighbours these must hold.
+PROBE_SAMPLE = 512
+PROBE_RECALL = 0.95
 
 
 def route_to_city(queries: DataFrame, items: DataFrame, default_city: int) -> DataFrame:
@@ -173,17 +176,43 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, n_cells: int = 16)
     return top_k(both, ["query_id"], [F.desc("score"), F.col("item_id")], k)
 
 
-def probe_top_k(queries: DataFrame, items: DataFrame, k: int, n_cells: int = 16, n_probes: int = 4) -> DataFrame:
-    """Approximate top-k: each query searches its ``n_probes`` nearest cells only."""
+def needed_probes(queries: DataFrame, items: DataFrame, k: int, n_cells: int, recall: float) -> int:
+    """Fewest nearest cells that hold the ``recall`` of the true top-k of a sample of the queries.
+
+    ``queries``: query_id, vector, order (their cells, nearest first); ``items``: item_id, cell, vector.
+    The sample only sets the number; it searches all cells.
+    """
+    sample = materialise(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(PROBE_SAMPLE), "sample")
+    every = sample.select("query_id", "vector", F.explode("order").alias("cell"))
+    true = cell_top_k(every, items, k).select("query_id", "item_id")
+    # At most PROBE_SAMPLE * k rows, and PROBE_SAMPLE of the sample.
+    cells = items.select("item_id", "cell").join(F.broadcast(true), "item_id")
+    nth = F.array_position("order", F.col("cell")).cast("int")
+    placed = cells.join(F.broadcast(sample.select("query_id", "order")), "query_id").groupBy(nth.alias("nth")).count().collect()
+    held = {r["nth"]: r["count"] for r in placed}
+    total = sum(held.values())
+    return next((p for p in range(1, n_cells) if total and sum(held.get(i, 0) for i in range(1, p + 1)) >= recall * total), n_cells)
+
+
+def probe_top_k(
+    queries: DataFrame, items: DataFrame, k: int, n_cells: int = 16, n_probes: int | None = None, recall: float = PROBE_RECALL
+) -> DataFrame:
+    """Approximate top-k: each query searches its ``n_probes`` nearest cells only.
+
+    Without a number of probes it is the fewest that reach ``recall`` on a sample of the queries, up
+    to all cells.
+    """
     centres = fit_cells(items, n_cells)
     placed = materialise(into_cells(items, centres).select("item_id", "cell", "vector"), "cells")
     order = F.array_sort(F.transform("d", lambda x, c: F.struct(x.alias("d"), c.alias("c"))))
     q = queries.withColumn("d", _distances(F.col("vector"), centres)).select(
-        "query_id", "vector", F.explode(F.slice(order, 1, n_probes)).alias("e")
-    ).select(
-        "query_id", "vector", F.col("e.c").alias("cell")
+        "query_id", "vector", F.transform(order, lambda e: e.c).alias("order")
     )
-    return cell_top_k(q, placed, k)
+    if n_probes is None:
+        q = materialise(q, "queries")
+        n_probes = needed_probes(q, placed, k, len(centres), recall)
+    near = q.select("query_id", "vector", F.explode(F.slice("order", 1, n_probes)).alias("cell"))
+    return cell_top_k(near, placed, k)
 
 
 def hard_negatives(queries: DataFrame, items: DataFrame, clicked: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rankspark import catalog
 from rankspark.functions import text
 from rankspark.operators import groups, metrics, models, pairs, profile, retrieval, sampling, skew
 from rankspark.session import new_path
@@ -119,6 +120,23 @@ def test_probe_recall(cloud):
     assert len(got & exact) / len(exact) > 0.8
 
 
+def test_registered_probe_recall(spark, small):
+    """knn_lsh as registered against knn_exact."""
+    queries = catalog.load()[0]
+    exact, got = (found(queries[name](spark, small)) for name in ("knn_exact", "knn_lsh"))
+    assert len(got & exact) / len(exact) >= 0.9
+
+
+def test_probes_fit_a_corpus_without_clusters(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(900, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    frame = lambda rows, name: spark.createDataFrame([(i, v[i].tolist()) for i in rows], f"{name} bigint, vector array<double>")
+    got = found(retrieval.probe_top_k(frame(range(800, 900), "query_id"), frame(range(800), "item_id"), 10))
+    exact = {(q, int(i)) for q in range(800, 900) for i in np.argsort(-(v[:800] @ v[q]))[:10]}
+    assert len(got & exact) / len(exact) >= 0.9
+
+
 # ---------------------------------------------------------------- models and metrics
 
 
