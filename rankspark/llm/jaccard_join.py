@@ -13,8 +13,9 @@ Steps, each a Spark job over written tables:
    whole sets.
 5. Components of the verified links, by star steps.
 
-No pair within a connected group is enumerated beyond those with its hubs, and no list of
-candidates is cut. Set members are 64-bit hashes of the n-grams.
+For components no pair within a connected group is enumerated beyond those with its hubs;
+``similarity_join`` enumerates and verifies all candidates, for all links and the links of each
+document. No list of candidates is cut. Set members are 64-bit hashes of the n-grams.
 
 Defined cases: null or empty text, or text without words, is an empty set, which links with
 nothing; a text of fewer words than n is one n-gram; rows that share a doc_id count as one
@@ -301,6 +302,51 @@ def linked(classes: DataFrame, documents: DataFrame, n: int, percent: int) -> Da
     return links.unionByName(_verified(session.materialise(rest, "pairs"), classes, documents, n, percent))
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """Documents with equal sets as one row, named by the smallest id."""
+    classes = (
+        rows.where("n > 0").groupBy("sig")
+        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("ranges", "low", "high", "prefix")))
+    )
+    # Classes without any id get a stand-in beyond all ids, so that they can link too.
+    stand_in = F.shiftrightunsigned(F.xxhash64("sig"), 2) + F.lit(1 << 62)
+    return session.materialise(classes.withColumn("node", F.coalesce("rep", stand_in)), "classes")
+
+
+def similarity_join(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The whole join: members (doc_id, class) and all links (a, b) between classes, a < b.
+
+    Every row of ``documents`` is a member; an empty set has no class. Rows of one class have equal
+    sets and are linked too. Classes are those of distinct texts (by 64-bit hashes), so rows that
+    share an id, or have none, are linked by their own texts only.
+    """
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = session.materialise(rows.groupBy("key").agg(F.first("text").alias("text")).withColumnRenamed("key", "doc_id"), "distinct-texts")
+    found = sketches(texts, n, percent)
+    classes = _classes(found)
+    postings = classes.select("node", "n", "low", "high", F.posexplode("prefix").alias("pos", "token"))
+    frequent = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    before = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1
+    postings = session.materialise(postings.join(frequent, "token").withColumn("shared", before), "postings")
+    x, y = postings.alias("x"), postings.alias("y")
+    pairs = x.join(
+        y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _near("x", "y", percent) & _overlap_fits("x", "y", percent)
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    links = _verified(session.materialise(pairs, "pairs"), classes, texts, n, percent)
+    of_text = found.where("n > 0").select(F.col("doc_id").alias("key"), "sig").join(classes.select("sig", F.col("node").alias("class")), "sig")
+    return rows.select("doc_id", "key").join(of_text.select("key", "class"), "key", "left").select("doc_id", "class"), links
+
+
+def link_counts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_links) per member: how many other rows are similar, from what ``similarity_join`` gives."""
+    sizes = session.materialise(members.where("class is not null").groupBy("class").agg(F.count("*").alias("size")), "class-sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes, F.col("b") == F.col("class")).groupBy("a").agg(F.sum("size").alias("others"))
+    counts = sizes.join(others, F.col("class") == F.col("a"), "left").select(
+        "class", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(counts, "class", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``documents`` (columns doc_id and text).
 
@@ -309,13 +355,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     """
     documents = documents.select("doc_id", "text")
     rows = sketches(documents, n, percent)
-    classes = (
-        rows.where("n > 0").groupBy("sig")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("ranges", "low", "high", "prefix")))
-    )
-    # Classes without any id get a stand-in beyond all ids, so that they can link too.
-    stand_in = F.shiftrightunsigned(F.xxhash64("sig"), 2) + F.lit(1 << 62)
-    classes = session.materialise(classes.withColumn("node", F.coalesce("rep", stand_in)), "classes")
+    classes = _classes(rows)
     labels = components(linked(classes, documents, n, percent))
     named = (
         classes.join(labels, "node", "left").select("sig", F.coalesce("label", "node").alias("label"))

@@ -118,6 +118,45 @@ def test_jaccard_links_of_many_near_copies(spark):
     assert Counter(map(tuple, got.collect())) == plain_components(rows, 3, 90)
 
 
+def plain_links(rows, n, percent):
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
+        sets.append({tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    similar = lambda a, b: a & b and 100 * len(a & b) >= percent * len(a | b)
+    return [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if similar(sets[i], sets[j])]
+
+
+def whole_join(spark, rows, n, percent):
+    """Pairs of doc_ids (with how many row pairs each) and the counts of links, from the operator."""
+    members, links = jaccard_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, percent)
+    of = defaultdict(list)
+    for r in members.where("class is not null").collect():
+        of[r["class"]].append(r.doc_id)
+    pairs = [p for ids in of.values() for p in itertools.combinations(ids, 2)]
+    pairs += [(a, b) for link in links.collect() for a in of[link.a] for b in of[link.b]]
+    return Counter(frozenset(p) for p in pairs), Counter(map(tuple, jaccard_join.link_counts(members, links).collect()))
+
+
+def test_whole_join_has_every_link(spark, odd_rows):
+    """Links inside a connected group of near copies, exact copies, and rows that share an id or have none."""
+    rng = random.Random(2)
+    base = [f"t{i}" for i in range(120)]
+    rows = [(1000 + i, " ".join(base[:i] + [f"n{i}"] + base[i + 1 :])) for i in range(30)]
+    rows += [(1100 + i, rows[0][1]) for i in range(3)] + [r[:2] for r in odd_rows] + [(30, words_of(rng)), (None, words_of(rng))]
+    for n, percent in ((3, 90), (5, 80)):
+        want = plain_links(rows, n, percent)
+        pairs, counts = whole_join(spark, rows, n, percent)
+        assert pairs == Counter(frozenset((rows[i][0], rows[j][0])) for i, j in want)
+        degree = Counter(i for pair in want for i in pair)
+        assert counts == Counter((d, degree[i]) for i, (d, _) in enumerate(rows))
+    assert len(want) > 33 * 32 / 2
+
+
+def words_of(rng):
+    return " ".join(f"w{rng.randrange(400)}" for _ in range(50))
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
