@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register a query each.
 MODULES = ("line_dedup", "jaccard_join", "packing", "toxicity", "token_files", "warc", "fingerprints", "exact_topk", "url_filters",
-    "sentencepiece_lattice", "vector_codes", "filter_audit")
+    "sentencepiece_lattice", "vector_codes", "filter_audit", "html_text")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
