@@ -8,9 +8,11 @@ back from the counters without E (a negative count) and entered with it. What le
 these changes (doc_id, part, mask, n); their sums are right after each micro-batch, and a later run
 on the same checkpoint goes on with the files that are new.
 
-A task passes on one row per text for its smallest id, and the other copies go around the state, so
-a text that a third of all rows have gives each micro-batch at most one state row per task. State is
-kept by RocksDB on the executors' disks with its changes in the shared folder.
+A key of the state is a bucket of text digests, about ``TEXTS_PER_KEY`` of them, so that the calls
+into Python are few; what a key holds is bounded by that, whatever the copies. A task passes on one
+row per text for its smallest id, and the other copies go around the state, so a text that a third of
+all rows have gives each micro-batch at most one state row per task and part. State is kept by
+RocksDB on the executors' disks with its changes in the shared folder.
 
 All 120 orders are counted from the sums per (part, mask), at most 32 a part.
 
@@ -26,7 +28,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import permutations
 
 import pandas as pd
@@ -50,14 +54,16 @@ SIGNS = re.compile(rb"[#$%&*|]")
 
 #: Micro-batches that a run has at least, if there are so many files, and the files that one has at most.
 LEAST_BATCHES, MOST_FILES = 4, 20_000
+#: Texts that share a key of the state, about.
+TEXTS_PER_KEY = 256
 #: Distinct (text, id, part) that a task holds before it passes them on.
 HELD = 200_000
-#: Rows of larger ids that go around the state together.
+#: Rows that go around the state together; their keys are negative.
 AROUND = 2_000
-#: A key of such rows begins so; a text's key is hexadecimal.
-NO_TEXT = "~"
 
-CHANGE = "doc_id long, part string, mask int, n long"
+#: An id that is null is 0 with ``has_id`` false: integers with nulls would become floats in pandas.
+CHANGE = "doc_id long, has_id boolean, part string, mask int, n long"
+FIELDS = ["doc_id", "has_id", "part", "mask", "n"]
 
 
 def mask_of(text: bytes) -> int:
@@ -74,9 +80,8 @@ def mask_of(text: bytes) -> int:
     return mask | 8 if SIGNS.search(text) else mask
 
 
-def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, part, mask, n) of a task's documents: for each text its smallest id, and the rest around the state."""
-    names = ["key", "doc_id", "part", "mask", "n"]
+def combined(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """(key, digest, change) of a task's documents: for each text its smallest id, and the rest around the state."""
     held: dict[bytes, tuple[int, dict[int | None, dict[str, int]]]] = {}
     task, turn, size = TaskContext.get().partitionId(), 0, 0
 
@@ -88,15 +93,15 @@ def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc_id, parts in ids.items():
                 for part, n in parts.items():
                     if doc_id is not None and doc_id == least:
-                        rows.append((digest.hex(), doc_id, part, mask, n))
+                        rows.append((int.from_bytes(digest[:8]) % keys, digest, doc_id, True, part, mask, n))
                     else:
-                        around.append((None, doc_id, part, mask if doc_id is None else mask | REPEATED, n))
+                        around.append((doc_id or 0, doc_id is not None, part, mask if doc_id is None else mask | REPEATED, n))
         for s in range(0, len(around), AROUND):
-            rows += [(f"{NO_TEXT}{task}-{turn}", *r[1:]) for r in around[s : s + AROUND]]
+            rows += [(-1 - (task << 24 | turn), b"", *r) for r in around[s : s + AROUND]]
             turn += 1
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "digest", *FIELDS])
 
     for batch in row_slices(batches):
         for doc_id, text, part in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -112,30 +117,34 @@ def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def changes_of(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes that the new rows of one text bring, and its new state: smallest id, mask, count of each part."""
-    if key[0].startswith(NO_TEXT):
+def _packed(texts: dict[str, list]) -> bytes:
+    return zlib.compress(json.dumps(texts, separators=(",", ":")).encode(), 1)
+
+
+def changes_of(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Changes that new rows bring to the texts of one key, and its new state: digest -> smallest id, mask, count of each part."""
+    if key[0] < 0:
         for frame in frames:
-            yield frame[["doc_id", "part", "mask", "n"]]
+            yield frame[FIELDS]
         return
-    rows = [r for frame in frames for r in frame[["doc_id", "part", "mask", "n"]].itertuples(index=False, name=None)]
-    least, mask, parts = None, rows[0][2], {}
-    if state.exists:
-        least, mask, kept = state.get
-        parts = json.loads(kept)
-    new = min(r[0] for r in rows)
+    texts: dict[str, list] = json.loads(zlib.decompress(state.get[0])) if state.exists else {}
     out = []
-    if least is not None and new < least:
-        for part, n in parts.items():
-            out += [(least, part, mask, -n), (least, part, mask | REPEATED, n)]
-    if least is None or new < least:
-        least, parts = new, {}
-    for doc_id, part, _, n in rows:
-        if doc_id == least:
-            parts[part] = parts.get(part, 0) + n
-        out.append((doc_id, part, mask if doc_id == least else mask | REPEATED, n))
-    state.update((int(least), int(mask), json.dumps({p: int(n) for p, n in parts.items()})))
-    yield pd.DataFrame(out, columns=["doc_id", "part", "mask", "n"])
+    for frame in frames:
+        for digest, doc_id, part, mask, n in zip(*(frame[c].tolist() for c in ("digest", "doc_id", "part", "mask", "n")), strict=True):
+            name = digest.hex()
+            known = texts.get(name)
+            if known is None or doc_id < known[0]:
+                if known is not None:
+                    for p, k in known[2].items():
+                        out += [(known[0], True, p, mask, -k), (known[0], True, p, mask | REPEATED, k)]
+                texts[name] = known = [doc_id, mask, {}]
+            if doc_id == known[0]:
+                known[2][part] = known[2].get(part, 0) + n
+                out.append((doc_id, True, part, mask, n))
+            else:
+                out.append((doc_id, True, part, mask | REPEATED, n))
+    state.update((_packed(texts),))
+    yield pd.DataFrame(out, columns=FIELDS)
 
 
 def open_files(spark: SparkSession, path: str) -> DataFrame:
@@ -147,19 +156,25 @@ def open_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files).parquet(pattern)
 
 
-def changes(documents: DataFrame, checkpoint: str, target: str) -> DataFrame:
+def state_keys(n_documents: int) -> int:
+    """Keys of the state for about so many documents; a checkpoint goes with the number it was begun with."""
+    return max(16, n_documents // TEXTS_PER_KEY)
+
+
+def changes(documents: DataFrame, checkpoint: str, target: str, keys: int) -> DataFrame:
     """Stream the documents (doc_id, text, lang) that are new since the checkpoint; all changes written to ``target`` so far."""
     spark = documents.sparkSession
     narrow = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"))
-    rows = narrow.mapInArrow(combined, f"key string, {CHANGE}")
-    found = rows.groupBy("key").applyInPandasWithState(
-        changes_of, CHANGE, "least long, mask int, parts string", "append", GroupStateTimeout.NoTimeout)
+    rows = narrow.mapInArrow(partial(combined, keys=keys), f"key long, digest binary, {CHANGE}")
+    found = rows.groupBy("key").applyInPandasWithState(changes_of, CHANGE, "texts binary", "append", GroupStateTimeout.NoTimeout)
     # A stream takes its settings when it starts; the session gets its own back.
     own = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        # Each store would reserve megabytes for its log otherwise.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in own}
@@ -176,7 +191,7 @@ def changes(documents: DataFrame, checkpoint: str, target: str) -> DataFrame:
             else:
                 spark.conf.set(k, v)
     running.awaitTermination()
-    return spark.read.schema(found.schema).parquet(target)
+    return spark.read.schema(found.schema).parquet(target).select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "part", "mask", "n")
 
 
 def mask_counts(changed: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,6 +272,8 @@ FROM found
 @query("op11_filter_audit", _sql())
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each filter removes at each step of each order, by language."""
+    path = f"{sf_dir}/documents.parquet"
     changed = changes(
-        open_files(spark, f"{sf_dir}/documents.parquet"), session.new_path(spark, "audit-checkpoint"), session.new_path(spark, "audit-changes"))
+        open_files(spark, path), session.new_path(spark, "audit-checkpoint"), session.new_path(spark, "audit-changes"),
+        state_keys(spark.read.parquet(path).count()))
     return audit(mask_counts(changed, spark.read.parquet(f"{sf_dir}/labels.parquet")))

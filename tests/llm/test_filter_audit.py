@@ -69,6 +69,7 @@ def odd_documents():
     texts += [None, "", "x" * 200_000, "ÀÉ" * 30 + "A" * 6, "\xa0".join("abc" * 40), "a\x0bb\x1cc d"]
     rows = [(i, rng.choice(texts), rng.choice(["en", "fr", "de", None, ""])) for i in range(220)]
     rows += [(rng.randrange(300), texts[0], "en") for _ in range(120)]
+    rows += [((1 << 60) + i, texts[3], "en") for i in range(3)] + [((1 << 60) + 9, "of a large id", "en")]
     rows += [(None, texts[0], "en"), (None, texts[0], None), (None, None, "fr"), (5, "once more", "fr"), (5, "once more", "fr"), (-7, texts[1], "de")]
     labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1, None])) for i in range(0, 300, 2)] + [(4, 1, 1), (4, 0, 0), (None, 1, 1), (9999, 1, 1)]
     return rows, labels
@@ -87,7 +88,7 @@ def written(spark, rows, n_files):
 
 def run(spark, path, labels, state=None):
     state = state or (session.new_path(spark, "state"), session.new_path(spark, "changes"))
-    changed = filter_audit.changes(filter_audit.open_files(spark, path), *state)
+    changed = filter_audit.changes(filter_audit.open_files(spark, path), *state, keys=7)
     return changed, filter_audit.audit(filter_audit.mask_counts(changed, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
 
 
