@@ -9,9 +9,9 @@ from rankspark.catalog.joins import SQL_LAST, SQL_TAKEN, item_index
 from rankspark.catalog.models import _trees
 from rankspark.catalog.numbers import SQL_KM, SQL_VOCAB, sql_fit, sql_ids, vocabulary
 from rankspark.catalog.records import SQL_NAME
-from rankspark.catalog.registry import check, ints
+from rankspark.catalog.registry import check, ints, scaled
 from rankspark.catalog.texts import sql_normalise
-from rankspark.functions import features, geo
+from rankspark.functions import calendar, features, geo, text
 from rankspark.operators import dictionary, groups, profile, records
 from rankspark.plans import jobs
 from rankspark.session import materialise, new_path
@@ -294,31 +294,88 @@ def job_union_rows(spark, d):
     )
 
 
-@check("job_multitask_pairs", "order_log", f"""
-WITH {SQL_TAKEN}, st AS (SELECT avg(f1) AS m, stddev_pop(f1) AS s FROM impressions),
-z AS (SELECT t.search_uid, t.data_type, t.impression_id, t.label - 1 AS click_label, CASE t.data_type WHEN 'order' THEN t.label - 1 ELSE 0 END AS order_label,
-  round((i.f1 - st.m) / st.s, 6) AS z1 FROM taken t JOIN impressions i USING (impression_id), st)
-SELECT 'train' AS part, p.search_uid, p.data_type, p.impression_id AS pos_impression_id, n.impression_id AS neg_impression_id, p.order_label AS pos_order_label,
-  n.click_label AS neg_click_label, p.z1 AS pos_z1, n.z1 AS neg_z1 FROM z p JOIN z n USING (search_uid) WHERE p.click_label = 1 AND n.click_label <> 1
-UNION ALL SELECT 'test', search_uid, data_type, impression_id, impression_id, order_label, click_label, z1, z1 FROM z WHERE data_type = 'order'""")
+# Trigrams of this many occurrences or fewer are unknown; dense lists by feature index (0 is the show position, 9 has no value).
+RARE_TRIGRAM = 60
+DENSE = {"top": [4, 2, 0, 9], "raw": [1, 3], "pid_city": [2, 2, 1]}
+SINGLE = {"uid_id": ("uid", "uid"), "city_idx": ("cityid", "city_id"), "poi_idx": ("poiid", "poi_id"), "layer_id": ("layer", "layer")}
+LISTS = {"query_trigrams": ("trigram", "query", 32), "name_trigrams": ("trigram", "name_address", 32), "category_ids": ("category", "category", 10)}
+PAIR_QUERY = ["uid_id", "city_idx", "hour_id", "side_id", "query_trigrams"]
+PAIR_ITEM = ["impression_id", "poi_idx", "layer_id", "category_ids", "name_trigrams", "token_ids", "segment_ids", "mask_ids", *DENSE, "click_label", "order_label"]
+
+
+def _multitask_sql():
+    grams = lambda c: f"CASE WHEN length({c}) < 3 THEN [lower({c})] ELSE [substring(lower({c}), i, 3) for i in range(1, length({c}) - 1)] END"
+    hour = "CASE WHEN search_id % 24 BETWEEN 6 AND 11 THEN '0' WHEN search_id % 24 BETWEEN 12 AND 17 THEN '1' ELSE '2' END"
+    unknown = ", ".join(f"'{k}'" for k in ("trigram", "uid", "cityid", "poiid", "layer", "category", "hour", "qtype"))
+    unk = lambda key: f"(SELECT idx FROM dict WHERE dict_key = '{key}' AND value = 'UNK')"
+    one = {**{n: (k, f"CAST({c} AS STRING)") for n, (k, c) in SINGLE.items()}, "hour_id": ("hour", hour), "side_id": ("qtype", "'1'")}
+    ids = ", ".join(f"coalesce(d_{n}.idx, {unk(k)}) AS {n}" for n, (k, _) in one.items())
+    joins = "\n".join(f"LEFT JOIN dict d_{n} ON d_{n}.dict_key = '{k}' AND d_{n}.value = {c}" for n, (k, c) in one.items())
+    cut = lambda n, width: f"array_to_string([coalesce(l_{n}.ids[i], 0) for i in range(1, {width} + 1)], ',') AS {n}"
+    z = lambda i: "round(show_pos * 10000)" if i == 0 else f"round((f{i} - m{i}) / s{i} * 10000)" if i < 5 else "0"
+    dense = ", ".join(f"concat_ws(',', {', '.join(f'CAST({z(i)} AS BIGINT)' for i in ix)}) AS {n}" for n, ix in DENSE.items())
+    pair = lambda p, n: ", ".join([*(f"p.{c}" for c in PAIR_QUERY), *(f"{x}.{c} AS {y}_{c}" for x, y in ((p, "pos"), (n, "neg")) for c in PAIR_ITEM)])
+    return f"""
+WITH {SQL_VOCAB}, {SQL_TAKEN}, im AS (SELECT *, split_part(name_address, '|', 1) AS nm, split_part(name_address, '|', 2) AS ad FROM impressions),
+st AS (SELECT {", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS s{i}" for i in range(1, 5))} FROM impressions),
+texts AS (SELECT 'trigram' AS dict_key, query AS text, {grams("query")}[1:32] AS vs FROM (SELECT DISTINCT query FROM im)
+  UNION SELECT 'trigram', name_address, {grams("name_address")}[1:32] FROM (SELECT DISTINCT name_address FROM im)
+  UNION SELECT 'category', category, [category] FROM (SELECT DISTINCT category FROM im)),
+counted AS (SELECT 'trigram' AS dict_key, value, count(*) AS cnt FROM (
+    SELECT unnest({grams("query")}) AS value FROM im UNION ALL SELECT unnest({grams("name_address")}) FROM im) GROUP BY value HAVING count(*) > {RARE_TRIGRAM}
+  {"".join(f"UNION ALL SELECT '{k}', CAST({c} AS STRING), count(*) FROM im GROUP BY {c} " for k, c in [*SINGLE.values(), ("category", "category")])}
+  UNION ALL SELECT 'hour', {hour}, count(*) FROM im GROUP BY 2 UNION ALL SELECT 'qtype', '1', count(*) FROM im
+  UNION ALL SELECT unnest([{unknown}]), 'UNK', (SELECT count(*) FROM im)),
+dict AS (SELECT dict_key, value, CAST(row_number() OVER (PARTITION BY dict_key ORDER BY cnt DESC, value) AS INT) AS idx FROM counted),
+lists AS (SELECT t.dict_key, text, list(coalesce(d.idx, CASE t.dict_key WHEN 'trigram' THEN {unk("trigram")} ELSE {unk("category")} END) ORDER BY pos) AS ids
+  FROM (SELECT dict_key, text, unnest(vs) AS value, unnest(range(1, len(vs) + 1)) AS pos FROM texts) t
+  LEFT JOIN dict d ON d.dict_key = t.dict_key AND d.value = t.value GROUP BY t.dict_key, text),
+{sql_ids('im', 'impression_id', 'query', 'q')}, {sql_ids('im', 'impression_id', 'nm', 'n')}, {sql_ids('im', 'impression_id', 'ad', 'a')},
+tok AS (SELECT impression_id, q.ids[1:28] AS qi, n.ids[1:28 - least(len(q.ids), 28)] AS ni,
+  a.ids[1:28 - least(len(q.ids), 28) - least(len(n.ids), 28 - least(len(q.ids), 28))] AS ai FROM q JOIN n USING (impression_id) JOIN a USING (impression_id)),
+seq AS (SELECT impression_id, [4] || qi || [5] || ni || [5] || ai || [5] AS ids, len(qi) + 2 AS k FROM tok),
+e AS (SELECT im.impression_id, {ids}, {", ".join(cut(n, w) for n, (_, _, w) in LISTS.items())}, {sql_fit('seq.ids', 32)} AS token_ids,
+  array_to_string([CASE WHEN i > k AND i <= len(seq.ids) THEN 1 ELSE 0 END for i in range(1, 33)], ',') AS segment_ids,
+  array_to_string([CASE WHEN i <= len(seq.ids) THEN 1 ELSE 0 END for i in range(1, 33)], ',') AS mask_ids, {dense}
+  FROM im JOIN seq ON seq.impression_id = im.impression_id
+{joins}
+{chr(10).join(f"LEFT JOIN lists l_{n} ON l_{n}.dict_key = '{k}' AND l_{n}.text = im.{c}" for n, (k, c, _) in LISTS.items())}, st),
+t AS (SELECT *, count(*) OVER (PARTITION BY search_uid) AS group_len, label - 1 AS click_label, CASE data_type WHEN 'order' THEN label - 1 ELSE 0 END AS order_label
+  FROM taken),
+r AS (SELECT t.search_uid, t.data_type, t.group_len, t.click_label, t.order_label, e.* FROM t JOIN e USING (impression_id))
+SELECT 'train' AS part, p.search_uid, p.data_type, p.group_len, {pair("p", "n")} FROM r p JOIN r n USING (search_uid) WHERE p.click_label = 1 AND n.click_label <> 1
+UNION ALL SELECT 'test', p.search_uid, p.data_type, p.group_len, {pair("p", "p")} FROM r p WHERE data_type = 'order'"""
+
+
+@check("job_multitask_pairs", "order_log places", _multitask_sql())
 def job_multitask_pairs(spark, d):
-    im = tables.impressions(spark, d).withColumn("f", features.parse_features(F.col("ltr_features")))
-    stats = profile.feature_statistics(im.select(F.explode("f").alias("idx", "value")).where("idx = 1")).first()
-    z = F.round(features.zscore(F.try_element_at("f", F.lit(1)), F.lit(stats["mean"]), F.lit(stats["std"])), 6)
-    scaled = materialise(
-        im.select("search_uid", "impression_id", "label", z.alias("z1"), F.lit("click").alias("data_type")), "scaled"
-    )
-    order = tables.order_log(spark, d).select("search_uid", "impression_id", "label", "data_type").join(
-        scaled.select("impression_id", "z1"), "impression_id"
-    )
-    columns = ["impression_id", "z1"]
-    train = jobs.multitask_pairs(scaled, order, "search_uid", [], columns)
-    test = jobs.multitask_pairs(order, None, "search_uid", [], columns)
-    show = lambda df, part: df.select(
-        F.lit(part).alias("part"), "search_uid", "data_type", "pos_impression_id", "neg_impression_id",
-        "pos_order_label", "neg_click_label", "pos_z1", "neg_z1",
-    )
-    return show(train, "train").unionByName(show(test, "test"))
+    im = tables.impressions(spark, d)
+    order = F.when(F.col("query_type") == 4, tables.order_label())
+    im = materialise(im.withColumns({"f": features.parse_features(F.col("ltr_features")), "as_order": order}).drop("ltr_features"), "typed")
+    # One row per feature index: a fixed number.
+    stats = {r.idx: (r["mean"], r["std"]) for r in profile.feature_statistics(im.select(F.explode("f").alias("idx", "value"))).collect()}
+    hour = calendar.hour_bucket(calendar.hour_of(F.col("time_text")))
+    counts = dictionary.value_counts(im, {
+        "trigram": [text.char_trigrams(F.col("query")), text.char_trigrams(F.col("name_address"))], "uid": [F.col("uid")], "cityid": [F.col("city_id")],
+        "poiid": [F.col("poi_id")], "layer": [F.col("layer")], "category": [F.col("category")], "hour": [hour], "qtype": [F.lit("1")]})
+    counts = dictionary.filter_by_count(counts, {"trigram": RARE_TRIGRAM})
+    keys = ["trigram", "uid", "cityid", "poiid", "layer", "category", "hour", "qtype"]
+    ids = materialise(dictionary.number(counts.unionByName(dictionary.unknown_rows(im, keys))), "ids")
+    items = jobs.multitask_items(im, ids, vocabulary(spark, d), stats, DENSE)
+    # Each item is in the click log, and once more in the order log if its search ended in an order.
+    logs_of = F.array(F.struct(F.lit("click").alias("data_type"), F.col("label")), F.struct(F.lit("order").alias("data_type"), F.col("as_order").alias("label")))
+    rows = items.select("search_uid", *PAIR_QUERY, *[c for c in PAIR_ITEM if not c.endswith("_label")], F.inline(F.filter(logs_of, lambda x: x["label"].isNotNull())))
+    buckets = jobs.search_buckets(rows, "search_uid")
+    columns = [c for c in PAIR_ITEM if not c.endswith("_label")]
+    lists = {"query_trigrams"} | {f"{s}_{c}" for s in ("pos", "neg") for c in ("category_ids", "name_trigrams", "token_ids", "segment_ids", "mask_ids")}
+    dense = {f"{s}_{c}" for s in ("pos", "neg") for c in DENSE}
+
+    def show(df, part):
+        return df.select(F.lit(part).alias("part"), *[
+            ints(c).alias(c) if c in lists else scaled(c).alias(c) if c in dense else c for c in df.columns])
+
+    return show(jobs.multitask_pairs(buckets, "search_uid", PAIR_QUERY, columns), "train").unionByName(
+        show(jobs.multitask_pairs(buckets, "search_uid", PAIR_QUERY, columns, test=True), "test"))
 
 
 @check("job_feature_dictionary", "impressions", f"""

@@ -88,6 +88,16 @@ def pick(dense: Column, indexes: Sequence[int]) -> Column:
     return F.array(*[F.get(dense, F.lit(i)) for i in indexes])
 
 
+def slot_of(features: Column, show_pos: Column, i: int) -> Column:
+    """A slot as :func:`densify` would give it, read from the map alone."""
+    return show_pos.cast("double") if i == 0 else F.coalesce(F.try_element_at(features, F.lit(i)), F.lit(0.0))
+
+
+def pick_from(features: Column, show_pos: Column, indexes: Sequence[int]) -> Column:
+    """The listed slots as :func:`pick` gives them of a dense row, in the listed order."""
+    return F.array(*[slot_of(features, show_pos, i) for i in indexes])
+
+
 def ignore(features: Column, indexes: Sequence[int] = IGNORED_COLUMNS) -> Column:
     return F.map_filter(features, lambda i, v: ~i.isin(list(indexes)))
 

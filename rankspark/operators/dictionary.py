@@ -67,35 +67,58 @@ def number(counts: DataFrame) -> DataFrame:
     return placed.select("dict_key", "value", F.col("idx").cast("int").alias("idx"))
 
 
-def look_up(rows: DataFrame, dictionary: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+#: Fields with at most so many entries are broadcast.
+BROADCAST_ENTRIES = 200_000
+
+
+def look_up(
+    rows: DataFrame, dictionary: DataFrame, fields: dict[str, tuple[str, str]], broadcast_entries: int = BROADCAST_ENTRIES
+) -> DataFrame:
     """Add an id column per field: ``fields`` maps output name -> (value column, dict_key).
 
     Unknown values take the field's UNK id. A user id of eight or more characters is
     hashed into a bucket instead.
+
+    Fields with few entries are broadcast. If several have more, the rows are written and
+    their values of all these fields melted into one (row, field, value) table: one narrow
+    exchange meets the dictionary, one brings the ids back to the rows.
     """
-    out = rows
+    spark = rows.sparkSession
     # By field, so that each join sees the size of its own field's entries.
-    path = new_path(rows.sparkSession, "dictionary")
+    path = new_path(spark, "dictionary")
     dictionary.select("dict_key", "value", "idx").write.partitionBy("dict_key").parquet(path)
-    dictionary = rows.sparkSession.read.schema("value string, idx int, dict_key string").parquet(path)
-    unknown = {
-        r.dict_key: r.idx
-        for r in dictionary.where(
-            (F.col("value") == UNKNOWN) & F.col("dict_key").isin([k for _, k in fields.values()])
-        ).collect()
-    }
-    held = {r.dict_key for r in dictionary.select("dict_key").distinct().collect()}
-    empty = rows.sparkSession.createDataFrame([], "value string, idx int")
-    for name, (column, key) in fields.items():
-        own = rows.sparkSession.read.schema("value string, idx int").parquet(f"{path}/dict_key={key}") if key in held else empty
-        ids = own.select(F.col("value").alias("_entry"), F.col("idx").alias(name))
+    dictionary = spark.read.schema("value string, idx int, dict_key string").parquet(path)
+    known = {
+        r.dict_key: r for r in dictionary.where(F.col("dict_key").isin([k for _, k in fields.values()])).groupBy("dict_key").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("value") == UNKNOWN, F.col("idx"))).alias("unknown")).collect()}
+
+    def id_of(found: Column, column: str, key: str) -> Column:
         text = F.col(column).cast("string")
-        fallback = F.lit(unknown.get(key, 0))
+        fallback = F.lit(known[key].unknown or 0 if key in known else 0)
         if key == "uid":
             fallback = F.when(F.length(text) >= 8, features.user_bucket(text)).otherwise(fallback)
-        out = (
-            out.join(ids, text == F.col("_entry"), "left")
-            .withColumn(name, F.coalesce(name, fallback).cast("int"))
-            .drop("_entry")
-        )
+        return F.coalesce(found, fallback).cast("int")
+
+    large = {name: f for name, f in fields.items() if f[1] in known and known[f[1]].n > broadcast_entries}
+    if len(large) < 2:
+        large = {}
+    out = rows
+    if large:
+        out = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        melted = out.select("_row", F.inline(F.array(*[
+            F.struct(F.lit(i).alias("_field"), F.lit(key).alias("dict_key"), F.col(column).cast("string").alias("value"))
+            for i, (column, key) in enumerate(large.values())])))
+        keys = dictionary.where(F.col("dict_key").isin(list({k for _, k in large.values()})))
+        met = melted.join(keys, ["dict_key", "value"])
+        ids = met.groupBy("_row").agg(*[F.max(F.when(F.col("_field") == i, F.col("idx"))).alias(name) for i, name in enumerate(large)])
+        out = out.join(ids, "_row", "left").drop("_row")
+    empty = spark.createDataFrame([], "value string, idx int")
+    for name, (column, key) in fields.items():
+        if name not in large:
+            own = spark.read.schema("value string, idx int").parquet(f"{path}/dict_key={key}") if key in known else empty
+            ids = own.select(F.col("value").alias("_entry"), F.col("idx").alias(name))
+            if key not in known or known[key].n <= broadcast_entries:
+                ids = F.broadcast(ids)
+            out = out.join(ids, F.col(column).cast("string") == F.col("_entry"), "left").drop("_entry")
+        out = out.withColumn(name, id_of(F.col(name), column, key))
     return out

@@ -26,6 +26,23 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str =
     return rows.join(table, same, how).drop(*names.values())
 
 
+#: A key is hot from so many rows on, and from this share of all rows; so there are at most 1/share hot keys.
+HOT_ROWS, HOT_SHARE = 200_000, 1e-4
+
+
+def split_hot(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys or None) of written rows; rows without a key are in neither."""
+    rows = rows.where(F.col(key).isNotNull())
+    counts = materialise(rows.groupBy(key).count(), "key-counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = counts.where(F.col("count") >= max(hot_rows, int(total * HOT_SHARE))).select(key)
+    if not hot.head(1):
+        return rows, None
+    # At most 1 / HOT_SHARE keys, as counted.
+    hot = F.broadcast(hot)
+    return rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """First ``k`` rows per group; each map task passes on at most ``k`` rows of a group."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.fields import ITEM_FIELDS, QUERY_FIELDS
 from rankspark.functions import calendar, features, geo, text, tokens
-from rankspark.operators import dictionary, encoding, groups, models, pairs, records, similarity
-from rankspark.session import materialise
+from rankspark.operators import dictionary, encoding, groups, models, pairs, records, similarity, skew
+from rankspark.session import bucketed, materialise
 
 
 SHORT = tokens.SHORT_TOKEN_LENGTH
@@ -38,6 +38,7 @@ def gbdt_samples(rows: DataFrame, key: str, item: str, order: Sequence[Column])
     return groups.dedup_items(rows, key, item, order)
 
 
+# Names of the statistics.
 COUNTS = "common_end common_start person_end person_start common_total".split()
 GROUPS = "dest_query_city dest_pid_query_city dest_query_geohash start_query_geohash dest_pid_city".split()
 
@@ -316,24 +317,100 @@ def union_rows(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- multi-task pairs
 
+MULTITASK_QUERY = "query_trigrams uid_id city_idx hour_id side_id q_geo_id component_ids".split()
+MULTITASK_ITEM = "poi_idx geo_id category_ids name_trigrams layer_id token_ids segment_ids mask_ids".split()
+#: Fields read from the rows and what stands for one that they lack.
+MULTITASK_DEFAULTS = {"q_geohash": "", "geohash": "", "component_ids": ""}
 
-def multitask_pairs(click: DataFrame, order: DataFrame | None, key: str, group_columns: Sequence[str],
-                    item_columns: Sequence[str]) -> DataFrame:
-    """Training pairs from click and order logs: order rows take the place of a search's
-    click rows, then every positive meets every negative.
 
-    Without a click log (test format), pass the order rows as ``click`` and ``None`` as
-    ``order``: each row is paired with itself.
+def multitask_items(
+    rows: DataFrame, ids: DataFrame, vocabulary: DataFrame, stats: dict[int, tuple[float, float]],
+    dense: dict[str, Sequence[int]], tree_model=None,
+) -> DataFrame:
+    """Rows with the encoded columns of the multi-task format: MULTITASK_QUERY, MULTITASK_ITEM, the
+    lists of ``dense`` and, with a tree model (its features in ``features``), leaves and tree_score.
+
+    Rows carry query, name_address, uid, city_id, time_text, query_type, poi_id, category, layer,
+    show_pos and the feature map ``f``; geohashes and component ids are empty where left out.
+    ``stats``: feature index -> (mean, deviation) for z-scores; a feature without them stays as it
+    is. ``dense``: name of a list -> its feature indexes, 0 being the show position.
     """
-    label = lambda df: df.select("*", *records.task_labels(F.col("data_type"), F.col("label")))
-    columns = [*item_columns, "click_label", "order_label"]
-    if order is None:
-        return pairs.self_pairs(label(click), key, [*group_columns, "data_type"], columns)
-    # Read twice, once for either side of the pairs.
-    taken = materialise(pairs.prefer_orders(click, order, key), "taken")
-    return pairs.positive_negative(
-        label(taken), key, [*group_columns, "data_type"], columns, F.col("click_label") == 1
-    )
+    have = set(rows.columns)
+    rows = rows.withColumns({c: F.lit(v) for c, v in MULTITASK_DEFAULTS.items() if c not in have})
+    rows = rows.withColumns({
+        "_components": F.col("component_ids"), "_hour": calendar.hour_bucket(calendar.hour_of(F.col("time_text"))).cast("string"),
+        "_side": F.when(F.col("query_type").cast("string") == "0", "0").otherwise("1"),
+    }).drop("component_ids")
+    coded = dictionary.look_up(rows, ids, {
+        "uid_id": ("uid", "uid"), "city_idx": ("city_id", "cityid"), "hour_id": ("_hour", "hour"), "side_id": ("_side", "qtype"),
+        "q_geo_id": ("q_geohash", "geohash"), "poi_idx": ("poi_id", "poiid"), "geo_id": ("geohash", "geohash"), "layer_id": ("layer", "layer"),
+    })
+    listed = lambda c: F.filter(F.split(c, "[;,]"), lambda v: v != "")
+    coded = encoding.list_ids(coded, {
+        "query_trigrams": ("query", "trigram", text.char_trigrams, SHORT), "name_trigrams": ("name_address", "trigram", text.char_trigrams, SHORT),
+        "category_ids": ("category", "category", listed, 10), "component_ids": ("_components", "comp_label_id", listed, 10),
+    }, ids)
+    name, addr = name_and_address()
+    coded = encoding.with_ids(coded.withColumns({"_name": name, "_addr": addr}), {"query": "_q", "_name": "_n", "_addr": "_a"}, vocabulary)
+    triple = tokens.encode_triple(F.col("_q"), F.col("_n"), F.col("_a"), SHORT)
+    coded = coded.withColumn("_t", triple).withColumns({c: F.col(f"_t.{c}") for c in ("token_ids", "segment_ids", "mask_ids")})
+    if tree_model is not None:
+        coded = models.with_leaves(tree_model, coded)
+
+    def scaled(i: int, x: Column) -> Column:
+        return features.zscore(x, *map(F.lit, map(float, stats[i]))) if i in stats else x
+
+    slot = lambda i: scaled(i, features.slot_of(F.col("f"), F.col("show_pos"), i))
+    lists = {out: F.array(*[slot(i) for i in indexes]) for out, indexes in dense.items()}
+    return coded.withColumns(lists).drop(*[c for c in coded.columns if c.startswith("_")])
+
+
+def _chosen_rows(rows: DataFrame, key: str, test: bool, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Rows of the source that a search is taken from, with ``group_len``, its rows in that source."""
+    of = lambda kind: F.count(F.when(F.col("data_type") == kind, 1))
+    sizes = rows.groupBy(key).agg(of("click").alias("_n_click"), of("order").alias("_n_order"))
+    if not test:
+        sizes = sizes.where("_n_click > 0")
+    order = F.lit(True) if test else F.col("_n_order") > 0
+    taken = join(rows, sizes).where(F.when(order, F.col("data_type") == "order").otherwise(F.col("data_type") == "click"))
+    length = F.when(F.col("data_type") == "order", F.col("_n_order")).otherwise(F.col("_n_click"))
+    return taken.withColumn("group_len", length.cast("int")).drop("_n_click", "_n_order")
+
+
+def search_buckets(rows: DataFrame, key: str, hot_rows: int = skew.HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows bucketed and sorted by the search, and those of hot searches (written, or None)."""
+    ordinary, hot = skew.split_hot(materialise(rows, "rows"), key, hot_rows)
+    return bucketed(ordinary, [key], "searches"), hot
+
+
+def multitask_pairs(
+    rows: tuple[DataFrame, DataFrame | None], key: str, group_columns: Sequence[str], item_columns: Sequence[str], test: bool = False
+) -> DataFrame:
+    """Training pairs from the click and order logs (``data_type`` says which a row is of): where a
+    search of the click log has order rows they take the place of its click rows, then every positive
+    meets every negative. Test format: each order row is paired with itself.
+
+    ``rows`` are those of both logs as :func:`search_buckets` writes them, once for all formats.
+    Counting a search's rows, choosing its source and pairing all read these buckets, so nothing
+    above them is exchanged. Searches with a large share of all rows don't go into a bucket: they
+    are joined by adaptive shuffles, which split them. Rows without a search are left out.
+    """
+    group_columns = ["group_len", "data_type", *group_columns]
+    item_columns = [*item_columns, "click_label", "order_label"]
+    labelled = lambda df: df.select("*", *records.task_labels(F.col("data_type"), F.col("label")))
+
+    def paired(taken: DataFrame) -> DataFrame:
+        taken = labelled(taken)
+        if test:
+            return pairs.self_pairs(taken, key, group_columns, item_columns)
+        return pairs.positive_negative(taken, key, group_columns, item_columns, F.col("click_label") == 1)
+
+    ordinary, hot = rows
+    out = paired(_chosen_rows(ordinary, key, test, lambda df, sizes: df.join(sizes, key)))
+    if hot is not None:
+        taken = _chosen_rows(hot, key, test, lambda df, sizes: skew.attach(df, sizes, [key]))
+        out = out.unionByName(paired(materialise(taken, "hot-searches")))
+    return out
 
 
 # ---------------------------------------------------------------- dictionary

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,16 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], label: str = "buckets") -> DataFrame:
+    """Write once as a table bucketed and sorted by ``keys``, one file per bucket, and read back.
+
+    Aggregates and joins by these keys over tables of as many buckets need no exchange. A bucket is
+    one task's work, so keys with a large share of all rows go another way (``skew.split_hot``).
+    """
+    spark = df.sparkSession
+    path, n = new_path(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)

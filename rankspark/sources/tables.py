@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,14 +72,18 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_label() -> Column:
+    """Label of an impression in the order log."""
+    return F.when((F.col("label") == 2) & (F.col("line_status") == "F"), 2).otherwise(F.least("label", F.lit(1)))
+
+
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order log: the searches that finished in an order, with order labels."""
     im = impressions(spark, sf_dir)
     return im.where("query_type = 4").select(
         "search_uid", "search_id", "poi_id", "show_pos", "impression_id",
         F.lit("order").alias("data_type"),
-        F.when((F.col("label") == 2) & (F.col("line_status") == "F"), 2)
-        .otherwise(F.least("label", F.lit(1))).alias("label"),
+        order_label().alias("label"),
     )
 
 
