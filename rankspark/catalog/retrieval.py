@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankspark.catalog.registry import check
-from rankspark.operators import metrics, retrieval
-from rankspark.session import new_path
+from rankspark.operators import cells, metrics, retrieval
 from rankspark.sources import tables
 
 SQL_COS = "round(list_cosine_similarity(q.embedding, i.embedding), 6)"
@@ -67,16 +66,14 @@ def knn_by_partition(spark, d):
 @check("knn_lsh")
 def knn_lsh(spark, d):
     queries, items = sides(spark, d)
-    return retrieval.probe_top_k(queries, items, 10)
+    return retrieval.compressed_top_k(queries, items, 10)
 
 
 @check("knn_append", "vectors", f"WITH {sql_exact(5)} SELECT query_id, item_id, score, rank FROM ranked")
 def knn_append(spark, d):
     queries, items = sides(spark, d)
-    path = new_path(spark, "corpus")
-    items.where("city_id < 6").write.parquet(path)
-    whole = retrieval.append_corpus(items, path, items.where("city_id >= 6"))
-    return retrieval.exact_top_k(queries, whole, 5)
+    index = cells.append(cells.build(items.where("city_id < 6").select("item_id", "vector")), items.where("city_id >= 6").select("item_id", "vector"))
+    return cells.search(queries.select("query_id", "vector"), index, 5)
 
 
 # The clicked item of a query is the one that follows it by id.

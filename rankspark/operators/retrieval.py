@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions import vectors as vec
+from rankspark.operators import cells, codes
 from rankspark.operators.skew import attach, top_k
 from rankspark.session import materialise
 
@@ -76,11 +77,20 @@ def _blocks(df: DataFrame, cell: str, key: str, block_rows: int, mine: str, size
     ).drop(f"n_{mine}", f"n_{other}")
 
 
-def cell_top_k(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Best ``k`` items per query by inner product among the items of the query's cells.
+def cell_top_k(queries: DataFrame, items: DataFrame, k: int, block_rows: int = cells.BLOCK_ROWS) -> DataFrame:
+    """Best ``k`` items per query by inner product among the items of the query's cell.
 
-    ``queries``: query_id, cell, vector; ``items``: item_id, cell, vector. A cell is cut
-    into blocks of bounded size on both sides, so a cell with most of the corpus or most
+    ``queries``: query_id, cell, vector; ``items``: item_id, cell, vector (of length 1 at most).
+    Each cell has its own groups and blocks (:mod:`cells`); the items stay in their block.
+    """
+    index = cells.build(items.select("item_id", F.col("cell").alias("part"), "vector"), block_rows=block_rows)
+    return cells.search(queries.select("query_id", F.col("cell").alias("part"), "vector"), index, k)
+
+
+def block_top_k(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Best ``k`` items per query among the items of the query's cells, of which it may have several.
+
+    A cell is cut into blocks of bounded size on both sides, so a cell with most of the corpus or most
     of the queries is spread over many tasks, and no pair but the best leaves a task.
     """
     count = lambda df, name: df.groupBy("cell").agg(
@@ -140,40 +150,12 @@ def into_cells(items: DataFrame, centres: Sequence[Sequence[float]]) -> DataFram
     )
 
 
-def exact_top_k(queries: DataFrame, items: DataFrame, k: int, n_cells: int = 16) -> DataFrame:
-    """Exact top-k by cosine over the whole corpus of unit vectors.
+def exact_top_k(queries: DataFrame, items: DataFrame, k: int, n_cells: int | None = None) -> DataFrame:
+    """Exact top-k by cosine over the whole corpus of unit vectors, by an index of two levels (:mod:`cells`).
 
-    First each query searches its nearest cell, which bounds the distance of its k-th
-    neighbour. By the triangle inequality only cells whose centre is within that bound
-    plus their radius can hold a nearer item; the second step searches exactly those.
+    ``n_cells`` sets the number of groups; left out, it follows from the number of items.
     """
-    centres = fit_cells(items, n_cells)
-    placed = materialise(into_cells(items, centres), "cells")
-    radius = placed.groupBy("cell").agg(F.max("centre_distance").alias("radius"), F.count(F.lit(1)).alias("n"))
-    # One row per cell: a fixed number, set by n_cells.
-    radii = {r.cell: r.radius for r in radius.collect()}
-    limits = F.array(*[F.lit(float(radii.get(c, -1e9))) for c in range(len(centres))])
-
-    q = queries.withColumn("d", _distances(F.col("vector"), centres))
-    present = F.transform("d", lambda x, c: F.when(F.get(limits, c) >= 0, F.struct(x.alias("d"), c.alias("c"))))
-    home = materialise(q.withColumn("cell", F.array_min(F.array_compact(present)).c), "queries")
-    stored = placed.select("item_id", "cell", "vector")
-    near = materialise(cell_top_k(home.select("query_id", "cell", "vector"), stored, k), "near")
-
-    # Unit vectors: squared distance = 2 - 2 cosine. The slack covers rounding of scores.
-    bound = near.where(F.col("rank") == k).select(
-        "query_id", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0)) + 4e-6).alias("bound")
-    )
-    visits = home.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(1e9)))
-    cells = F.filter(
-        F.sequence(F.lit(0), F.lit(len(centres) - 1)),
-        lambda c: (c != F.col("cell")) & (F.get(limits, c) >= 0)
-        & (F.get(F.col("d"), c) - F.get(limits, c) <= F.col("bound")),
-    )
-    others = visits.select("query_id", "vector", F.explode(cells).alias("cell"))
-    more = cell_top_k(others, stored, k)
-    both = near.drop("rank").unionByName(more.drop("rank"))
-    return top_k(both, ["query_id"], [F.desc("score"), F.col("item_id")], k)
+    return cells.search(queries.select("query_id", "vector"), cells.build(items.select("item_id", "vector"), n_cells), k)
 
 
 def needed_probes(queries: DataFrame, items: DataFrame, k: int, n_cells: int, recall: float) -> int:
@@ -184,7 +166,7 @@ def needed_probes(queries: DataFrame, items: DataFrame, k: int, n_cells: int, re
     """
     sample = materialise(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(PROBE_SAMPLE), "sample")
     every = sample.select("query_id", "vector", F.explode("order").alias("cell"))
-    true = cell_top_k(every, items, k).select("query_id", "item_id")
+    true = block_top_k(every, items, k).select("query_id", "item_id")
     # At most PROBE_SAMPLE * k rows, and PROBE_SAMPLE of the sample.
     cells = items.select("item_id", "cell").join(F.broadcast(true), "item_id")
     nth = F.array_position("order", F.col("cell")).cast("int")
@@ -212,7 +194,7 @@ def probe_top_k(
         q = materialise(q, "queries")
         n_probes = needed_probes(q, placed, k, len(centres), recall)
     near = q.select("query_id", "vector", F.explode(F.slice("order", 1, n_probes)).alias("cell"))
-    return cell_top_k(near, placed, k)
+    return block_top_k(near, placed, k)
 
 
 def hard_negatives(queries: DataFrame, items: DataFrame, clicked: DataFrame, k: int) -> DataFrame:
@@ -227,6 +209,12 @@ def hard_negatives(queries: DataFrame, items: DataFrame, clicked: DataFrame, k:
     return ranked.select("query_id", "item_id", "score", rank.alias("rank"), slice_part(rank).alias("part"))
 
 
+def compressed_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Approximate top-k by compressed lists (:mod:`codes`), probes and depth set by a sample of the queries."""
+    compressed = codes.compress(cells.build(items.select("item_id", "vector")))
+    return codes.search(queries.select("query_id", "vector"), compressed, k)
+
+
 def append_corpus(items: DataFrame, path: str, new: DataFrame) -> DataFrame:
     """Add items to a stored corpus and return the whole of it."""
     new.write.mode("append").parquet(path)
