@@ -42,11 +42,15 @@ class SegmentEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     ``keeps_space`` tells the two kinds of tokenizers apart: byte-level ones, which put white space
-    into tokens (one space before a word, a run otherwise), and those that drop it. Strings of
-    special tokens in a text are ordinary text.
+    into tokens (one space before a word, a run otherwise), and those that drop it. A text that
+    holds the string of a special token is encoded whole, so the token gets its id as the library
+    gives it by default. An empty text has no ids; nulls are the caller's to replace.
     """
 
     def __init__(self, path: str, keeps_space: bool) -> None:
+        self.library = Tokenizer.from_file(path)
+        self.specials = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
+        # Segments never hold such a string; joined ones must not make one up.
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
@@ -112,18 +116,25 @@ class SegmentEncoder:
                 self.cache[segment] = data[4 * at : 4 * end]
                 at = end + 1
 
+    def _special(self, text: bytes) -> bool:
+        """Whether a special token's string may be in the text; case doesn't count, since tokenizers may lower it first."""
+        return any(s in text or s in text.lower() for s in self.specials)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8), as little-endian unsigned 32-bit integers."""
-        cut = [self.segments(text) for text in texts]
+        cut = [None if self._special(text) else self.segments(text) for text in texts]
         held: set = set()
         for segments in cut:
-            held.update(segments)
+            held.update(segments or ())
         missing = [s for s in held if s not in self.cache]
         if len(self.cache) + len(missing) > MOST_SEGMENTS:
             self.cache.clear()
             missing = list(held)
         self._learn(missing)
-        return [b"".join(map(self.cache.__getitem__, segments)) for segments in cut]
+        return [
+            b"".join(map(self.cache.__getitem__, segments)) if segments is not None
+            else np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            for text, segments in zip(texts, cut, strict=True)]
 
 
 _encoders: dict[tuple[str, bool], SegmentEncoder] = {}
