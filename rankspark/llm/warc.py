@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from rankspark import session
 from rankspark.llm.registry import query
 from rankspark.llm.texts import row_slices, table, utf8
+from rankspark.operators import skew
 
 #: Least payload that is worth a revisit record.
 LEAST_REVISIT = 1000
@@ -155,9 +156,12 @@ def dictionary_frame(words: bytes) -> bytes:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary for records of such pages, from a bounded sample; empty if that is too little."""
-    sample = (
-        pages.where(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE_PAGES)
-        .select("page_id", "url", utf8("html").alias("html")).collect())
+    # Hashes of pages are sorted first; only the chosen pages travel.
+    fit = pages.where(F.length("html") <= SAMPLE_CHARS).withColumn("order", F.xxhash64("page_id", "url", "html"))
+    chosen = fit.select("order").distinct().orderBy("order").limit(SAMPLE_PAGES)
+    rows = fit.join(F.broadcast(chosen), "order", "left_semi").select("order", "page_id", "url", utf8("html").alias("html"))
+    # Pages that are repeated in every column stand once.
+    sample = rows.groupBy("order").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.first("html").alias("html")).orderBy("order").collect()
     texts = [record(r["page_id"], r["url"], bytes(r["html"]), None, False) for r in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
@@ -174,7 +178,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     groups = narrow.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.count("*").alias("k"), F.max("page_id").alias("response"))
     # Only what revisits another page is joined, and only ids and digests.
     revisits = (
-        narrow.join(groups.where("k > 1"), "digest").where(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")))
+        skew.attach(narrow, groups.where("k > 1"), ["digest"]).where(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")))
         .groupBy(key.alias("key")).agg(F.collect_set(F.struct("digest", "response")).alias("revisits")))
     total = narrow.agg(F.sum("bytes")).first()[0] or 0
     words = train_dictionary(pages)
