@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from rankspark import session
 from rankspark.llm.registry import query
 from rankspark.llm.texts import ASCII_SPACE, row_slices, table, utf8
+from rankspark.operators import skew
 
 LEAST_CHARS = 40
 LEAST_DOCUMENTS = 5
@@ -136,7 +137,7 @@ def repeated_lines(
     for k in range(len(set(bounds)) + 1):
         runs.add(lines.where(F.col("batch") == k).select("doc_id", "h"))
     frequent = runs.entries().where(F.col("n_docs") >= least_documents).select("h", "keeper")
-    lost = lines.join(frequent, "h").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = skew.attach(lines, frequent, ["h"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set("h").alias("hashes"))
 
 

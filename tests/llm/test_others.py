@@ -194,14 +194,14 @@ def plain_top_k(rows, k):
 
 @pytest.mark.parametrize("n, head", [(500, 4096), (500, 30), (7, 4096)])
 def test_exact_top_k(spark, monkeypatch, n, head):
-    for name, value in (("HEAD", head), ("BLOCK", 40), ("GROUP", 5), ("LEADING", 3)):
+    for name, value in (("HEAD", head), ("RUN", 3), ("LEADING", 3)):
         monkeypatch.setattr(exact_topk, name, value)
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(size=8).astype("f4").tolist()) for i in range(n)]
     rows += [(1000, [0.0] * 8), (1001, None), (1002, [1.0, None]), (1003, [float("nan")] * 8), (1004, [float("inf")]), (None, [1.0] * 8)]
     rows += [(1020, [1.0, 2.0]), (1005, []), (3, [9.0] * 8), (1006, rows[1][1]), (1007, rows[1][1]), (1040, [-5.0] * 8)]
     vectors = session.materialise(exact_topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), "vectors")
-    got = exact_topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+    got = exact_topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), block=40, group=5)
     assert {tuple(r) for r in got.collect()} == plain_top_k(rows, 20)
 
 
@@ -216,7 +216,7 @@ def test_top_k_of_nothing(spark):
 def test_stages_and_columns(spark, small):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line dedup", "n-gram jaccard join", "best-fit packing"]
-    assert "pipeline" in entry.queries() and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d", q)}
+    assert "pipeline" in entry.queries() and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d", q)}
 
 
 def test_stages_keep_clean_and_odd_rows(spark, small, odd, odd_rows):
@@ -248,3 +248,95 @@ def test_run_applies_the_stages_in_order(spark, small):
     got = corpus_pipeline.run(spark, small)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert Counter(map(tuple, got.select(key).collect())) == Counter(map(tuple, docs.select(key).collect()))
+
+
+def test_top_k_when_exchanges_have_more_partitions_than_asked(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    for name in ("repartition", "repartitionByRange"):
+        plain = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda df, n, *columns, plain=plain: plain(df, max(n, 16) if columns and isinstance(n, int) else n, *columns))
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=6) * rng.uniform(0.1, 3)).tolist()) for i in range(600)]
+    vectors = session.materialise(exact_topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vectors")
+    got = exact_topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), block=16, group=4).collect()
+    assert len(got) == 600 and {tuple(r) for r in got} == plain_top_k(rows, 20)
+
+
+def five_word_sets(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def plain_groups(rows):
+    """Group number of each row (doc_id, text) by the links of five-word shingles at 0.8."""
+    sets, parent = [five_word_sets(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i] == rows[j] or (sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])):
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(rows))]
+
+
+def test_near_duplicate_stage_drops_linked_rows_only(spark, odd, odd_rows, small):
+    extra = [(0, "an unlike text that shares an id with another", "en", "s", 1), (0, "and one more of that id", "en", "s", 1), (30, "x y", "en", "s0", 3)]
+    rows = [*odd_rows, *extra]
+    docs = odd.unionByName(spark.createDataFrame(extra, odd.schema))
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, small).collect()]
+    plain = [(r[0], r[1]) for r in rows]
+    groups = plain_groups(plain)
+    assert len(kept) == len(set(kept)) == len(set(groups)) and set(kept) <= set(plain)
+    by_group = {}
+    for g, r in zip(groups, plain, strict=True):
+        by_group.setdefault(g, set()).add(r)
+    for own in by_group.values():
+        (one,) = own & set(kept)
+        ids = [i for i, _ in own if i is not None]
+        assert one[0] == (min(ids) if ids else None)
+
+
+def test_run_is_the_stages_in_plain_python(spark, small, tmp_path):
+    """run() on a small table against the stages restated: scores of the model, then lines, links and pieces in plain Python."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    model = toxicity.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    rows = [(r.doc_id, r.text or "") for r in model.score(docs).collect() if r.score < toxicity.THRESHOLD]
+    space = " \t\n\x0b\x0c\r"
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(space))
+    held = {}
+    for i, t in rows:
+        for k in {key(x) for x in t.split("\n")}:
+            if len(k) >= 40:
+                held.setdefault(k, set()).add(i)
+    gone = {k: max(ids) for k, ids in held.items() if len(ids) >= 5}
+    rows = [(i, "\n".join(x for x in t.split("\n") if gone.get(key(x), i) == i)) for i, t in rows]
+    groups = plain_groups(rows)
+    least = {}
+    for g, r in zip(groups, rows, strict=True):
+        least[g] = min(least.get(g, r), r)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for i, t in least.values():
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        for n, s in enumerate(range(0, len(ids), 2048)):
+            want[i, n, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())] += 1
+    got = corpus_pipeline.run(spark, small).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048

@@ -183,7 +183,8 @@ def test_segment_encoder_gives_the_librarys_ids(name, keeps, odd_rows, monkeypat
     bits = ["a", "b ", "  ", "\n", "\n\n", " .", "..", ",x", "'s", "_.", "é", "́", "\x1c", "\xa0", "\t", "|", "<|endoftext|>", "23", "漢", "İ", "Σ", " \n", "!?", "\0"]
     texts = [(t or "").encode() for _, t, *_ in odd_rows] + ["".join(rng.choices(bits, k=50)).encode() for _ in range(500)]
     own = SegmentEncoder(public_tokenizers.path(name), keeps)
-    plain = own.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+    texts += [b"a <|endoftext|> b", b"<|ENDOFTEXT|><|startoftext|>", b"<|endoftext |>|endoftext|>"]
+    plain = Tokenizer.from_file(public_tokenizers.path(name)).encode_batch([t.decode() for t in texts], add_special_tokens=False)
     want = [np.array(x.ids, "<u4").tobytes() for x in plain]
     assert own.encode(texts) == want
     monkeypatch.setattr("rankspark.llm.encoder.MOST_SEGMENTS", 50)
