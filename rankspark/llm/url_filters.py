@@ -1,12 +1,16 @@
 """URL filters: host and path rules, and a path-template tree that judges what no rule fits.
 
 Pages that a rule fits are the labelled ones. Paths become templates in two steps. Digits and long
-hexadecimal segments turn into placeholders at once. Then, for each host and level by level, a node
-whose children are many for its pages is *variable*: they all become ``*``; otherwise labelled
-children whose share of blocked pages doesn't differ from that of their siblings (two-proportion
-test) are merged into ``+``. A template with labelled pages is rejected by its purity: its blocked
-share among these, smoothed with that of the same path template over all hosts, which is smoothed
-with the share over all pages. A template without labelled pages is allowed.
+hexadecimal segments turn into placeholders at once. Then, for each host and branch by branch down to
+the end of the paths, a node whose children are many for its pages is *variable*: they all become
+``*``; otherwise labelled children whose share of blocked pages doesn't differ from that of their
+siblings (two-proportion test) are merged into ``+``. Every template is judged by its purity: its
+blocked share among its labelled pages, smoothed with that of the same path template over all hosts,
+which is smoothed with the share over all pages. So a template without labelled pages is judged by
+what its path means elsewhere, and one that is new everywhere by the share of all.
+
+A step takes a node past all segments that its paths share at once (of a node with one child nothing
+is to be decided), so the number of steps follows how often paths branch, not how long they are.
 
 Only distinct (host, path with placeholders) rows with their counts go through the tree; the pages
 themselves are joined once.
@@ -24,20 +28,21 @@ from pyspark.sql import functions as F
 from rankspark import session
 from rankspark.llm.registry import query
 from rankspark.llm.texts import table
+from rankspark.operators import skew
 
 # Fixed values: (host, path, verdict) rules of the query.
 RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 ]
-#: Levels of the tree; deeper segments become one.
-LEVELS = 3
 #: A node is variable from so many children on, if they are so many of its pages.
 VARIABLE_CHILDREN, VARIABLE_SHARE = 12, 0.2
 #: Siblings are alike below this z.
 ALIKE_Z = 2.0
-#: Labelled pages that the smoothing prior is worth, the purity from which a template is rejected, and its least labelled pages.
-PRIOR, REJECT, LEAST_LABELLED = 4.0, 0.5, 1
+#: Labelled pages that the smoothing prior is worth, and the purity from which a template is rejected.
+PRIOR, REJECT = 4.0, 0.5
+#: Levels that the SQL below spells out; it fails on deeper paths, which the operator takes.
+SQL_LEVELS = 10
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -59,42 +64,66 @@ def rule_of(rules: list[tuple[str, str, str]], value: str = "rule") -> Column:
     return found
 
 
-def placeholder_path(levels: int = LEVELS) -> Column:
-    """The path's first segments with placeholders, the rest as one."""
-    plain = F.transform(
+def placeholder_path() -> Column:
+    """The path's segments with placeholders."""
+    return F.transform(
         F.split(F.regexp_replace("path", "^/", ""), "/"),
         lambda s: F.when(s.rlike("^[0-9a-fA-F-]{16,}$"), F.lit("$")).otherwise(F.regexp_replace(s, "[0-9]+", "#")))
-    return F.when(F.size(plain) > levels, F.concat(F.slice(plain, 1, levels), F.array(F.lit("**")))).otherwise(plain)
 
 
-def template_tree(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
+def _shared(first: Column, last: Column) -> Column:
+    """Number of leading segments that the least and the greatest path share, and so all between."""
+    same = F.zip_with(first, last, lambda a, b: a.eqNullSafe(b))
+    differs = F.array_position(same, False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(same)).cast("int")
+
+
+def _steps(rows: DataFrame) -> DataFrame:
+    """Take every path of ``rows`` (host, branch, segments left in ``rest``) past what its node shares, then one segment on."""
+    nodes = rows.groupBy("host", "branch").agg(F.min("rest").alias("least"), F.max("rest").alias("greatest"))
+    rows = skew.attach(rows, nodes.select("host", "branch", _shared(F.col("least"), F.col("greatest")).alias("shared")), ["host", "branch"])
+    onward = F.when(F.col("shared") > 0, F.concat(F.lit("/"), F.array_join(F.slice("rest", F.lit(1), F.col("shared")), "/"))).otherwise(F.lit(""))
+    rows = rows.withColumns({
+        "branch": F.concat("branch", onward), "plain": F.concat("plain", onward),
+        "rest": F.slice("rest", F.col("shared") + 1, F.greatest(F.size("rest") - F.col("shared"), F.lit(0)))}).drop("shared")
+    rows = session.materialise(rows.withColumn("segment", F.get("rest", F.lit(0))), "template-step")
+    child = rows.where("segment is not null").groupBy("host", "branch", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+    child = session.materialise(child, "template-children")
+    node = child.groupBy("host", "branch").agg(
+        F.count("*").alias("children"), F.sum("n").alias("node_n"), F.sum("labelled").alias("node_labelled"), F.sum("blocked").alias("node_blocked"))
+    rest = F.col("node_labelled") - F.col("labelled")
+    share = F.col("node_blocked") / F.col("node_labelled")
+    own = F.col("blocked") / F.col("labelled")
+    other = (F.col("node_blocked") - F.col("blocked")) / rest
+    error = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / rest))
+    alike = (F.col("labelled") > 0) & (rest > 0) & (F.abs(own - other) <= ALIKE_Z * error)
+    variable = (F.col("children") >= VARIABLE_CHILDREN) & (F.col("children") >= VARIABLE_SHARE * F.col("node_n"))
+    names = skew.attach(child, node, ["host", "branch"]).select(
+        "host", "branch", "segment",
+        F.when(variable, F.lit("*")).when(alike, F.lit("+")).otherwise(F.col("segment")).alias("to"),
+        F.when(variable, F.lit("*")).otherwise(F.col("segment")).alias("to_plain"))
+    moved = skew.attach(rows, names, ["host", "branch", "segment"], "left")
+    name = lambda c, to: F.when(F.col(to).isNull(), F.col(c)).otherwise(F.concat(c, F.lit("/"), to)).alias(c)
+    left = F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0)))
+    return moved.select("host", "segments", left.alias("rest"), "n", "labelled", "blocked", name("branch", "to"), name("plain", "to_plain"))
+
+
+def template_tree(paths: DataFrame) -> DataFrame:
     """Templates and purity of distinct paths.
 
     paths: host, segments, n, labelled, blocked (counts). Adds ``template``, ``purity`` and whether it is ``rejected``.
     """
     # ``branch`` has merged siblings and says what shares a purity; ``plain`` is the path template over hosts.
-    tree = paths.withColumns({"branch": F.lit(""), "plain": F.lit("")})
-    for level in range(levels + 1):
-        tree = tree.withColumn("segment", F.get("segments", F.lit(level)))
-        child = tree.where("segment is not null").groupBy("host", "branch", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-        node = child.groupBy("host", "branch").agg(
-            F.count("*").alias("children"), F.sum("n").alias("node_n"), F.sum("labelled").alias("node_labelled"), F.sum("blocked").alias("node_blocked"))
-        rest = F.col("node_labelled") - F.col("labelled")
-        share = F.col("node_blocked") / F.col("node_labelled")
-        own = F.col("blocked") / F.col("labelled")
-        other = (F.col("node_blocked") - F.col("blocked")) / rest
-        error = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / rest))
-        alike = (F.col("labelled") > 0) & (rest > 0) & (F.abs(own - other) <= ALIKE_Z * error)
-        variable = (F.col("children") >= VARIABLE_CHILDREN) & (F.col("children") >= VARIABLE_SHARE * F.col("node_n"))
-        names = child.join(node, ["host", "branch"]).select(
-            "host", "branch", "segment",
-            F.when(variable, F.lit("*")).when(alike, F.lit("+")).otherwise(F.col("segment")).alias("to"),
-            F.when(variable, F.lit("*")).otherwise(F.col("segment")).alias("to_plain"))
-        tree = tree.join(names, ["host", "branch", "segment"], "left").select(
-            "host", "segments", "n", "labelled", "blocked",
-            F.when(F.col("to").isNull(), F.col("branch")).otherwise(F.concat("branch", F.lit("/"), "to")).alias("branch"),
-            F.when(F.col("to").isNull(), F.col("plain")).otherwise(F.concat("plain", F.lit("/"), "to_plain")).alias("plain"))
-        tree = session.materialise(tree, "template-tree")
+    at = paths.withColumns({"branch": F.lit(""), "plain": F.lit(""), "rest": F.col("segments")})
+    done = None
+    while True:
+        at = session.materialise(_steps(at), "template-tree")
+        ended = at.where(F.size("rest") == 0).drop("rest")
+        done = ended if done is None else done.unionByName(ended)
+        at = at.where(F.size("rest") > 0)
+        if not at.head(1):
+            break
+    tree = session.materialise(done, "template-tree")
 
     total = tree.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     share = total["b"] / total["l"] if total["l"] else 0.0
@@ -102,11 +131,9 @@ def template_tree(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
     over_hosts = tree.groupBy("plain").agg(smooth(F.lit(share)).alias("prior"))
     # A branch can join several plain templates; its prior is that of the first by name.
     first = tree.groupBy("host", "branch").agg(F.min("plain").alias("plain")).join(over_hosts, "plain").select("host", "branch", "prior")
-    purity = tree.join(first, ["host", "branch"]).groupBy("host", "branch").agg(
-        smooth(F.first("prior")).alias("purity"), F.sum("labelled").alias("n_labelled"))
-    return tree.join(purity, ["host", "branch"]).select(
-        "host", "segments", F.concat("host", "branch").alias("template"), "purity",
-        ((F.col("purity") >= REJECT) & (F.col("n_labelled") >= LEAST_LABELLED)).alias("rejected"))
+    purity = skew.attach(tree, first, ["host", "branch"]).groupBy("host", "branch").agg(smooth(F.first("prior")).alias("purity"))
+    return skew.attach(tree, purity, ["host", "branch"]).select(
+        "host", "segments", F.concat("host", "branch").alias("template"), "purity", (F.col("purity") >= REJECT).alias("rejected"))
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -127,7 +154,7 @@ def _sql() -> str:
     ordered = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     case = lambda i: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{(h + p, v)[i]}'" for h, p, v in ordered) + " END"
     steps, last = [], "t0"
-    for k in range(LEVELS + 1):
+    for k in range(SQL_LEVELS):
         steps.append(f"""
 s{k} AS (SELECT *, segments[{k + 1}] AS segment FROM {last}),
 c{k} AS (SELECT host, branch, segment, sum(n) AS n, sum(labelled) AS l, sum(blocked) AS b FROM s{k} WHERE segment IS NOT NULL GROUP BY ALL),
@@ -144,15 +171,15 @@ t{k + 1} AS (SELECT s.host, s.segments, s.n, s.labelled, s.blocked,
 WITH parsed AS (SELECT page_id,
   translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{PARTS}', 2) AS path FROM pages),
 cut AS (SELECT *, {case(0)} AS rule, {case(1)} AS label, {segments} AS all_segments FROM parsed),
-rows AS (SELECT *, CASE WHEN len(all_segments) > {LEVELS} THEN list_append(all_segments[1:{LEVELS}], '**') ELSE all_segments END AS segments FROM cut),
+rows AS (SELECT *, CASE WHEN len(all_segments) > {SQL_LEVELS} THEN error('a path has more levels than this statement') ELSE all_segments END AS segments FROM cut),
 t0 AS (SELECT host, segments, CAST(count(*) AS DOUBLE) AS n, CAST(count(label) AS DOUBLE) AS labelled,
   CAST(count(*) FILTER (WHERE label = 'block') AS DOUBLE) AS blocked, '' AS branch, '' AS plain FROM rows GROUP BY host, segments),{"".join(steps)}
 total AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) AS share FROM {last}),
 over_hosts AS (SELECT plain, (sum(blocked) + {PRIOR} * (SELECT share FROM total)) / (sum(labelled) + {PRIOR}) AS prior FROM {last} GROUP BY plain),
 firsts AS (SELECT host, branch, min(plain) AS plain FROM {last} GROUP BY host, branch),
-purities AS (SELECT t.host, t.branch, (sum(blocked) + {PRIOR} * min(prior)) / (sum(labelled) + {PRIOR}) AS purity, sum(labelled) AS nl
+purities AS (SELECT t.host, t.branch, (sum(blocked) + {PRIOR} * min(prior)) / (sum(labelled) + {PRIOR}) AS purity
   FROM {last} t JOIN firsts f ON t.host = f.host AND t.branch = f.branch JOIN over_hosts o ON f.plain = o.plain GROUP BY t.host, t.branch)
-SELECT page_id, r.host, path, rule, coalesce(label, CASE WHEN purity >= {REJECT} AND nl >= {LEAST_LABELLED} THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT page_id, r.host, path, rule, coalesce(label, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
   r.host || t.branch AS template, purity
 FROM rows r JOIN {last} t ON r.host = t.host AND r.segments = t.segments JOIN purities p ON t.host = p.host AND t.branch = p.branch
 """

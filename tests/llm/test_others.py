@@ -102,6 +102,8 @@ def test_url_rules(spark):
 def test_url_templates(spark):
     pages = [(i, f"http://a.net/es/list/{w}/{i}") for i, w in enumerate(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=60))]
     pages += [(100 + i, f"http://a.net/{x}/list/q/{i}") for i in range(20) for x in ("fr", "en")]
+    # No rule fits /en/ on a.net; what it means on b.com, where a rule allows it, decides.
+    pages += [(200 + i, f"http://b.com/en/list/q/{i}") for i in range(20)]
     got = {r.page_id: r for r in url_filters.judged(spark.createDataFrame(pages, "page_id long, url string"), url_filters.RULES).collect()}
     assert got[0].template.startswith("a.net/+/") and got[0].purity > 0.9
     assert {r.verdict for r in got.values() if "/en/" in r.path} == {"allow"}
@@ -340,3 +342,82 @@ def test_run_is_the_stages_in_plain_python(spark, small, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def plain_templates(paths):
+    """{(host, path): (template, purity)} level by level in plain Python. paths: {(host, segments): [n, labelled, blocked]}."""
+    at = {key: ("", "") for key in paths}
+    for level in range(max((len(s) for _, s in paths), default=0)):
+        nodes = {}
+        for (host, segments), counts in paths.items():
+            if level < len(segments):
+                child = nodes.setdefault((host, at[host, segments][0]), {}).setdefault(segments[level], [0, 0, 0])
+                for i in range(3):
+                    child[i] += counts[i]
+        moved = dict(at)
+        for (host, segments) in paths:
+            if level >= len(segments):
+                continue
+            branch, plain = at[host, segments]
+            children = nodes[host, branch]
+            n, labelled, blocked = (sum(c[i] for c in children.values()) for i in range(3))
+            own = children[segments[level]]
+            alike, rest = False, labelled - own[1]
+            if own[1] and rest:
+                share = blocked / labelled
+                error = (share * (1 - share) * (1 / own[1] + 1 / rest)) ** 0.5
+                alike = abs(own[2] / own[1] - (blocked - own[2]) / rest) <= url_filters.ALIKE_Z * error
+            variable = len(children) >= url_filters.VARIABLE_CHILDREN and len(children) >= url_filters.VARIABLE_SHARE * n
+            moved[host, segments] = (
+                f"{branch}/{'*' if variable else '+' if alike else segments[level]}", f"{plain}/{'*' if variable else segments[level]}")
+        at = moved
+    prior = url_filters.PRIOR
+    total = [sum(c[i] for c in paths.values()) for i in range(3)]
+    share = total[2] / total[1] if total[1] else 0.0
+    over, own, first = {}, {}, {}
+    for (host, segments), counts in paths.items():
+        branch, plain = at[host, segments]
+        for store, key in ((over, plain), (own, (host, branch))):
+            sums = store.setdefault(key, [0, 0])
+            sums[0] += counts[1]
+            sums[1] += counts[2]
+        first[host, branch] = min(first.get((host, branch), plain), plain)
+    out = {}
+    for host, segments in paths:
+        branch = at[host, segments][0]
+        labelled, blocked = over[first[host, branch]]
+        back = (blocked + prior * share) / (labelled + prior)
+        labelled, blocked = own[host, branch]
+        out[host, segments] = (host + branch, (blocked + prior * back) / (labelled + prior))
+    return out
+
+
+def test_url_tree_to_the_end_of_the_paths(spark):
+    rng = random.Random(12)
+    urls = []
+    for i in range(600):
+        depth = rng.choice([0, 1, 2, 3, 4, 5, 6, 9])
+        parts = [rng.choice(["fr", "es", "en", "list", f"v{rng.randrange(40)}", "a" * 20, str(rng.randrange(9)), ""]) for _ in range(depth)]
+        urls.append((i, f"https://{rng.choice(['x.net', 'y.net', 'z.org', 'shop.com'])}/" + "/".join(parts)))
+    urls += [(700 + i, "http://deep.org/" + "/".join(["s"] * 4000 + [str("ab"[i % 2])] * 3000)) for i in range(6)]
+    urls += [(800 + i, f"http://{h}/fr/only") for i, h in enumerate(["x.net"] * 30 + ["z.org"])]
+    frame = spark.createDataFrame(urls, "page_id long, url string").withColumns({"host": F.lit("other"), "label": F.lit(1), "template": F.lit("t")})
+    got = url_filters.judged(frame, url_filters.RULES).collect()
+    assert len(got) == len(urls)
+    paths, of = {}, {}
+    for i, url in urls:
+        host, path, rule, verdict = plain_rule(url) if len(plain_rule(url)) == 4 else (*plain_rule(url), None)
+        segments = tuple(
+            "$" if re.fullmatch("[0-9a-fA-F-]{16,}", s) else re.sub("[0-9]+", "#", s) for s in re.sub("^/", "", path).split("/"))
+        of[i] = (host, segments)
+        counts = paths.setdefault((host, segments), [0, 0, 0])
+        counts[0] += 1
+        counts[1] += rule is not None
+        counts[2] += verdict == "block"
+    want = plain_templates(paths)
+    for r in got:
+        template, purity = want[of[r.page_id]]
+        assert r.template == template and r.purity == pytest.approx(purity)
+        assert r.rule is not None or r.verdict == ("block" if purity >= url_filters.REJECT else "allow")
+    unruled = [r for r in got if r.rule is None]
+    assert {r.verdict for r in unruled} == {"allow", "block"}
