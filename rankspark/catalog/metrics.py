@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankspark.catalog.models import pair_tasks
 from rankspark.catalog.registry import check
 from rankspark.catalog.windows import SQL_SCORE, cents
 from rankspark.functions import features
 from rankspark.operators import metrics, pairs, records
+from rankspark.session import materialise
 from rankspark.sources import tables
 
 
@@ -101,14 +103,24 @@ def gini_normalized(spark, d):
     return metrics.gini_normalised(tables.clicks(spark, d), "isclk", "dclk").select(F.round("gini", 6).alias("gini"))
 
 
-@check("pairwise_loss", "impressions", """
-WITH p AS (SELECT p.query_type, sqrt(p.f3) AS ps, sqrt(n.f3) AS ns FROM impressions p JOIN impressions n USING (search_uid) WHERE p.label = 2 AND n.label <> 2)
-SELECT round(avg(CASE WHEN query_type = 4 THEN ln(1 + exp(ns - ps)) ELSE 0 END), 6) AS start_loss,
-  round(avg(CASE WHEN query_type <> 4 THEN ln(1 + exp(ns - ps)) ELSE 0 END), 6) AS end_loss FROM p""")
+@check("pairwise_loss", "order_log", """
+WITH o AS (SELECT search_uid, impression_id, label FROM order_log),
+t AS (SELECT i.search_uid, i.search_id, i.f3, 'order' AS data_type, o.label FROM o JOIN impressions i USING (impression_id)
+  UNION ALL SELECT search_uid, search_id, f3, 'click', label FROM impressions WHERE search_uid NOT IN (SELECT search_uid FROM o)),
+p AS (SELECT p.search_id % 2 = 0 AS start, p.data_type, ln(1 + exp(sqrt(n.f3) - sqrt(p.f3))) AS loss
+  FROM t p JOIN t n USING (search_uid) WHERE p.label = 2 AND n.label <> 2)
+SELECT round(avg(CASE WHEN start AND data_type = 'click' THEN loss ELSE 0 END), 6) AS start_click_loss,
+  round(avg(CASE WHEN start AND data_type = 'order' THEN loss ELSE 0 END), 6) AS start_order_loss,
+  round(avg(CASE WHEN NOT start AND data_type = 'click' THEN loss ELSE 0 END), 6) AS end_click_loss,
+  round(avg(CASE WHEN NOT start AND data_type = 'order' THEN loss ELSE 0 END), 6) AS end_order_loss FROM p""")
 def pairwise_loss(spark, d):
     third = F.try_element_at(features.parse_features(F.col("ltr_features")), F.lit(3))
-    im = tables.impressions(spark, d).withColumn("s", F.sqrt(third))
-    both = pairs.positive_negative(im, "search_uid", ["query_type"], ["s"], F.col("label") == 2)
-    start = F.col("query_type") == 4
-    loss = metrics.pairwise_loss(both, F.col("pos_s"), F.col("neg_s"), {"start_loss": start, "end_loss": ~start})
+    columns = ["search_uid", "search_id", "s", "data_type", "label"]
+    im = tables.impressions(spark, d).withColumns({"s": F.sqrt(third), "as_order": tables.order_label()}).select("search_uid", "search_id", "query_type", "s", "label", "as_order")
+    im = materialise(im, "ranking")
+    order = im.where("query_type = 4").select("search_uid", "search_id", "s", F.lit("order").alias("data_type"), F.col("as_order").alias("label"))
+    taken = materialise(pairs.prefer_orders(im.withColumn("data_type", F.lit("click")).select(*columns), order, "search_uid"), "taken")
+    both = pairs.positive_negative(taken, "search_uid", ["search_id", "data_type"], ["s"], F.col("label") == 2)
+    masks = {f"{task}_loss": condition for task, condition in pair_tasks().items()}
+    loss = metrics.pairwise_loss(both, F.col("pos_s"), F.col("neg_s"), masks)
     return loss.select(*[F.round(c, 6).alias(c) for c in loss.columns])

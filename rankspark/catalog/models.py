@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rankspark.catalog.registry import check, ints
 from rankspark.functions import features
 from rankspark.operators import models, pairs, profile, sampling
+from rankspark.session import materialise
 from rankspark.sources import tables
 
 
@@ -20,13 +21,14 @@ def click_rows(spark, d):
     return models.training_rows(c, "isclk", [F.log1p("dclk"), F.col("hr") / 24])
 
 
-def ranking_rows(spark, d):
+def ranking_rows(spark, d, keep=(), label=None):
     """Impressions with their four ranking features; clicked or not is the label."""
     f = features.parse_features(F.col("ltr_features"))
     dense = F.slice(features.densify(f, F.lit(0), 4), 2, 4)
+    extra = [] if label is None else [label.alias("as_order")]
     return tables.impressions(spark, d).select(
         "search_uid", "impression_id", "query_type", "show_pos", (F.col("label") == 2).cast("double").alias("label"),
-        dense.alias("x"),
+        dense.alias("x"), *[c for c in keep if c != "query_type"], *extra,
     ).withColumn("features", array_to_vector("x"))
 
 
@@ -59,9 +61,8 @@ def _trees(rows, trees=5, depth=3):
         "is_validation": sampling.unit_hash(F.col("impression_id"), 1) < 0.2,
         "weight": F.when(F.col("label") == 1, models.POSITIVE_WEIGHT).otherwise(1.0),
     })
-    return models.boosted_trees(trees, depth, validation="is_validation", weight="weight").fit(
-        models.training_table(split)
-    )
+    # Patience in proportion to the few trees of these trials.
+    return models.boosted_with_patience(split, patience=max(1, trees // 2), trees=trees, depth=depth, weight="weight")[0]
 
 
 @check("gbt_train")
@@ -78,17 +79,22 @@ def gbt_leaves(spark, d):
     )
 
 
+# Both sides of a search and both logs: four tasks.
+def pair_tasks():
+    start, click = F.pmod("search_id", F.lit(2)) == 0, F.col("data_type") == "click"
+    return {"start_click": start & click, "start_order": start & ~click, "end_click": ~start & click, "end_order": ~start & ~click}
+
+
 @check("pairwise_lr")
 def pairwise_lr(spark, d):
-    rows = ranking_rows(spark, d)
-    both = pairs.positive_negative(rows, "search_uid", ["query_type"], ["x"], F.col("label") == 1)
-    start = F.col("query_type") == 4
-    fitted = models.pairwise_logistic(both, "pos_x", "neg_x", {"start": start, "end": ~start})
-    out = None
-    for task, model in fitted.items():
-        w = models.coefficients(model, ["f1", "f2", "f3", "f4"]).withColumn("task", F.lit(task))
-        out = w if out is None else out.unionByName(w)
-    return out
+    rows = materialise(ranking_rows(spark, d, ["search_id", "query_type"], label=tables.order_label()), "ranking")
+    order = rows.where("query_type = 4").withColumn("data_type", F.lit("order"))
+    taken = materialise(pairs.prefer_orders(rows.withColumn("data_type", F.lit("click")), order, "search_uid"), "taken")
+    clicked = F.when(F.col("data_type") == "order", F.col("as_order") == 2).otherwise(F.col("label") == 1)
+    both = pairs.positive_negative(taken, "search_uid", ["search_id", "data_type"], ["x"], clicked)
+    fitted = models.pairwise_tasks(both, "pos_x", "neg_x", pair_tasks())
+    found = [(t, f"f{i + 1}", float(w)) for t in fitted.tasks for i, w in enumerate(fitted.weights(t))]
+    return spark.createDataFrame(found, "task string, feature string, weight double").withColumn("weight", F.round("weight", 4))
 
 
 SQL_LEVELS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -103,6 +109,21 @@ def dummies(spark, d):
     return wide.select("id", *[c for c in wide.columns if c.startswith("seg_cat_")])
 
 
+# Levels of the rows with a target of 1; the id is a column of as many levels as there are such rows.
+HOT = ["seg_cat", "nation_cat", "id"]
+
+
+@check("dummies_sparse", "tabular", f"""
+WITH lv AS (SELECT DISTINCT col, v FROM (SELECT unnest([1, 2, 3]) AS col, unnest([{', '.join(f"CAST({c} AS STRING)" for c in HOT)}]) AS v FROM tabular WHERE target = 1) WHERE v IS NOT NULL),
+ix AS (SELECT col, v, row_number() OVER (ORDER BY col, v) - 1 AS idx FROM lv),
+r AS (SELECT id, unnest([1, 2, 3]) AS col, unnest([{', '.join(f"CAST({c} AS STRING)" for c in HOT)}]) AS v FROM tabular)
+SELECT id, CAST(idx AS INT) AS level FROM r JOIN ix USING (col, v)""")
+def dummies_sparse(spark, d):
+    t = tables.tabular(spark, d)
+    index = profile.level_index(t.where("target = 1"), HOT)
+    return profile.one_hot(t, index, HOT).select("id", F.explode("hot").alias("level"))
+
+
 @check("oof_stacking")
 def oof_stacking(spark, d):
     t = profile.impute_mode(tables.tabular(spark, d), ["nation_cat", "bal"])

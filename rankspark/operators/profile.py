@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.operators.skew import attach, running_sums
+from rankspark.operators import dictionary
+from rankspark.operators.skew import attach, group_positions, running_sums
 from rankspark.session import materialise
 
 
@@ -155,7 +157,7 @@ def dummies(train: DataFrame, df: DataFrame, columns: Sequence[str], max_levels:
     """0/1 columns ``col_level`` for the levels seen in training; unseen levels give zeros.
 
     The levels become column names, so a column with more of them than ``max_levels`` is
-    refused rather than silently cut.
+    refused rather than silently cut; :func:`one_hot` takes any number.
     """
     added: dict[str, Column] = {}
     for c in columns:
@@ -163,7 +165,42 @@ def dummies(train: DataFrame, df: DataFrame, columns: Sequence[str], max_levels:
             r[0] for r in train.where(F.col(c).isNotNull()).select(c).distinct().limit(max_levels + 1).collect()
         ]
         if len(levels) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels")
+            raise ValueError(f"{c} has more than {max_levels} levels; use one_hot")
         for v in sorted(levels, key=str):
             added[f"{c}_{v}"] = F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
     return df.withColumns(added)
+
+
+def level_index(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(dict_key, value, idx): the levels of every column numbered from 0, by column and then by level."""
+    levels = train.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("dict_key"), F.col(c).cast("string").alias("value")) for c in columns]))).where(F.col("value").isNotNull()).distinct()
+    order = F.array_position(F.array(*map(F.lit, columns)), F.col("dict_key"))
+    placed = group_positions(levels.withColumn("_all", F.lit(0)), ["_all"], [order, F.col("value")], "idx")
+    return materialise(placed.select("dict_key", "value", (F.col("idx") - 1).cast("int").alias("idx")), "levels")
+
+
+def one_hot(df: DataFrame, index: DataFrame, columns: Sequence[str], out: str = "hot") -> DataFrame:
+    """Add ``out``, the sorted numbers of the row's levels, for any number of levels; unseen and null ones give none."""
+    names = {f"_idx_{i}": (c, c) for i, c in enumerate(columns)}
+    # The look-up gives 0 for what it doesn't know, so its numbers begin at 1.
+    coded = dictionary.look_up(df, index.withColumn("idx", F.col("idx") + 1), names)
+    numbers = F.filter(F.array(*names), lambda i: i > 0)
+    return coded.withColumn(out, F.array_sort(F.transform(numbers, lambda i: i - 1))).drop(*names)
+
+
+def sparse_vectors(df: DataFrame, index: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
+    """Add a sparse 0/1 vector over all levels of the columns, for Spark ML; unseen and null levels are all zeros."""
+    # One row per column.
+    spans = {r.dict_key: (r.first, r.last) for r in index.groupBy("dict_key").agg(F.min("idx").alias("first"), F.max("idx").alias("last")).collect()}
+    columns = [c for c in columns if c in spans]
+    names = {f"_idx_{i}": (c, c) for i, c in enumerate(columns)}
+    coded = dictionary.look_up(df, index.withColumn("idx", F.col("idx") + 1), names)
+    sizes = {n: spans[c][1] - spans[c][0] + 1 for n, (c, _) in names.items()}
+    # Within a column the levels count from 0; what is unseen takes the number after the last, which is dropped.
+    coded = coded.withColumns({
+        n: F.when(F.col(n) > 0, F.col(n) - 1 - spans[c][0]).otherwise(sizes[n]).cast("double") for n, (c, _) in names.items()})
+    largest = df.sparkSession.createDataFrame([tuple(float(sizes[n] - 1) for n in names)], ", ".join(f"{n} double" for n in names))
+    hot = [f"{n}_hot" for n in names]
+    encoder = OneHotEncoder(inputCols=list(names), outputCols=hot, dropLast=True, handleInvalid="keep").fit(largest)
+    return VectorAssembler(inputCols=hot, outputCol=out).transform(encoder.transform(coded)).drop(*names, *hot)
