@@ -56,7 +56,7 @@ def _counts(spark, d):
     from rankspark.functions import text
 
     im = tables.impressions(spark, d)
-    grams = [text.char_trigrams(F.col(c)) for c in ("query", "name_address")]
+    grams = [dictionary.Terms(F.col(c), text.char_trigrams) for c in ("query", "name_address")]
     return im, dictionary.value_counts(
         im, {"uid": [F.col("uid")], "poiid": [F.col("poi_id")], "layer": [F.col("layer")], "trigram": grams}
     )

@@ -356,7 +356,7 @@ def job_multitask_pairs(spark, d):
     stats = {r.idx: (r["mean"], r["std"]) for r in profile.feature_statistics(im.select(F.explode("f").alias("idx", "value"))).collect()}
     hour = calendar.hour_bucket(calendar.hour_of(F.col("time_text")))
     counts = dictionary.value_counts(im, {
-        "trigram": [text.char_trigrams(F.col("query")), text.char_trigrams(F.col("name_address"))], "uid": [F.col("uid")], "cityid": [F.col("city_id")],
+        "trigram": [dictionary.Terms(F.col(c), text.char_trigrams) for c in ("query", "name_address")], "uid": [F.col("uid")], "cityid": [F.col("city_id")],
         "poiid": [F.col("poi_id")], "layer": [F.col("layer")], "category": [F.col("category")], "hour": [hour], "qtype": [F.lit("1")]})
     counts = dictionary.filter_by_count(counts, {"trigram": RARE_TRIGRAM})
     keys = ["trigram", "uid", "cityid", "poiid", "layer", "category", "hour", "qtype"]

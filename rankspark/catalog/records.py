@@ -149,12 +149,8 @@ def densify_features(spark, d):
 SELECT impression_id, CAST(round(f4 * 100) AS BIGINT)::STRING AS top, concat_ws(',', CAST(round(f2 * 100) AS BIGINT), CAST(round(f1 * 100) AS BIGINT), 0) AS raw
 FROM impressions""")
 def feature_groups(spark, d):
-    dense = features.densify(F.col("f"), F.col("show_pos"))
-    x = _features(spark, d).select("impression_id", dense.alias("v"))
-    return x.select(
-        "impression_id", scaled(features.pick(F.col("v"), [66]), 2).alias("top"),
-        scaled(features.pick(F.col("v"), [28, 1, 30]), 2).alias("raw"),
-    )
+    pick = lambda indexes: features.pick_from(F.col("f"), F.col("show_pos"), indexes)
+    return _features(spark, d).select("impression_id", scaled(pick([66]), 2).alias("top"), scaled(pick([28, 1, 30]), 2).alias("raw"))
 
 
 @check("reindex_features", "impressions", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankspark.catalog.registry import check, ints
-from rankspark.functions import address, calendar, text
+from rankspark.functions import address, calendar, features, text
 from rankspark.operators import similarity
 from rankspark.sources import tables
 
@@ -299,14 +299,11 @@ def tfidf_cosine(spark, d):
     for column, corpus in (("query", queries), ("name", names)):
         kinds = {f"{column[0]}1": similarity.unigrams, f"{column[0]}2": similarity.bigrams}
         r = similarity.attach_vectors(r, column, similarity.text_vectors(corpus, **kinds))
-    per_gram = [
-        F.struct(F.lit(n).alias("gram"), *[
-            F.round(c, 6).alias(k)
-            for k, c in similarity.cosine_features(F.col(f"q{n}"), F.col(f"n{n}")).items()
-        ])
-        for n in (1, 2)
-    ]
-    return r.select("impression_id", F.inline(F.array(*per_gram)))
+    def of_gram(n: int):
+        found = similarity.cosine_features(F.col(f"q{n}"), F.col(f"n{n}"))
+        return features.let(found, lambda v: F.struct(F.lit(n).alias("gram"), *[F.round(F.get(v, i), 6).alias(k) for i, k in enumerate(similarity.COSINE)]))
+
+    return r.select("impression_id", F.inline(F.array(of_gram(1), of_gram(2))))
 
 
 @check("text_lengths", "impressions", """

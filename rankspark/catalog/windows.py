@@ -20,7 +20,7 @@ def cents(c="score"):
 @check("rank_in_group", "impressions", f"""
 SELECT impression_id, row_number() OVER (PARTITION BY search_uid ORDER BY {SQL_SCORE} DESC, show_pos, impression_id) AS rank FROM impressions""")
 def rank_in_group(spark, d):
-    im = tables.impressions(spark, d).withColumn("score", cents())
+    im = tables.impressions(spark, d).withColumn("score", cents()).select("search_uid", "score", "show_pos", "impression_id")
     order = [F.desc("score"), F.col("show_pos"), F.col("impression_id")]
     return skew.group_positions(im, ["search_uid"], order, "rank").select("impression_id", "rank")
 

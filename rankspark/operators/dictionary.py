@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,25 +16,46 @@ from rankspark.session import materialise, new_path
 UNKNOWN = "UNK"
 
 
-def value_counts(rows: DataFrame, values: dict[str, Sequence[Column]]) -> DataFrame:
-    """(dict_key, value, cnt) over one or more columns per dictionary, in one pass.
+@dataclass(frozen=True)
+class Terms:
+    """The parts that ``split`` makes of a text column, as values of a dictionary."""
 
-    An array column counts each of its elements.
+    column: Column
+    split: Callable[[Column], Column]
+
+
+def value_counts(rows: DataFrame, values: dict[str, Sequence[Column | Terms]]) -> DataFrame:
+    """(dict_key, value, cnt) over one or more columns per dictionary, in one pass over the rows.
+
+    An array column counts each of its elements. ``Terms`` counts the distinct texts first and
+    splits each of them once, with its count as weight.
     """
-    def tagged(values: Column, key: str) -> Column:
-        return F.transform(values, lambda v: F.struct(F.lit(key).alias("dict_key"), v.cast("string").alias("value")))
+    def tagged(values: Column, key: str, split: int) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(key).alias("dict_key"), F.lit(split).alias("_split"), v.cast("string").alias("value")))
 
-    entries = []
+    entries, splits = [], {}
     for key, columns in values.items():
         for c in columns:
+            if isinstance(c, Terms):
+                splits[len(splits) + 1] = c.split
+                entries.append(tagged(F.array(c.column.cast("string")), key, len(splits)))
+                continue
             as_list = c if dict(rows.select(c.alias("x")).dtypes)["x"].startswith("array") else F.array(c.cast("string"))
-            entries.append(tagged(as_list, key))
-    return (
+            entries.append(tagged(as_list, key, 0))
+    counted = (
         rows.select(F.inline(F.concat(*entries)))
         .where(F.col("value").isNotNull())
-        .groupBy("dict_key", "value")
+        .groupBy("dict_key", "_split", "value")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
+    if not splits:
+        return counted.drop("_split")
+    # One split of the text for each row; whole values are their only part.
+    parts = F.array("value")
+    for i, split in splits.items():
+        parts = F.when(F.col("_split") == i, split(F.col("value"))).otherwise(parts)
+    exploded = counted.select("dict_key", F.explode(parts).alias("value"), "cnt").where(F.col("value").isNotNull())
+    return exploded.groupBy("dict_key", "value").agg(F.sum("cnt").alias("cnt"))
 
 
 def unknown_rows(rows: DataFrame, dict_keys: Sequence[str]) -> DataFrame:

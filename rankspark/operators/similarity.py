@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions import text
+from rankspark.functions.features import let
 from rankspark.operators.skew import attach
 from rankspark.session import materialise
 
@@ -83,43 +84,47 @@ def attach_vectors(rows: DataFrame, column: str, vectors: DataFrame) -> DataFram
     return joined.withColumns({c: F.coalesce(c, empty) for c in names})
 
 
-def _sum(keys: Column, f) -> Column:
-    return F.aggregate(keys, F.lit(0.0), lambda s, t: s + f(t))
+COSINE = "cosine match_weight match_count_ratio match_weight_ratio query_max_weight item_max_weight".split()
 
 
-def _max(keys: Column, f) -> Column:
-    return F.coalesce(F.array_max(F.transform(keys, f)), F.lit(0.0))
+def _sum(values: Column, f: Callable[[Column], Column]) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + f(v))
 
 
-def cosine_features(q: Column, d: Column) -> dict[str, Column]:
-    """Cosine, matched query weight, matched share by count and by weight, and the
-    largest matched weight on each side."""
-    keys = F.array_intersect(F.map_keys(q), F.map_keys(d))
-    w = lambda m: lambda t: F.try_element_at(m, t).tf * F.try_element_at(m, t).idf
-    square = lambda m: _sum(F.map_keys(m), lambda t: w(m)(t) * w(m)(t))
-    matched = _sum(keys, w(q))
-    total = _sum(F.map_keys(q), w(q))
-    length = F.sqrt(square(q) * square(d))
-    return {
-        "cosine": F.when(length > 0, _sum(keys, lambda t: w(q)(t) * w(d)(t)) / length).otherwise(0.0),
-        "match_weight": matched,
-        "match_count_ratio": F.when(F.size(q) > 0, F.size(keys) / F.size(q)).otherwise(0.0),
-        "match_weight_ratio": F.when(total > 0, matched / total).otherwise(0.0),
-        "query_max_weight": _max(keys, w(q)),
-        "item_max_weight": _max(keys, w(d)),
-    }
+def _max(values: Column) -> Column:
+    return F.coalesce(F.array_max(values), F.lit(0.0))
+
+
+def _matched(q: Column, d: Column, pair: Callable[[Column, Column], Column]) -> Column:
+    """``pair`` of both entries of every term that both maps hold, met in time linear in their sizes."""
+    met = F.map_zip_with(q, d, lambda t, a, b: F.when(a.isNotNull() & b.isNotNull(), pair(a, b)))
+    return F.array_compact(F.map_values(met))
+
+
+def cosine_features(q: Column, d: Column) -> Column:
+    """Array of the COSINE features: cosine, matched query weight, matched share by count and by
+    weight, and the largest matched weight on each side. The terms are met once for all of them."""
+    w = lambda v: v.tf * v.idf
+    square = lambda m: _sum(F.map_values(m), lambda v: w(v) * w(v))
+
+    def six(met: Column) -> Column:
+        matched, total = _sum(met, lambda p: p.a), _sum(F.map_values(q), w)
+        length = F.sqrt(square(q) * square(d))
+        return F.array(
+            F.when(length > 0, _sum(met, lambda p: p.a * p.b) / length).otherwise(0.0), matched,
+            F.when(F.size(q) > 0, F.size(met) / F.size(q)).otherwise(0.0), F.when(total > 0, matched / total).otherwise(0.0),
+            _max(F.transform(met, lambda p: p.a)), _max(F.transform(met, lambda p: p.b)))
+
+    return let(_matched(q, d, lambda a, b: F.struct(w(a).alias("a"), w(b).alias("b"))), six)
 
 
 def bm25(q: Column, d: Column, mean_length: float) -> Column:
     """BM25 of the query terms against one item text of the row."""
-    keys = F.array_intersect(F.map_keys(q), F.map_keys(d))
-    length = _sum(F.map_keys(d), lambda t: F.try_element_at(d, t).tf)
-
-    def part(t):
-        e = F.try_element_at(d, t)
-        return e.idf * e.tf * (K1 + 1) / (e.tf + K1 * (1 - B + B * length / mean_length))
+    def total(length: Column) -> Column:
+        part = lambda _, e: e.idf * e.tf * (K1 + 1) / (e.tf + K1 * (1 - B + B * length / mean_length))
+        return _sum(_matched(q, d, part), lambda x: x)
 
-    return _sum(keys, part)
+    return let(_sum(F.map_values(d), lambda v: v.tf), total)
 
 
 def mean_length(corpus: DataFrame, terms: Terms) -> float:
@@ -141,10 +146,10 @@ def similarity_features(
     addr_bm25 = bm25(F.col("q1"), F.col("a1"), mean_length(addrs, unigrams))
     count = lambda c: F.size(F.split(c, " ")).cast("double")
     size = lambda c: F.length(c).cast("double")
-    sim = F.array(
-        F.lit(1.0), *one.values(), *two.values(), name_bm25, addr_bm25,
+    sim = F.concat(F.array(F.lit(1.0)), one, two, F.array(
+        name_bm25, addr_bm25,
         text.edit_similarity(F.col("query"), F.col("name")),
         text.edit_similarity(F.col("query"), F.col("addr")),
         count("query"), count("name"), count("addr"), size("query"), size("name"), size("addr"),
-    )
+    ))
     return r.withColumn("sim", sim).drop("q1", "q2", "n1", "n2", "a1")

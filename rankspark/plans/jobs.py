@@ -425,7 +425,7 @@ def feature_dictionary(samples: DataFrame) -> DataFrame:
             continue
         column = F.col(spec.source)
         if spec.dict_key == "trigram":
-            column = text.char_trigrams(column)
+            column = dictionary.Terms(column, text.char_trigrams)
         elif spec.width:
             column = F.filter(F.split(column, "[;,]"), lambda v: v != "")
         values.setdefault(spec.dict_key, []).append(column)

@@ -24,6 +24,7 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.rankspark.scanPartitions", str(cores) if str(cores).isdigit() else "8")
         .getOrCreate()
     )
 

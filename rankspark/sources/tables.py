@@ -15,11 +15,19 @@ LOG_PAGE_ITEMS = 1000
 _SCHEMAS: dict[str, T.StructType] = {}
 
 
+#: Session option: deal the rows of the large tables out over so many tasks. Off unless set; meant for
+#: tables of one file with one row group, which a scan can't split. Stored data of many files needs no exchange.
+SCAN_PARTITIONS = "spark.rankspark.scanPartitions"
+LARGE = frozenset({"lineitem", "orders", "documents", "events", "pages"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    rows = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    return rows.repartition(int(n)) if n and name in LARGE else rows
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
