@@ -277,20 +277,39 @@ def job_rank_rows(spark, d):
     )
 
 
+# Rows of these layers have no features, and a third of the items are in no index.
+SQL_RATIO = """len(list_intersect(string_split(query, ' '), string_split(replace(name_address, '|', ' '), ' '))) / len(list_distinct(string_split(query, ' ')))"""
+SQL_UNION_DENSE = f"""list_transform(CASE WHEN layer % 10 = 3 THEN
+    CAST([km, (show_pos > 0)::INT, show_pos, 0, layer, 0, show_pos + 1, 0, layer * 2] AS DOUBLE[]) || [0.0::DOUBLE for i in range(82)] || [CAST(layer AS DOUBLE) for i in range(41)]
+    || [0.0::DOUBLE for i in range(41)] || [CAST(show_pos AS DOUBLE) for i in range(41)] || [CAST({SQL_RATIO} AS DOUBLE)]
+  ELSE CAST([f1, f2, f3, f4] AS DOUBLE[]) || [0.0::DOUBLE for i in range(210)] || [CAST({SQL_RATIO} AS DOUBLE)] END,
+  lambda v, i: CAST(round((CASE WHEN i <= 4 THEN v ELSE log2(v + 2) - 1 END) * 10000) AS BIGINT))"""
+
+
 @check("job_union_rows", "impressions places searchers", f"""
 WITH {SQL_VOCAB}, x AS (SELECT *, split_part(name_address, '|', 1) AS nm, split_part(name_address, '|', 2) AS ad FROM impressions),
 {sql_ids('x', 'impression_id', 'query', 'q')}, {sql_ids('x', 'impression_id', 'nm', 'a')}, {sql_ids('x', 'impression_id', 'ad', 'b')},
-k AS (SELECT i.*, {SQL_KM} AS km FROM impressions i JOIN places p ON p.poi_id = i.poi_id JOIN searchers s ON s.uid = i.uid)
-SELECT impression_id, 1 AS query_side, CASE WHEN search_id % 24 BETWEEN 6 AND 11 THEN 0 WHEN search_id % 24 BETWEEN 12 AND 17 THEN 1 ELSE 2 END AS hour_id,
-  label - 1 AS label, least(label, 1) AS quantiser_label, layer, CAST(least(floor(log2(1 + km)), 15) AS INT) AS distance_id, 215 AS width,
+idx AS (SELECT poi_id, row_number() OVER (ORDER BY poi_id) - 1 AS idx FROM places),
+k AS (SELECT i.*, {SQL_KM} AS km, CASE WHEN i.poi_id % 3 > 0 THEN idx ELSE 0 END AS poi_idx
+  FROM impressions i JOIN places p ON p.poi_id = i.poi_id JOIN searchers s ON s.uid = i.uid JOIN idx ON idx.poi_id = i.poi_id)
+SELECT impression_id, CAST(poi_idx AS INT) AS poi_idx, 1 AS query_side,
+  CASE WHEN search_id % 24 BETWEEN 6 AND 11 THEN 0 WHEN search_id % 24 BETWEEN 12 AND 17 THEN 1 ELSE 2 END AS hour_id,
+  label - 1 AS label, least(label, 1) AS quantiser_label, layer, CAST(least(floor(log2(1 + km)), 15) AS INT) AS distance_id,
+  array_to_string({SQL_UNION_DENSE}, ',') AS dense,
   {sql_fit('[4] || q.ids || [5]', 32)} AS query_token_ids, {sql_fit('[4] || a.ids || [5] || b.ids || [5]', 32)} AS poi_token_ids
 FROM k JOIN q USING (impression_id) JOIN a USING (impression_id) JOIN b USING (impression_id)""")
 def job_union_rows(spark, d):
     kind = F.when(F.col("label") == 2, "pos").when(F.col("label") == 1, "show_hard").otherwise("easy")
-    out = jobs.union_rows(_located(spark, d).withColumn("sample_type", kind), vocabulary(spark, d))
+    rows = _located(spark, d).withColumns({"sample_type": kind, "f": F.when(F.col("layer") % 10 != 3, F.col("f"))})
+    index = item_index(tables.places(spark, d)).where("poi_id % 3 > 0")
+    repeat = lambda c: F.array_repeat(F.col(c).cast("double"), 41)
+    out = jobs.union_rows(
+        rows, vocabulary(spark, d), index,
+        {"common_end": F.col("layer"), "common_start": F.lit(7), "person_end": F.col("show_pos") + 1, "person_start": F.lit(8), "common_total": F.col("layer") * 2},
+        {"dest_query_geohash": repeat("layer"), "start_query_geohash": repeat("layer"), "dest_pid_city": repeat("show_pos")}, F.col("show_pos"))
     return out.select(
-        "impression_id", "query_side", "hour_id", "label", "quantiser_label", "layer", "distance_id",
-        F.size("dense").alias("width"), *shown(["query_token_ids", "poi_token_ids"]),
+        "impression_id", "poi_idx", "query_side", "hour_id", "label", "quantiser_label", "layer", "distance_id",
+        scaled("dense").alias("dense"), *shown(["query_token_ids", "poi_token_ids"]),
     )
 
 

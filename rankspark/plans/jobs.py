@@ -43,6 +43,16 @@ COUNTS = "common_end common_start person_end person_start common_total".split()
 GROUPS = "dest_query_city dest_pid_query_city dest_query_geohash start_query_geohash dest_pid_city".split()
 
 
+def _statistics(km, ratio, counts, groups, click_score, source_tag) -> Column:
+    """Statistic features; what is left out counts as missing."""
+    none = F.lit(None).cast("array<double>")
+    return features.masked_statistics(
+        F.col("query_type"), km, F.lit(None).cast("double") if click_score is None else click_score,
+        F.lit(None).cast("string") if source_tag is None else source_tag,
+        {k: F.lit(None) for k in COUNTS} | (counts or {}), {k: none for k in GROUPS} | (groups or {}), ratio,
+    )
+
+
 def similarity_samples(
     rows: DataFrame, queries: DataFrame, names: DataFrame, addrs: DataFrame,
     counts: dict[str, Column] | None = None, groups: dict[str, Column] | None = None,
@@ -58,12 +68,7 @@ def similarity_samples(
     km = geo.haversine_km(F.col("lng"), F.col("lat"), F.col("item_lng"), F.col("item_lat"))
     _, ratio = text.token_overlap(F.col("query"), F.concat_ws("|", "name", "addr"))
     zero = F.lit(0.0)
-    none = F.lit(None).cast("array<double>")
-    statistics = features.masked_statistics(
-        F.col("query_type"), km, F.lit(None).cast("double") if click_score is None else click_score,
-        F.lit(None).cast("string") if source_tag is None else source_tag,
-        {k: F.lit(None) for k in COUNTS} | (counts or {}), {k: none for k in GROUPS} | (groups or {}), ratio,
-    )
+    statistics = _statistics(km, ratio, counts, groups, click_score, source_tag)
     other = F.array(zero, (F.col("query_type") == 1).cast("double"), zero, km, zero, zero)
     return r.withColumn("dense", F.concat("sim", other, statistics)).drop("sim")
 
@@ -289,12 +294,23 @@ def rank_rows(lines: DataFrame, vocabulary: DataFrame, ids: DataFrame, city: str
     )
 
 
-def union_rows(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def union_rows(
+    rows: DataFrame, vocabulary: DataFrame, item_index: DataFrame | None = None,
+    counts: dict[str, Column] | None = None, groups: dict[str, Column] | None = None,
+    click_score: Column | None = None, source_tag: Column | None = None,
+) -> DataFrame:
     """Samples to text ids and dense features per item, with model and quantiser labels.
 
-    Rows carry query, name_address, query_type, time_text, layer, label, sample_type,
-    features ``f`` and both coordinates.
+    Rows carry query, name_address, query_type, time_text, layer, label, sample_type, poi_id,
+    features ``f`` and both coordinates. Rows without features get the statistic features
+    instead, of the same width (see :func:`similarity_samples` for ``counts`` to ``source_tag``).
+    ``item_index`` (poi_id, idx): items that it lacks, or all without it, have ``poi_idx`` 0.
     """
+    if item_index is None:
+        rows = rows.withColumn("poi_idx", F.lit(0))
+    else:
+        own = item_index.select(F.col("poi_id").alias("_poi"), F.col("idx").cast("int").alias("poi_idx"))
+        rows = rows.join(own, F.col("poi_id") == F.col("_poi"), "left").drop("_poi").withColumn("poi_idx", F.coalesce("poi_idx", F.lit(0)))
     name, addr = name_and_address()
     r = rows.withColumns({"_name": name, "_addr": addr})
     r = encoding.with_ids(r, {"query": "_q", "_name": "_n", "_addr": "_a"}, vocabulary)
@@ -303,14 +319,16 @@ def union_rows(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     })
     _, ratio = text.token_overlap(F.col("query"), F.col("name_address"))
     km = geo.haversine_km(F.col("lng"), F.col("lat"), F.col("item_lng"), F.col("item_lat"))
+    statistics = _statistics(km, ratio, counts, groups, click_score, source_tag)
+    own = F.when(F.col("f").isNotNull(), features.reindex(F.col("f"), ratio)).otherwise(statistics)
     return r.select(
-        "search_uid", "impression_id", "query",
+        "search_uid", "impression_id", "query", "poi_idx",
         F.when(F.col("query_type").cast("string") == "0", 0).otherwise(1).alias("query_side"),
         calendar.hour_bucket(calendar.hour_of(F.col("time_text"))).alias("hour_id"),
         (F.col("label") - 1).alias("label"),
         F.col("sample_type").isin("pos", "show_hard", "re_hard").cast("int").alias("quantiser_label"),
         F.col("layer").cast("int").alias("layer"), geo.distance_bucket(km).alias("distance_id"),
-        features.dense_log2(features.reindex(F.col("f"), ratio)).alias("dense"), "name_address",
+        features.dense_log2(own).alias("dense"), "name_address",
         *[f"{p}_{x}" for p in ("query", "poi") for x in ("token_ids", "segment_ids", "mask_ids")],
     )
 
