@@ -1,33 +1,38 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 A text is cut into *segments* where no piece of the vocabulary can cross (before white-space marks,
-between letters and other signs); each distinct segment is encoded once:
+between letters and other signs); each distinct segment of the corpus is encoded once:
 
 1. its substrings of bounded length are exploded and equi-joined to the piece table;
-2. the hits are the lattice's edges, grouped by place and then by segment;
-3. a higher-order ``aggregate`` folds Viterbi over the end positions.
+2. each hit is an edge of the lattice at the boundary where it starts, and a crossing at each one
+   inside it; all are single numbers, grouped by word;
+3. a higher-order ``aggregate`` folds Viterbi over the boundaries.
 
 The model's pieces come from merges, so the path wanted isn't the one of the best sum of scores but
 the one whose adjacent pieces don't merge: two pieces may follow each other unless a piece that
 crosses their boundary has a better score than the merges that closed its two halves off. For each
-position exactly one last piece is admissible, which makes the fold as short as Viterbi's. Which
-halves a piece has open, and until which merge, is part of the piece table.
+boundary exactly one last piece is admissible, which makes the fold as short as Viterbi's. Which
+halves a piece has open, and until which merge, is a table of the vocabulary, a constant of the fold.
 
-Documents are worked on in chunks. Only distinct segments (per chunk) are shuffled, and what comes
-back to a chunk is packed, so the texts are shuffled once, compressed. The chunks are numbered by
-the scan's partitions; the input must be a table scan, which deals its rows out alike each time.
+Segments of more than ``WINDOW`` characters are folded window by window; a window hands the states
+of its last ``LONGEST`` boundaries on, so the time grows with the length, and no row holds more than
+a window of edges before its word is put together.
+
+Documents are worked on in chunks. What comes back to a chunk is packed, so the texts are shuffled
+once, compressed. The chunks are numbered by the scan's partitions; the input must be a table scan,
+which deals its rows out alike each time.
 
 Decoding maps ids to pieces, byte pieces to their bytes and the mark to a space.
 
 Defined cases: null and empty texts have no ids; characters that no piece has become byte pieces;
 the mark U+2581 in a text decodes to a space, as in the library; null and repeated ids are rows
-like any other; an empty table gives an empty result; other columns aren't read. The fold's time
-grows with the square of a segment's length (letters without a break).
+like any other; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,7 +57,16 @@ CHUNK_BYTES = 16 << 20
 PACKED = 400_000
 #: Longest piece, in characters.
 LONGEST = 16
-NEVER = 1 << 60
+#: Characters that one step over a long segment takes.
+WINDOW = 64
+#: Distinct segments of a partition, about.
+PARTITION_SEGMENTS = 10_000
+#: Rank of a merge that never comes; ranks are below it.
+NEVER = (1 << 31) - 1
+#: Id of a character that no piece has, until its bytes take its place.
+RAW = (1 << 20) - 1
+#: Steps back over a long segment that are listed together.
+LISTED = 512
 SEGMENT = regex.compile(rf"{MARK}*[\p{{L}}\p{{M}}]+|{MARK}*[^\p{{L}}\p{{M}}{MARK}]+|{MARK}+")
 
 
@@ -103,72 +117,147 @@ def byte_ids(model: str) -> list[int]:
     return [own.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-EDGE = "struct<k:int,ids:array<int>,rank:bigint,ends:array<bigint>,begins:array<bigint>>"
-
-
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _fold(places: Column, length: Column) -> Column:
-    """Ids of a segment. places: for each position (e, the edges that end there), e from 1."""
+# An item of the lattice is one number: boundary << 48 | kind << 47 | ..., for an edge (kind 1) its length << 40 | id,
+# for a crossing (kind 0) the characters before << 40 | those after << 34 | rank. A state is length << 20 | id.
+def _bits(c: Column, at: int, n: int) -> Column:
+    return F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+
+
+def _constant(rows: list[list[int] | None]) -> Column:
+    """A table of the vocabulary as a constant: one list per id."""
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<int>>")
+
+
+class _Fold:
+    """The fold over the boundaries of a window."""
+
+    def __init__(self, pieces: list[tuple]):
+        size = max((p[1] for p in pieces), default=0) + 1
+        ends, begins = [None] * size, [None] * size
+        for _, i, _, e, b in pieces:
+            # What is open to no merge matters as little as what isn't there.
+            ends[i], begins[i] = e, b
+        self.ends, self.begins = _constant(ends), _constant(begins)
+
+    def window(self, items: Column, path: Column, n: Column) -> Column:
+        """``path`` (the state of each boundary from the window's first, -1 for none) after the items of ``n`` boundaries."""
+
+        def step(path: Column, at: Column) -> Column:
+            own = F.filter(items, lambda i: F.shiftright(i, 48) == at)
+
+            def taken(own: Column) -> Column:
+                last_ends = F.get(self.ends, _bits(F.get(path, at), 0, 20))
+                # Crossings that the piece before the boundary leaves open.
+                alive = _once(last_ends, lambda e: F.filter(own, lambda i: (_bits(i, 47, 1) == 0) & (
+                    F.coalesce(i.bitwiseAND(F.lit(NEVER)) < F.get(e, _bits(i, 40, 6) - 1), F.lit(False)))))
+                follow = _once(alive, lambda alive: F.filter(own, lambda i: (_bits(i, 47, 1) == 1) & (
+                    (F.size(alive) == 0) | ~_once(F.get(self.begins, _bits(i, 0, 20)), lambda b: F.exists(alive, lambda c: F.coalesce(
+                        c.bitwiseAND(F.lit(NEVER)) <= F.get(b, _bits(c, 34, 6) - 1), F.lit(False)))))))
+                reached = lambda i: F.shiftleft(_bits(i, 40, 6).cast("long"), 20).bitwiseOR(_bits(i, 0, 20).cast("long"))
+                return _once(F.transform(follow, reached), lambda to: F.transform(path, lambda v, p: F.coalesce(
+                    F.get(F.filter(to, lambda r: F.shiftright(r, 20) == p - at), F.lit(0)), v)))
+
+            return F.when(F.get(path, at) < 0, path).otherwise(_once(own, taken))
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1), path, step)
+
+
+def _start(size: Column) -> Column:
+    """States of a word's first window: only its begin is reached."""
+    return F.concat(F.array(F.lit(RAW).cast("long")), F.array_repeat(F.lit(-1).cast("long"), size - 1))
+
+
+def _back(states: Column, length: Column) -> Column:
+    """(end << 20 | id) of the pieces on the path, from its states at all boundaries."""
+    empty = F.array().cast("array<bigint>")
+
+    def step(state: Column, p: Column) -> Column:
+        def take(found: Column) -> Column:
+            now = F.concat(state["now"], F.array(F.shiftleft(p.cast("long"), 20).bitwiseOR(_bits(found, 0, 20).cast("long"))))
+            full = F.size(state["now"]) >= LISTED - 1
+            return F.struct(
+                (p - _bits(found, 20, 6)).alias("p"), F.when(full, empty).otherwise(now).alias("now"),
+                F.when(full, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"))
+
+        return F.when(state["p"] == p, _once(F.get(states, p), take)).otherwise(state)
+
+    first = F.struct(length.alias("p"), empty.alias("now"), F.array().cast("array<array<bigint>>").alias("done"))
+    found = F.aggregate(F.reverse(F.sequence(F.lit(1), length)), first, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+    return F.reverse(F.flatten(found))
 
-    def crossing(at: Column) -> Column:
-        """The pieces that cross the boundary before a position: x characters before it and y after."""
-        ahead = F.slice(places, at["e"], F.lit(LONGEST - 1))
-        return F.flatten(F.transform(ahead, lambda o: F.transform(
-            F.filter(o["edges"], lambda e: e["k"] > o["e"] - at["e"] + 1),
-            lambda e: F.struct(e["rank"].alias("rank"), (at["e"] - o["e"] + e["k"] - 1).alias("x"), (o["e"] - at["e"] + 1).alias("y")))))
 
-    def path_of(crossed: Column) -> Column:
-        def admissible(path: Column, edge: Column, s: Column) -> Column:
-            merges = F.exists(F.get(crossed, s - 1)["cross"], lambda c: F.coalesce(
-                (c["rank"] < F.get(F.get(path, s - 2)["ends"], c["x"] - 1)) & (c["rank"] <= F.get(edge["begins"], c["y"] - 1)), F.lit(False)))
-            return (s == 1) | ~merges
+def _with_bytes(path: Column, bytes_of: Column) -> Column:
+    """Ids of a path, with the byte pieces of characters that no piece has. Needs the column ``segment``."""
 
-        def step(path: Column, p: Column) -> Column:
-            last = F.aggregate(
-                F.get(crossed, p - 1)["edges"], F.lit(None).cast(EDGE),
-                lambda found, e: F.coalesce(found, F.when(admissible(path, e, p - e["k"] + 1), e)))
-            return F.concat(path, F.array(last))
+    def raw(at: Column) -> Column:
+        return _once(F.hex(F.substring("segment", at, F.lit(1)).cast("binary")), lambda code: F.transform(
+            F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1),
+            lambda i: F.get(bytes_of, F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))))
 
-        return F.aggregate(F.sequence(F.lit(1), length), F.array().cast(f"array<{EDGE}>"), step)
+    one = lambda e: F.when(_bits(e, 0, 20) == RAW, raw(F.shiftright(e, 20).cast("int"))).otherwise(F.array(_bits(e, 0, 20)))
+    return F.flatten(F.transform(path, one))
 
-    def back(path: Column) -> Column:
-        found = F.aggregate(
-            F.reverse(F.sequence(F.lit(1), length)),
-            F.struct(length.alias("p"), F.array().cast("array<array<int>>").alias("ids")),
-            lambda state, p: F.when(state["p"] == p, _once(F.get(path, p - 1), lambda e: F.struct(
-                (p - e["k"]).alias("p"), F.concat(F.array(e["ids"]), state["ids"]).alias("ids")))).otherwise(state))
-        return F.flatten(found["ids"])
 
-    crossed = F.transform(places, lambda at: F.struct(at["edges"].alias("edges"), crossing(at).alias("cross")))
-    return _once(crossed, lambda c: _once(path_of(c), back))
+def _items(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(key, window, item): the lattice of words (key, first, text): windows of words with what a piece can reach beyond."""
+    spread = words.select("key", "first", "text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    spread = spread.select("key", (F.col("first") + F.col("s")).alias("s"), F.substring("text", F.col("s") + 1, F.lit(LONGEST)).alias("ahead"))
+    spread = spread.select("key", "s", "ahead", F.explode(F.sequence(F.lit(1), F.length("ahead"))).alias("k"))
+    parts = spread.select("key", "s", "k", F.substring("ahead", F.lit(1), F.col("k")).alias("part"))
+    hits = parts.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").where(F.col("id").isNotNull() | (F.col("k") == 1))
+    hits = hits.select("key", "s", "k", F.coalesce("id", F.lit(RAW)).cast("long").alias("id"), F.coalesce("rank", F.lit(NEVER)).cast("long").alias("rank"))
+    cut = hits.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    long, at = lambda c: c.cast("long"), F.col("s") + F.col("j")
+    edge = F.lit(1 << 47).bitwiseOR(F.shiftleft(long(F.col("k")), 40)).bitwiseOR(F.col("id"))
+    crossing = F.shiftleft(long(F.col("j")), 40).bitwiseOR(F.shiftleft(long(F.col("k") - F.col("j")), 34)).bitwiseOR(F.col("rank"))
+    place = F.shiftleft(long(F.pmod(at, F.lit(WINDOW))), 48)
+    return cut.select("key", F.floor(at / WINDOW).cast("int").alias("window"), place.bitwiseOR(F.when(F.col("j") == 0, edge).otherwise(crossing)).alias("item"))
 
 
-def encode_segments(segments: DataFrame, model: str, keys: list[str]) -> DataFrame:
-    """``keys`` (of which ``segment`` is one) with the ids of each distinct segment. Partitioned by them, it needs no more shuffles."""
+def encode_segments(segments: DataFrame, model: str) -> DataFrame:
+    """(segment, ids) of distinct segments (written)."""
     spark = segments.sparkSession
-    pieces = F.broadcast(spark.createDataFrame(piece_table(model), "piece string, id int, rank long, ends array<long>, begins array<long>"))
-    bytes_of = F.array(*map(F.lit, byte_ids(model)))
-    spread = segments.select(*keys, F.posexplode(F.sequence(F.lit(1), F.length("segment"))).alias("__i", "s")).drop("__i")
-    spread = spread.select(*keys, "s", F.substring("segment", F.col("s"), F.lit(LONGEST)).alias("ahead"))
-    spread = spread.select(*keys, "s", "ahead", F.explode(F.sequence(F.lit(1), F.length("ahead"))).alias("k"))
-    parts = spread.select(*keys, "s", "k", F.substring("ahead", F.lit(1), F.col("k")).alias("part"))
-    code = F.hex(F.col("part").cast("binary"))
-    raw = F.transform(
-        F.sequence(F.lit(0), F.octet_length("part") - 1),
-        lambda i: F.get(bytes_of, F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-    edges = (
-        parts.join(pieces, F.col("part") == F.col("piece"), "left").where(F.col("id").isNotNull() | (F.col("k") == 1))
-        .select(*keys, (F.col("s") + F.col("k") - 1).alias("e"), F.struct(
-            "k", F.when(F.col("id").isNull(), raw).otherwise(F.array("id")).alias("ids"),
-            F.coalesce("rank", F.lit(NEVER)).alias("rank"), "ends", "begins").alias("edge"))
-    )
-    places = edges.groupBy(*keys, "e").agg(F.collect_list("edge").alias("edges"))
-    words = places.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("e", "edges"))).alias("__places"))
-    return words.select(*keys, _fold(F.col("__places"), F.length("segment")).alias("ids"))
+    table = piece_table(model)
+    pieces = spark.createDataFrame([p[:3] for p in table], "piece string, id int, rank int")
+    fold, bytes_of = _Fold(table), F.array(*map(F.lit, byte_ids(model)))
+    short = segments.where(F.length("segment") <= WINDOW)
+    # Their lattices are grouped where the words lie.
+    n = max(1, -(-segments.count() // PARTITION_SEGMENTS))
+    words = short.select(F.col("segment").alias("key")).repartition(n, "key").select("key", F.lit(0).alias("first"), F.col("key").alias("text"), F.length("key").alias("n"))
+    grouped = _items(words, pieces).groupBy("key").agg(F.collect_list("item").alias("items"))
+    length = F.length("key")
+    path = _once(fold.window(F.col("items"), _start(length + 1), length), lambda states: _back(states, length))
+    found = grouped.select(F.col("key").alias("segment"), path.alias("path")).select("segment", _with_bytes(F.col("path"), bytes_of).alias("ids"))
+
+    long = segments.where(F.length("segment") > WINDOW)
+    if not long.head(1):
+        return found
+    named = long.select(F.sha2("segment", 256).alias("key"), "segment", F.length("segment").alias("length"))
+    starts = F.sequence(F.lit(0), F.col("length") - 1, F.lit(WINDOW))
+    words = named.select("key", "segment", "length", F.explode(starts).alias("first")).select(
+        "key", "first", F.substring("segment", F.col("first") + 1, F.lit(WINDOW + LONGEST)).alias("text"), F.least(F.lit(WINDOW), F.col("length") - F.col("first")).alias("n"))
+    windows = _items(words.repartition("key", "first"), pieces).groupBy("key", "window").agg(F.collect_list("item").alias("items"))
+    lists = windows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("window", "items"))).alias("windows"))
+    whole = lists.join(named, "key")
+
+    def step(state: Column, w: Column) -> Column:
+        left = F.col("length") - w["window"] * WINDOW
+        last = left <= WINDOW
+        size = F.when(last, left + 1).otherwise(F.lit(WINDOW + LONGEST))
+        before = F.slice(F.concat(state["carry"], F.array_repeat(F.lit(-1).cast("long"), WINDOW + LONGEST)), F.lit(1), size)
+        return _once(fold.window(w["items"], before, F.least(left, F.lit(WINDOW))), lambda states: F.struct(
+            F.when(last, states).otherwise(F.slice(states, WINDOW + 1, LONGEST)).alias("carry"),
+            F.concat(state["done"], F.array(F.when(last, states).otherwise(F.slice(states, 1, WINDOW)))).alias("done")))
+
+    first = F.struct(_start(F.lit(LONGEST)).alias("carry"), F.array().cast("array<array<bigint>>").alias("done"))
+    states = F.flatten(F.aggregate("windows", first, step, lambda s: s["done"]))
+    path = _once(states, lambda states: _back(states, F.col("length")))
+    return found.unionByName(whole.select("segment", path.alias("path")).select("segment", _with_bytes(F.col("path"), bytes_of).alias("ids")))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
@@ -220,10 +309,9 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
             return pa.record_batch({"chunk": pa.array(list(held), pa.int64()), "known": pa.array(blobs, pa.binary())})
 
         for batch in row_slices(batches, 4096):
-            for word, ids, chunks in zip(*(batch.column(c).to_pylist() for c in ("segment", "ids", "chunks")), strict=True):
-                for chunk in chunks:
-                    held.setdefault(chunk, []).append((word, ids))
-                size += len(chunks)
+            for word, ids, chunk in zip(*(batch.column(c).to_pylist() for c in ("segment", "ids", "chunk")), strict=True):
+                held.setdefault(chunk, []).append((word, ids))
+            size += batch.num_rows
             if size >= PACKED:
                 yield out()
                 held, size = {}, 0
@@ -255,11 +343,11 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
                     values = pa.array(np.frombuffer(b"".join(found), "<i4"))
                     yield pa.record_batch({"doc_id": pa.array(doc_ids[s : s + 256], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(lengths), values)})
 
-    # Groups of 256 partitions, so that a common segment's list of chunks is bounded.
-    pairs = rows.mapInArrow(segments, "segment string, chunk long").withColumn("portion", F.shiftright("chunk", 32).cast("int"))
-    words = pairs.groupBy("segment", "portion").agg(F.collect_list("chunk").alias("chunks"))
-    known = encode_segments(words, model, ["segment", "portion"]).join(words, ["segment", "portion"])
-    known = session.materialise(known.select("segment", "ids", "chunks").mapInArrow(packed, "chunk long, known binary"), "segments")
+    pairs = session.materialise(rows.mapInArrow(segments, "segment string, chunk long"), "segments")
+    words = session.materialise(pairs.select("segment").distinct(), "words")
+    # Written, so that a segment of all chunks is split where it is joined.
+    coded = session.materialise(encode_segments(words, model), "words-ids")
+    known = session.materialise(pairs.join(coded, "segment").mapInArrow(packed, "chunk long, known binary"), "segments-ids")
     known = known.groupBy("chunk").agg(F.collect_list("known").alias("known"))
     return rows.mapInArrow(texts_of, "chunk long, texts binary").join(known, "chunk", "left").mapInArrow(encoded, "doc_id long, ids array<int>")
 

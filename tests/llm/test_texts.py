@@ -304,7 +304,7 @@ def test_lattice_on_random_segments(spark):
     texts += ["a" * 70, " " * 40 + "x", "=" * 50]
     segments = sorted({s for t in texts for s in sentencepiece_lattice.SEGMENT.findall(sentencepiece_lattice.model_text(t))})
     frame = spark.createDataFrame([(s,) for s in segments], "segment string").repartition(4, "segment")
-    ids = {r.segment: r.ids for r in sentencepiece_lattice.encode_segments(frame, model, ["segment"]).collect()}
+    ids = {r.segment: r.ids for r in sentencepiece_lattice.encode_segments(frame, model).collect()}
     for t in texts:
         cut = sentencepiece_lattice.SEGMENT.findall(sentencepiece_lattice.model_text(t))
         assert [i for s in cut for i in ids[s]] == library.encode(t), t
@@ -387,3 +387,19 @@ def test_likeness_bounds():
     none = np.zeros((0, 256), np.uint8)
     assert fingerprints.likeness(a, a) == 1 and fingerprints.likeness(none, none) == 1 and fingerprints.likeness(a, none) == 0
     assert fingerprints.likeness(a, b) < 0.2 and fingerprints.likeness(a, b) == fingerprints.likeness(b, a)
+
+
+def test_a_run_without_a_break(spark):
+    """One segment of many windows, whose pieces cross their limits; the library itself takes it in one go."""
+    rng = random.Random(21)
+    model = public_tokenizers.path(sentencepiece_lattice.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    syllables = ["the", "ing", "ation", "zz", "é", "漢", "street", "o", "ment", "q"]
+    texts = ["".join(rng.choices(syllables, k=n)) for n in (20, 22, 150, 6_000)] + ["a" * 1000, "x" * 64, "x" * 65, ",".join(str(i) for i in range(4000))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    from rankspark.session import materialise
+
+    stored = materialise(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "segment": F.lit("x"), "chunk": F.lit(2)}), "long")
+    got = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(stored, model).collect()}
+    for i, t in rows:
+        assert got[i] == library.encode(t)
