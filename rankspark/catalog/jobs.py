@@ -11,8 +11,8 @@ from rankspark.catalog.numbers import SQL_KM, SQL_VOCAB, sql_fit, sql_ids, vocab
 from rankspark.catalog.records import SQL_NAME
 from rankspark.catalog.registry import check, ints, scaled
 from rankspark.catalog.texts import sql_normalise
-from rankspark.functions import calendar, features, geo, text
-from rankspark.operators import dictionary, groups, profile, records
+from rankspark.functions import calendar, features, geo, text, tokens
+from rankspark.operators import dictionary, encoding, groups, profile, records
 from rankspark.plans import jobs
 from rankspark.session import materialise, new_path
 from rankspark.sources import files, logs, tables
@@ -94,7 +94,7 @@ def job_gbdt_samples(spark, d):
     )
 
 
-def _pair_job(spark, d, keep=(), prepare=lambda df: df):
+def _pair_job(spark, d, keep=(), prepare=lambda df: df, trees=True):
     im = tables.impressions(spark, d)
     counts = dictionary.value_counts(
         im, {"uid": [F.col("uid")], "poiid": [F.col("poi_id")], "layer": [F.col("layer")]}
@@ -102,7 +102,7 @@ def _pair_job(spark, d, keep=(), prepare=lambda df: df):
     ids = dictionary.number(counts.unionByName(dictionary.unknown_rows(im, ["uid", "poiid", "layer"])))
     f = features.parse_features(F.col("ltr_features"))
     rows = im.withColumn("f", f).withColumn("features", array_to_vector(F.slice(features.densify(F.col("f"), F.lit(0), 4), 2, 4)))
-    model = _trees(rows.withColumn("label", (F.col("label") == 2).cast("double")), trees=3)
+    model = _trees(rows.withColumn("label", (F.col("label") == 2).cast("double")), trees=3) if trees else None
     long = rows.select(F.explode("f").alias("idx", "value"))
     stats = profile.feature_statistics(long).join(profile.group_medians(long, "idx", "value"), "idx")
     # One row per feature index: a fixed number.
@@ -120,16 +120,44 @@ def job_pair_samples(spark, d):
     )
 
 
-@check("job_token_pair_samples")
-def job_token_pair_samples(spark, d):
-    from rankspark.functions import tokens
-    from rankspark.operators import encoding
-
-    def with_tokens(rows):
+def _with_tokens(spark, d):
+    def add(rows):
         coded = encoding.with_ids(rows, {"query": "_q", "name_address": "_n"}, vocabulary(spark, d))
         return coded.withColumn("token_ids", tokens.encode_pair(F.col("_q"), F.col("_n"), 60).token_ids)
 
-    out = _pair_job(spark, d, ["token_ids"], with_tokens)
+    return add
+
+
+SQL_PAIR_KEYS = {"uid_id": ("uid", "uid"), "poi_idx": ("poiid", "poi_id"), "layer_id": ("layer", "layer")}
+SQL_SCALED = "CASE WHEN f{i} - lo{i} <= 0 OR md{i} - lo{i} <= 0 THEN 0 ELSE ln((1 + f{i} - lo{i}) / (1 + md{i} - lo{i})) END"
+
+
+@check("job_pair_columns", "impressions places", f"""
+WITH {SQL_VOCAB}, {sql_ids('impressions', 'impression_id', 'query', 'q')}, {sql_ids('impressions', 'impression_id', 'name_address', 'n')},
+st AS (SELECT {', '.join(f'median(f{i}) AS md{i}, min(f{i}) AS lo{i}' for i in range(1, 5))} FROM impressions),
+dict AS (SELECT dict_key, value, CAST(row_number() OVER (PARTITION BY dict_key ORDER BY cnt DESC, value) AS INT) AS idx FROM (
+  {' UNION ALL '.join(f"SELECT '{k}' AS dict_key, CAST({c} AS STRING) AS value, count(*) AS cnt FROM impressions GROUP BY {c}" for k, c in SQL_PAIR_KEYS.values())}
+  UNION ALL SELECT unnest(['uid', 'poiid', 'layer']), 'UNK', (SELECT count(*) FROM impressions))),
+e AS (SELECT i.search_uid, i.impression_id, label, {', '.join(f'd_{n}.idx AS {n}' for n in SQL_PAIR_KEYS)},
+  concat_ws(',', {', '.join(f"CAST(round(round({SQL_SCALED.format(i=i)}, 4) * 10000) AS BIGINT)" for i in range(1, 5))}) AS scaled,
+  {sql_fit('[4] || q.ids || [5] || n.ids || [5]', 60)} AS token_ids,
+  row_number() OVER (PARTITION BY search_uid ORDER BY label DESC, show_pos, i.impression_id) AS place
+  FROM impressions i JOIN q ON q.impression_id = i.impression_id JOIN n ON n.impression_id = i.impression_id
+  {' '.join(f"JOIN dict d_{n} ON d_{n}.dict_key = '{k}' AND d_{n}.value = CAST(i.{c} AS STRING)" for n, (k, c) in SQL_PAIR_KEYS.items())}, st)
+SELECT a.search_uid, a.impression_id, {', '.join(f"a.{c}, t.{c} AS pos_{c}" for c in ['label', *SQL_PAIR_KEYS, 'scaled', 'token_ids'])}
+FROM e a JOIN e t ON t.search_uid = a.search_uid AND t.place = 1""")
+def job_pair_columns(spark, d):
+    """What the pair jobs hold without a model, tokens included."""
+    out = _pair_job(spark, d, ["token_ids"], _with_tokens(spark, d), trees=False)
+    both = lambda c: (c, f"pos_{c}")
+    return out.select(
+        "search_uid", "impression_id", *both("label"), *[c for n in SQL_PAIR_KEYS for c in both(n)],
+        *[scaled(c).alias(c) for c in both("scaled")], *shown(both("token_ids")))
+
+
+@check("job_token_pair_samples")
+def job_token_pair_samples(spark, d):
+    out = _pair_job(spark, d, ["token_ids"], _with_tokens(spark, d))
     return out.select(
         "search_uid", "impression_id", "poi_idx", "pos_poi_idx", *shown(["token_ids", "pos_token_ids"]),
         F.round("tree_score", 6).alias("tree_score"),

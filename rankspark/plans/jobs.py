@@ -78,12 +78,12 @@ def pair_samples(
     stats: dict[int, tuple[float, float]], keep: Sequence[str] = (),
 ) -> DataFrame:
     """Ids, leaves, tree score and scaled features of each item, with those of the search's
-    top item in front.
+    top item in front. Without a tree model (None), leaves and score are left out.
 
     ``stats``: feature index -> (median, minimum); these features are scaled.
     """
     coded = dictionary.look_up(rows, ids, id_fields)
-    scored = models.with_leaves(tree_model, coded)
+    scored = coded if tree_model is None else models.with_leaves(tree_model, coded)
     scaled = F.array(*[
         features.median_ratio_log(
             F.coalesce(F.try_element_at("f", F.lit(i)), F.lit(0.0)), F.lit(float(median)), F.lit(float(low))
@@ -91,7 +91,7 @@ def pair_samples(
         for i, (median, low) in sorted(stats.items())
     ])
     ready = scored.withColumn("scaled", scaled)
-    columns = [*id_fields, "leaves", "tree_score", "scaled", "label", *keep]
+    columns = [*id_fields, *([] if tree_model is None else ["leaves", "tree_score"]), "scaled", "label", *keep]
     return pairs.top_with_all(ready, key, columns)
 
 
