@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankspark.catalog.registry import check, ints
+from rankspark.catalog.registry import check, ints, scaled
 from rankspark.functions import address, calendar, features, text
 from rankspark.operators import similarity
 from rankspark.sources import tables
@@ -306,6 +306,38 @@ def tfidf_cosine(spark, d):
     return r.select("impression_id", F.inline(F.array(of_gram(1), of_gram(2))))
 
 
+def _slots_sql() -> str:
+    """All 23 similarity slots of a row, as whole multiples of 10^-4."""
+    cosine = {
+        "cosine": "s.qd / sqrt(tq.ww * td.ww)", "match_weight": "s.mw", "match_count_ratio": "s.mc / tq.k",
+        "match_weight_ratio": "s.mw / tq.w", "query_max_weight": "s.mq", "item_max_weight": "s.md"}
+    of_gram = lambda g: f"""
+c{g} AS (SELECT impression_id, {', '.join(f'coalesce({cosine[k]}, 0) AS {k}' for k in similarity.COSINE)}
+  FROM p LEFT JOIN tot tq ON tq.f = 'q' AND tq.g = {g} AND tq.t = p.query LEFT JOIN tot td ON td.f = 'n' AND td.g = {g} AND td.t = p.nm
+  LEFT JOIN s ON s.g = {g} AND s.query = p.query AND s.t = p.nm)"""
+    slots = ["1"] + [f"c{g}.{k}" for g in (1, 2) for k in similarity.COSINE] + ["coalesce(a.s, 0)", "coalesce(b.s, 0)"]
+    slots += [f"1 - levenshtein(query, {c}) / greatest(length(query), length({c}))".replace("query", "p.query") for c in ("nm", "ad")]
+    slots += [f"len(string_split({c}, ' '))" for c in ("p.query", "nm", "ad")] + [f"length({c})" for c in ("p.query", "nm", "ad")]
+    shown = ", ".join(f"CAST(round(({x}) * 10000) AS BIGINT)" for x in slots)
+    return f"""
+WITH {SQL_SIM},
+s AS (SELECT q.g, q.t AS query, d.t, sum(q.w * d.w) AS qd, sum(q.w) AS mw, count(*) AS mc, max(q.w) AS mq, max(d.w) AS md
+  FROM v q JOIN v d ON q.f = 'q' AND d.f = 'n' AND q.g = d.g AND q.term = d.term GROUP BY ALL),{of_gram(1)},{of_gram(2)},
+bm AS (SELECT q.t AS query, d.f, d.t, sum(d.idf * d.tf * 2.2 / (d.tf + 1.2 * (1 - 0.75 + 0.75 * tot.len / n.mean_len))) AS s
+  FROM v q JOIN v d ON q.f = 'q' AND q.g = 1 AND d.f <> 'q' AND d.g = 1 AND q.term = d.term
+  JOIN tot ON tot.f = d.f AND tot.g = 1 AND tot.t = d.t JOIN n ON n.f = d.f GROUP BY ALL)
+SELECT p.impression_id, concat_ws(',', {shown}) AS slots
+FROM p JOIN c1 ON c1.impression_id = p.impression_id JOIN c2 ON c2.impression_id = p.impression_id
+LEFT JOIN bm a ON a.query = p.query AND a.f = 'n' AND a.t = p.nm LEFT JOIN bm b ON b.query = p.query AND b.f = 'a' AND b.t = p.ad"""
+
+
+@check("similarity_slots", "impressions places", _slots_sql())
+def similarity_slots(spark, d):
+    queries, names, addrs = _corpora(spark, d)
+    r = similarity.similarity_features(_pairs(spark, d), queries, names, addrs)
+    return r.select("impression_id", scaled("sim").alias("slots"))
+
+
 @check("text_lengths", "impressions", """
 WITH s AS (SELECT impression_id, query, string_split(name_address, '|')[1] AS nm, string_split(name_address, '|')[2] AS ad FROM impressions)
 SELECT impression_id, len(string_split(query, ' ')) AS q_terms, len(string_split(nm, ' ')) AS n_terms,
