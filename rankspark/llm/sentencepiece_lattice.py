@@ -52,9 +52,9 @@ from rankspark.llm.texts import row_slices, table, utf8
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Text bytes of a chunk, about.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: (segment, chunk) pairs that a task holds before it passes them on.
-PACKED = 400_000
+PACKED = 150_000
 #: Longest piece, in characters.
 LONGEST = 16
 #: Characters that one step over a long segment takes.
