@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankspark.catalog.joins import SQL_LAST, SQL_TAKEN, item_index
 from rankspark.catalog.models import _trees
-from rankspark.catalog.numbers import SQL_KM, SQL_VOCAB, sql_fit, sql_ids, vocabulary
+from rankspark.catalog.numbers import SQL_KM, SQL_VOCAB, sql_fit, sql_geohash, sql_ids, vocabulary
 from rankspark.catalog.records import SQL_NAME
 from rankspark.catalog.registry import check, ints, scaled
 from rankspark.catalog.texts import sql_normalise
@@ -274,7 +274,49 @@ def job_group_triplets(spark, d):
     return out.select("impression_id", "label", *shown(["pos_token_ids", "neg_token_ids"]))
 
 
-@check("job_rank_rows")
+def _rank_sql():
+    """The whole job in plain SQL."""
+    keys = {"uid": ["uid"], "geo": ["q_geo", "geo"], "poiid": ["poi_id"], "cate": ["category"], "layer": ["layer"]}
+    counted = " UNION ALL ".join(
+        f"SELECT '{k}' AS dict_key, v AS value, count(*) AS cnt FROM (SELECT unnest([{', '.join(f'CAST({c} AS STRING)' for c in cs)}]) AS v FROM ir) GROUP BY v"
+        for k, cs in keys.items())
+    fixed = "SELECT 'qtype', unnest(['0', '1']), (SELECT count(*) FROM ir) UNION ALL SELECT 'hour', unnest(['0', '1', '2']), (SELECT count(*) FROM ir)"
+    idx = lambda key, value: f"(SELECT idx FROM dict WHERE dict_key = '{key}' AND value = {value})"
+    padded = lambda ids, n: f"[coalesce(({ids})[i], 0) for i in range(1, {n} + 1)]"
+    text_of = lambda ids, n: f"array_to_string({padded(ids, n)}, ',')"
+    query_part = "[CAST(q_geo_id AS BIGINT), 5, side_id, 5, hour_id, 5]"
+    item_part = "[CAST(geo_id AS BIGINT), 5, category_id, 5, layer_id, 5]"
+    return f"""
+WITH {SQL_VOCAB}, ir AS (SELECT i.*, {sql_geohash('s.lat', 's.lng')} AS q_geo, {sql_geohash('p.lat', 'p.lng')} AS geo, {SQL_KM} AS km,
+  row_number() OVER (PARTITION BY search_uid ORDER BY show_pos, impression_id) - 1 AS listed,
+  split_part(i.name_address, '|', 1) AS nm, split_part(i.name_address, '|', 2) AS ad
+  FROM impressions i JOIN places p ON p.poi_id = i.poi_id JOIN searchers s ON s.uid = i.uid),
+h AS (SELECT search_uid, query AS h_query FROM ir WHERE listed = 0),
+dict AS (SELECT dict_key, value, row_number() OVER (PARTITION BY dict_key ORDER BY cnt DESC, value) AS idx FROM (
+  {counted} UNION ALL {fixed} UNION ALL SELECT unnest(['uid', 'geo', 'poiid', 'cate', 'layer', 'qtype', 'hour']), 'UNK', (SELECT count(*) FROM ir))),
+{sql_ids('h', 'search_uid', 'h_query', 'q')}, {sql_ids('ir', 'impression_id', 'nm', 'n')}, {sql_ids('ir', 'impression_id', 'ad', 'a')},
+e AS (SELECT ir.search_uid, h_query, label, ir.poi_id, listed, CASE WHEN label = 0 THEN -1 ELSE show_pos END AS shown, ir.search_uid || '-' || listed AS imp,
+  CAST(least(floor(log2(1 + km)), 15) AS BIGINT) AS distance_id, du.idx AS uid_id, dq.idx AS q_geo_id, dg.idx AS geo_id, dc.idx AS category_id, dl.idx AS layer_id,
+  {idx('qtype', "'1'")} AS side_id,
+  CASE WHEN search_id % 24 BETWEEN 6 AND 11 THEN {idx('hour', "'0'")} WHEN search_id % 24 BETWEEN 12 AND 17 THEN {idx('hour', "'1'")} ELSE {idx('hour', "'2'")} END AS hour_id,
+  q.ids AS qi, n.ids AS ni, a.ids AS ai,
+  least(len(list_intersect(string_split(h_query, ' '), string_split(replace(name_address, '|', ' '), ' '))), 20) AS n_match
+  FROM ir JOIN h ON h.search_uid = ir.search_uid JOIN q ON q.search_uid = ir.search_uid
+  JOIN n ON n.impression_id = ir.impression_id JOIN a ON a.impression_id = ir.impression_id
+  JOIN dict du ON du.dict_key = 'uid' AND du.value = CAST(uid AS STRING) JOIN dict dq ON dq.dict_key = 'geo' AND dq.value = q_geo
+  JOIN dict dg ON dg.dict_key = 'geo' AND dg.value = geo JOIN dict dc ON dc.dict_key = 'cate' AND dc.value = category
+  JOIN dict dl ON dl.dict_key = 'layer' AND dl.value = CAST(layer AS STRING)),
+f AS (SELECT *, {text_of(f"{padded('[4] || qi[1:30] || [5]', 32)} || {query_part}", 44)} AS query_token_ids,
+  {text_of(f"{padded('[4] || ni || [5] || ai || [5]', 32)} || [0, 0, 0, 0, 0, 0] || {item_part}", 44)} AS poi_token_ids,
+  {text_of(f"{padded('[4] || qi || [5] || ni || [5] || ai || [5]', 32)} || {query_part} || {item_part} || [distance_id, 5]", 46)} AS cross_token_ids FROM e),
+last AS (SELECT search_uid, max_by(imp, (shown, imp)) AS pos_imp FROM f WHERE label = 2 GROUP BY search_uid)
+SELECT f.h_query AS query, CAST(f.uid_id AS INT) AS uid_id, CASE WHEN f.imp = pos_imp THEN 1 WHEN f.shown <> -1 THEN 0 ELSE 2 END AS part,
+  CASE WHEN f.label = 2 OR f.listed < 3 THEN 1 ELSE 0 END AS new_label, CAST(f.poi_id AS STRING) AS poi_id, CAST(p.poi_id AS STRING) AS pos_poi_id,
+  f.n_match, f.distance_id, f.query_token_ids, f.poi_token_ids, f.cross_token_ids, p.cross_token_ids AS pos_cross_token_ids
+FROM f JOIN last ON last.search_uid = f.search_uid JOIN f p ON p.search_uid = f.search_uid AND p.imp = pos_imp WHERE f.imp = pos_imp OR f.label <> 2"""
+
+
+@check("job_rank_rows", "impressions places searchers", _rank_sql())
 def job_rank_rows(spark, d):
     rows = _located(spark, d).withColumns({
         "q_geo": geo.geohash(F.col("lat"), F.col("lng")), "geo": geo.geohash(F.col("item_lat"), F.col("item_lng")),
