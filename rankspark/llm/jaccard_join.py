@@ -37,6 +37,7 @@ from rankspark import session
 from rankspark.llm.components import components
 from rankspark.llm.registry import query
 from rankspark.llm.texts import row_slices, table, utf8
+from rankspark.operators import skew
 
 #: Shingles counted at a time in pass one; a shingle that is twice in such a chunk is a candidate for the frequent ones.
 CHUNK = 1 << 21
@@ -282,9 +283,10 @@ def linked(classes: DataFrame, documents: DataFrame, n: int, percent: int) -> Da
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
 
-    # All pairs of an n-gram that aren't known to be connected. The most common label of an n-gram is
-    # joined with the others only, so a large connected group meets just what lies outside it.
-    labelled = shared.join(_labels(links), "node", "left").select(
+    # All pairs of an n-gram that aren't known to be connected, by whatever number of links. The most
+    # common label of an n-gram is joined with the others only, so a large connected group meets just
+    # what lies outside it.
+    labelled = skew.attach(shared, components(links), ["node"], "left").select(
         "token", "node", "n", "pos", "shared", F.coalesce("label", "node").alias("label"))
     labelled = session.materialise(labelled, "postings")
     sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
