@@ -44,10 +44,11 @@ def job_parse_log(spark, d):
 
 
 def _located(spark, d):
-    """Impressions with name, address, features and both coordinates."""
+    """Impressions with name, address, features, both coordinates and their geohashes."""
     name, addr = jobs.name_and_address()
-    p = tables.places(spark, d).select("poi_id", F.col("lat").alias("item_lat"), F.col("lng").alias("item_lng"))
-    s = tables.searchers(spark, d).select("uid", "lat", "lng")
+    cell = geo.geohash(F.col("lat"), F.col("lng"))
+    p = tables.places(spark, d).select("poi_id", F.col("lat").alias("item_lat"), F.col("lng").alias("item_lng"), cell.alias("geo"))
+    s = tables.searchers(spark, d).select("uid", "lat", "lng", cell.alias("q_geo"))
     return (
         tables.impressions(spark, d).join(p, "poi_id").join(s, "uid")
         .withColumns({"name": name, "addr": addr, "f": features.parse_features(F.col("ltr_features"))})
@@ -95,13 +96,16 @@ def job_gbdt_samples(spark, d):
 
 
 def _pair_job(spark, d, keep=(), prepare=lambda df: df, trees=True):
-    im = tables.impressions(spark, d)
+    # Counts, statistics, trees and pairs all pass over the rows, so they are joined and parsed once.
+    f = features.parse_features(F.col("ltr_features"))
+    rows = materialise(tables.impressions(spark, d).select(
+        "search_uid", "impression_id", "uid", "poi_id", "layer", "query", "name_address", "label", "show_pos", f.alias("f")), "typed")
     counts = dictionary.value_counts(
-        im, {"uid": [F.col("uid")], "poiid": [F.col("poi_id")], "layer": [F.col("layer")]}
+        rows, {"uid": [F.col("uid")], "poiid": [F.col("poi_id")], "layer": [F.col("layer")]}
     )
-    ids = dictionary.number(counts.unionByName(dictionary.unknown_rows(im, ["uid", "poiid", "layer"])))
-    f = features.parse_features(F.col("ltr_features"))
-    rows = im.withColumn("f", f).withColumn("features", array_to_vector(F.slice(features.densify(F.col("f"), F.lit(0), 4), 2, 4)))
+    ids = dictionary.number(counts.unionByName(dictionary.unknown_rows(rows, ["uid", "poiid", "layer"])))
+    if trees:
+        rows = rows.withColumn("features", array_to_vector(F.array(*[features.slot_of(F.col("f"), F.lit(0), i) for i in range(1, 5)])))
     model = _trees(rows.withColumn("label", (F.col("label") == 2).cast("double")), trees=3) if trees else None
     long = rows.select(F.explode("f").alias("idx", "value"))
     stats = profile.feature_statistics(long).join(profile.group_medians(long, "idx", "value"), "idx")
@@ -318,16 +322,18 @@ FROM f JOIN last ON last.search_uid = f.search_uid JOIN f p ON p.search_uid = f.
 
 @check("job_rank_rows", "impressions places searchers", _rank_sql())
 def job_rank_rows(spark, d):
-    rows = _located(spark, d).withColumns({
-        "q_geo": geo.geohash(F.col("lat"), F.col("lng")), "geo": geo.geohash(F.col("item_lat"), F.col("item_lng")),
-    })
+    # Five passes over the rows follow.
+    rows = materialise(_located(spark, d).select(
+        "search_uid", "impression_id", "label", "show_pos", "poi_id", "name_address", "item_lat", "item_lng", "category", "layer", "geo",
+        "city_id", "query", "uid", "lat", "lng", "time_text", "query_type", "q_geo"), "located")
     item = F.concat_ws(
         "##", F.col("label").cast("string"), F.when(F.col("label") == 0, "-1").otherwise(F.col("show_pos").cast("string")),
         "poi_id", "name_address", "item_lat", "item_lng", "category", "layer", "geo",
     )
     head = ["city_id", "query", "uid", "lat", "lng", "time_text", "query_type", "q_geo"]
     searches = groups.first_by(rows, "search_uid", F.struct(*head), F.struct("show_pos", "impression_id"), "h")
-    lists = groups.gather(rows, ["search_uid"], [F.col("show_pos"), F.col("impression_id")], item)
+    listed = rows.select("search_uid", "show_pos", "impression_id", item.alias("item"))
+    lists = groups.gather(listed, ["search_uid"], [F.col("show_pos"), F.col("impression_id")], F.col("item"))
     lines = _lines(
         spark, lists.join(searches, "search_uid"), F.col("h.city_id").cast("string"), "h.query", F.col("h.uid").cast("string"),
         F.concat_ws("|", "h.lat", "h.lng"), "h.time_text", F.col("h.query_type").cast("string"), "h.q_geo", F.array_join("items", "||"),
