@@ -82,7 +82,13 @@ def samples(log: DataFrame, threshold: int = 1) -> DataFrame:
     A search may span several lines."""
     parsed = parse_log(dedup_lines(log))
     kept = parsed.withColumn("items", by_show_position(keep_labelled(F.col("items"), threshold)))
-    kept = with_group_length(drop_incomplete(kept))
+    # One pass over the written lines says which searches stay and how long they are.
+    kept = materialise(kept, "parsed")
+    searches = kept.groupBy("search_uid").agg(
+        F.sum(F.size("items")).cast("int").alias("group_len"),
+        F.max(F.exists("items", lambda p: ~has_features(p.p_ltrfeatures))).alias("_incomplete"),
+    )
+    kept = attach(kept, searches.where(~F.col("_incomplete")).drop("_incomplete"), ["search_uid"])
     carried = [c for c in ("page", "dt", "country_code") if c in kept.columns]
     return item_rows(kept, [*carried, "group_len"]).select(
         "*",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankspark.catalog import jobs as job_queries
-from rankspark.operators import dictionary, groups, models, skew
+from rankspark.operators import dictionary, groups, models, records, skew
 from rankspark.sources import tables
 
 
@@ -55,3 +55,13 @@ def test_rank_rows_gathers_only_items(spark, small, monkeypatch):
     with pytest.raises(Seen) as seen:
         job_queries.job_rank_rows(spark, small)
     assert seen.value.args[0] == ["search_uid", "show_pos", "impression_id", "item"]
+
+
+def test_samples_write_their_lines_once(spark, monkeypatch):
+    written, real = [], records.materialise
+    monkeypatch.setattr(records, "materialise", lambda df, label="table": written.append(label) or real(df, label))
+    item = lambda i, f: f'{{"p_show_pos": "{i}", "p_impression_id": "{i}", "p_label": "1", "p_ltrfeatures": "{f}"}}'
+    lines = [("a", 0, "{}", f"[{item(1, '1:2')}]"), ("a", 1, "{}", f"[{item(2, '1:3')}]"), ("b", 0, "{}", f"[{item(1, 'null')}]"), ("b", 1, "{}", f"[{item(2, '1:4')}]")]
+    log = spark.createDataFrame(lines, "search_key string, page int, query_info string, poi_info string")
+    got = records.samples(log).select("search_uid", "p_impression_id", "group_len").collect()
+    assert sorted(map(tuple, got)) == [("a", "1", 2), ("a", "2", 2)] and written == ["parsed"]
