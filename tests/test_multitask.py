@@ -132,3 +132,21 @@ def test_split_hot_keeps_every_keyed_row(rows):
     ordinary, hot = skew.split_hot(rows, "search_uid", 300)
     assert {r.search_uid for r in hot.select("search_uid").distinct().collect()} == {"hot"}
     assert ordinary.count() + hot.count() == rows.where("search_uid is not null").count()
+
+
+def test_lists_are_made_once_for_each_pair_of_texts(spark, monkeypatch):
+    texts = [("blue cafe", "Blue Cafe|Main St 5"), (None, "Blue Cafe|Main St 5"), ("blue cafe", None)]
+    rows = spark.createDataFrame(
+        [("s", *texts[i % 3], 1, 2, "2020-01-01 13:00:00", 1, i, "a;b", 3, 0, {1: 4.0}) for i in range(12)],
+        "search_uid string, query string, name_address string, uid int, city_id int, time_text string, query_type int, poi_id int, category string, layer int, "
+        "show_pos int, f map<int,double>")
+    ids = dictionary.number(dictionary.value_counts(rows, {"trigram": [text.char_trigrams(F.col("query"))]}))
+    encoded, real = [], encoding.with_ids
+    monkeypatch.setattr(encoding, "with_ids", lambda df, *rest: encoded.append(df.count()) or real(df, *rest))
+    vocabulary = encoding.build_vocabulary(rows, "name_address")
+    plain = {r.poi_id: r for r in jobs.multitask_items(rows, ids, vocabulary, {}, {}).collect()}
+    shown = {r.poi_id: r for r in jobs.multitask_items(rows, ids, vocabulary, {}, {}, form=lambda c: F.array_join(c.cast("array<string>"), ",")).collect()}
+    assert encoded == [3, 3] and sorted(plain) == sorted(shown) == list(range(12))
+    for i, r in plain.items():
+        assert all(shown[i][c] == ",".join(map(str, r[c])) and len(r[c]) == 32 for c in jobs.MULTITASK_TEXT)
+        assert (r.query_trigrams == [0] * 32) == (r.query is None) and (r.name_trigrams == [0] * 32) == (r.name_address is None)
