@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankspark.functions.features import let
+
 # Character and word tables.
 TRADITIONAL_TO_SIMPLIFIED = {"萬": "万"}
 ACCENTS = {"á": "a"}
@@ -95,22 +97,17 @@ def has_control_chars(c: Column) -> Column:
 
 def char_trigrams(c: Column) -> Column:
     """Overlapping three-character substrings of the lower-cased text; shorter text yields itself."""
-    chars = F.split(F.lower(c), "")
-    n = F.greatest(F.size(chars) - 2, F.lit(0))
-    grams = F.zip_with(
-        F.zip_with(F.slice(chars, F.lit(1), n), F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b)),
-        F.slice(chars, F.lit(3), n),
-        lambda ab, c: F.concat(ab, c),
-    )
-    low = F.lower(c)
-    return F.when(F.length(low) < 3, F.filter(F.array(low), lambda x: x != "")).otherwise(grams)
+    # A character after each look ahead at three, so that they overlap; one pass over the text.
+    grams = lambda low: F.when(F.length(low) >= 3, F.regexp_extract_all(low, F.lit("(?s)(?=(...))."), F.lit(1)))
+    return let(F.lower(c), lambda low: F.coalesce(grams(low), F.filter(F.array(low), lambda x: x != "")))
 
 
 def word_bigrams(words: Column) -> Column:
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)
-    )
+    def joined(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+
+    return let(words, joined)
 
 
 def token_overlap(query: Column, name_address: Column) -> tuple[Column, Column]:

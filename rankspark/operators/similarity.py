@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions import text
 from rankspark.functions.features import let
-from rankspark.operators.skew import attach
+from rankspark.operators.skew import attach, split_repeated
 from rankspark.session import materialise
 
 # BM25 parameters.
@@ -27,27 +30,47 @@ def bigrams(c: Column) -> Column:
     return text.word_bigrams(F.split(c, " "))
 
 
-def term_frequencies(docs: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf) for every document; counting combines map-side."""
-    return (
-        docs.select(key, F.explode(terms).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+#: Rows of an Arrow batch whose terms are counted together.
+COUNTED_ROWS = 512
 
 
-def inverse_frequencies(tf: DataFrame, n_docs: int) -> DataFrame:
-    """(term, idf) with idf = ln((N + 1) / (df + 1)) + 1."""
-    return tf.groupBy("term").agg(
-        (F.log((F.lit(n_docs) + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf")
-    )
+def _row_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
+    """(key, term, tf) of each row for itself, without an exchange."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, COUNTED_ROWS):
+                keys, lists = batch.slice(start, COUNTED_ROWS).columns
+                found = pc.list_flatten(lists).dictionary_encode()
+                if not len(found):
+                    continue
+                codes = pc.list_parent_indices(lists).to_numpy() * len(found.dictionary) + found.indices.to_numpy()
+                codes, tf = np.unique(codes, return_counts=True)
+                row, term = np.divmod(codes, len(found.dictionary))
+                yield pa.record_batch([keys.take(pa.array(row)), found.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())], [key, "term", "tf"])
+
+    rows = docs.select(key, F.filter(terms, lambda t: t.isNotNull()).alias("terms"))
+    return rows.mapInArrow(count, f"{key} {dict(rows.dtypes)[key]}, term string, tf bigint")
+
+
+def term_frequencies(docs: DataFrame, key: str, terms: Column) -> DataFrame:
+    """(key, term, tf) for every document. A document on one row is counted there; only the counts
+    of those on several rows are exchanged. Pass stored rows: they are read more than once."""
+    single, several = split_repeated(docs, key)
+    counts = _row_counts(single, key, terms)
+    if several is not None:
+        counts = counts.unionByName(_row_counts(several, key, terms).groupBy(key, "term").agg(F.sum("tf").alias("tf")))
+    return counts
 
 
 def tfidf(docs: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf, weight) over a corpus of documents with unique keys."""
-    tf = term_frequencies(docs, key, terms)
-    idf = inverse_frequencies(tf, docs.count())
-    return attach(tf, idf, ["term"]).select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+    """(key, term, tf, weight) over a corpus of documents; idf = ln((N + 1) / (df + 1)) + 1."""
+    tf = materialise(term_frequencies(docs, key, terms), "term-counts")
+    n_docs = docs.count()
+    # Most terms are those of a single document; only the others' counts are joined.
+    shared = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    idf = F.log((F.lit(n_docs) + 1) / (F.coalesce("df", F.lit(1)) + 1)) + 1
+    return attach(tf, shared, ["term"], "left").select(key, "term", "tf", (F.col("tf") * idf).alias("weight"))
 
 
 def text_vectors(corpus: DataFrame, **kinds: Terms) -> DataFrame:

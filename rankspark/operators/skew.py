@@ -43,6 +43,14 @@ def split_hot(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[Data
     return rows.join(hot, key, "left_anti"), rows.join(hot, key, "left_semi")
 
 
+def split_repeated(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose key no other row has, the others or None); a null key is a key like any other."""
+    repeated = materialise(rows.groupBy(key).count().where(F.col("count") > 1).select(key), "repeated")
+    if not repeated.head(1):
+        return rows, None
+    return attach(rows, repeated, [key], "left_anti"), attach(rows, repeated, [key], "left_semi")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """First ``k`` rows per group; each map task passes on at most ``k`` rows of a group."""
     w = Window.partitionBy(*keys).orderBy(*order)

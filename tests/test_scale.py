@@ -1,6 +1,10 @@
 """The forms used for very large groups give the same results as the plain ones, and plans
 keep the properties that matter at scale."""
 
+import collections
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankspark import catalog
 from rankspark.functions import text
-from rankspark.operators import groups, metrics, models, pairs, profile, retrieval, sampling, skew
+from rankspark.operators import groups, metrics, models, pairs, profile, retrieval, sampling, similarity, skew
 from rankspark.session import new_path
 from rankspark.sources import logs, tables
 
@@ -238,3 +242,49 @@ def test_top_k_limits_before_the_shuffle(spark, small):
 def test_control_characters(spark):
     rows = spark.createDataFrame([("a\x07b",), ("a\tb\n",), ("ok",)], "s string")
     assert [r.s for r in rows.where(~text.has_control_chars(F.col("s"))).collect()] == ["a\tb\n", "ok"]
+
+
+# ---------------------------------------------------------------- texts
+
+
+TEXTS = [
+    (1, "The cat\nand the cat \U0001F600é万a and THE cat"), (2, "ab"), (3, ""), (4, None), (5, "İx \t  y"), (6, "abcabcab"),
+    (7, "one two one"), (7, "two one two one"), (None, "one cat"), (None, "cat"), (8, "  the  cat "),
+]
+
+
+@pytest.fixture(scope="module")
+def prose(spark):
+    return spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(3)
+
+
+def by_id(split):
+    """Counts of what ``split`` makes of the lower-cased texts, over all texts of an id."""
+    out = {}
+    for i, t in TEXTS:
+        if t is not None:
+            out.setdefault(i, collections.Counter()).update(split(t.lower()))
+    return {i: c for i, c in out.items() if c}
+
+
+def test_char_trigrams_of_ids_on_one_row_and_on_several(spark, prose, tmp_path):
+    prose.select("*", F.lit("x").alias("lang"), F.lit("y").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    want = by_id(lambda t: [t[i : i + 3] for i in range(len(t) - 2)] if len(t) > 2 else [t] if t else [])
+    got = {r.doc_id: tuple(r)[1:] for r in catalog.load()[0]["char_trigrams"](spark, str(tmp_path)).collect()}
+    assert got == {i: (sum(c.values()), len(c), min(c), max(c)) for i, c in want.items()}
+
+
+def test_term_counts_of_single_rows_are_not_exchanged(spark, prose):
+    words = text.words_of(F.lower("text"))
+    for terms, n in ((words, 1), (text.word_bigrams(words), 2)):
+        def split(t):
+            w = re.findall(r"[^ \t\n\x0b\f\r]+", t)
+            return [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+
+        want = {(i, t): k for i, c in by_id(split).items() for t, k in c.items()}
+        df = collections.Counter(t for _, t in want)
+        got = similarity.tfidf(prose, "doc_id", terms).collect()
+        assert {(r.doc_id, r.term): r.tf for r in got} == want and len(got) == len(want)
+        assert all(r.weight == pytest.approx(r.tf * (math.log((len(TEXTS) + 1) / (df[r.term] + 1)) + 1)) for r in got)
+        single = similarity.term_frequencies(prose.where("doc_id in (1, 2, 5, 6, 8)"), "doc_id", terms)
+        assert "Exchange hashpartitioning" not in single._jdf.queryExecution().executedPlan().toString()
