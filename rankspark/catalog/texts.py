@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankspark.catalog.registry import check, ints, scaled
 from rankspark.functions import address, calendar, features, text
-from rankspark.operators import similarity
+from rankspark.operators import similarity, skew
 from rankspark.sources import tables
 
 # Pieces of SQL used by several checks.
@@ -178,12 +178,20 @@ SELECT doc_id, count(*) AS n, count(DISTINCT g) AS n_distinct, min(g) AS first_g
     ELSE [substring(t, i, 3) for i in range(1, length(t) - 1)] END) AS g
   FROM (SELECT doc_id, lower(text) AS t FROM texts)) WHERE g <> '' GROUP BY doc_id""")
 def char_trigrams(spark, d):
-    grams = _docs(spark, d).select("doc_id", F.explode(text.char_trigrams(F.col("text"))).alias("g"))
-    per_gram = grams.groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("n"))
-    return per_gram.groupBy("doc_id").agg(
+    # Texts of one row are summed up there; those that share an id are taken apart and counted together.
+    single, several = skew.split_repeated(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    grams = text.char_trigrams(F.col("text"))
+    sums = lambda g, u: F.struct(
+        F.size(g).cast("bigint").alias("n"), F.size(u).cast("bigint").alias("n_distinct"), F.array_min(u).alias("first_gram"), F.array_max(u).alias("last_gram"))
+    own = features.let(grams, lambda g: features.let(F.array_distinct(g), lambda u: sums(g, u)))
+    out = single.select("doc_id", own.alias("own")).where("own.n > 0").select("doc_id", "own.*")
+    if several is None:
+        return out
+    per_gram = several.select("doc_id", F.explode(grams).alias("g")).groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(per_gram.groupBy("doc_id").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_distinct"),
         F.min("g").alias("first_gram"), F.max("g").alias("last_gram"),
-    )
+    ))
 
 
 @check("token_overlap", "impressions", """

@@ -288,3 +288,10 @@ def test_term_counts_of_single_rows_are_not_exchanged(spark, prose):
         assert all(r.weight == pytest.approx(r.tf * (math.log((len(TEXTS) + 1) / (df[r.term] + 1)) + 1)) for r in got)
         single = similarity.term_frequencies(prose.where("doc_id in (1, 2, 5, 6, 8)"), "doc_id", terms)
         assert "Exchange hashpartitioning" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_char_trigrams_of_single_rows_are_not_exchanged(spark, prose, tmp_path):
+    rows = prose.where("doc_id in (1, 2, 3, 4, 5, 6, 8)").coalesce(1)
+    rows.select("*", F.lit("x").alias("lang"), F.lit("y").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalog.load()[0]["char_trigrams"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
