@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankspark.catalog.registry import check, ints, scaled
 from rankspark.functions import address, calendar, features, text
 from rankspark.operators import similarity, skew
+from rankspark.session import materialise
 from rankspark.sources import tables
 
 # Pieces of SQL used by several checks.
@@ -259,17 +260,13 @@ v AS (SELECT tf.f, tf.g, tf.t, tf.term, tf.tf, ln((n.n + 1) / (df.df + 1)) + 1 A
 tot AS (SELECT f, g, t, sum(w) AS w, sum(w * w) AS ww, count(*) AS k, sum(tf) AS len FROM v GROUP BY ALL)"""
 
 
-def _corpora(spark, d):
-    im, places = tables.impressions(spark, d), tables.places(spark, d)
-    queries = im.select(F.col("query").alias("text")).distinct()
-    return queries, places.select(F.col("name").alias("text")), places.select(F.col("addr").alias("text"))
-
-
 def _pairs(spark, d):
+    """The texts of each impression, written once, and the corpora of queries, names and addresses."""
     parts = F.split("name_address", r"\|")
-    return tables.impressions(spark, d).select(
-        "impression_id", "query", F.get(parts, 0).alias("name"), F.get(parts, 1).alias("addr")
-    )
+    rows = materialise(tables.impressions(spark, d).select(
+        "impression_id", "query", F.get(parts, 0).alias("name"), F.get(parts, 1).alias("addr")), "texts")
+    places = tables.places(spark, d)
+    return rows, rows.select(F.col("query").alias("text")).distinct(), places.select(F.col("name").alias("text")), places.select(F.col("addr").alias("text"))
 
 
 @check("bm25", "impressions places", f"""
@@ -281,15 +278,17 @@ SELECT impression_id, round(coalesce(a.s, 0), 6) AS bm25_name, round(coalesce(b.
 FROM p LEFT JOIN s a ON a.query = p.query AND a.f = 'n' AND a.t = p.nm
 LEFT JOIN s b ON b.query = p.query AND b.f = 'a' AND b.t = p.ad""")
 def bm25(spark, d):
-    queries, names, addrs = _corpora(spark, d)
+    rows, queries, names, addrs = _pairs(spark, d)
     one = similarity.unigrams
-    r = similarity.attach_vectors(_pairs(spark, d), "query", similarity.text_vectors(queries, q=one))
-    r = similarity.attach_vectors(r, "name", similarity.text_vectors(names, n=one))
-    r = similarity.attach_vectors(r, "addr", similarity.text_vectors(addrs, a=one))
-    score = lambda c, corpus: F.round(
-        similarity.bm25(F.col("q"), F.col(c), similarity.mean_length(corpus, one)), 6
-    )
-    return r.select("impression_id", score("n", names).alias("bm25_name"), score("a", addrs).alias("bm25_addr"))
+
+    def scored(texts):
+        r = similarity.attach_vectors(texts, "query", similarity.text_vectors(queries, q=one))
+        r = similarity.attach_vectors(r, "name", similarity.text_vectors(names, n=one))
+        r = similarity.attach_vectors(r, "addr", similarity.text_vectors(addrs, a=one))
+        score = lambda c, corpus: F.round(similarity.bm25(F.col("q"), F.col(c), similarity.mean_length(corpus, one)), 6)
+        return r.select("query", "name", "addr", score("n", names).alias("bm25_name"), score("a", addrs).alias("bm25_addr"))
+
+    return similarity.per_texts(rows, ["query", "name", "addr"], scored).select("impression_id", "bm25_name", "bm25_addr")
 
 
 @check("tfidf_cosine", "impressions places", f"""
@@ -302,16 +301,19 @@ SELECT impression_id, tq.g AS gram, round(coalesce(s.qd / sqrt(tq.ww * td.ww), 0
 FROM p JOIN tot tq ON tq.f = 'q' AND tq.t = p.query LEFT JOIN tot td ON td.f = 'n' AND td.t = p.nm AND td.g = tq.g
 LEFT JOIN s ON s.g = tq.g AND s.query = p.query AND s.t = p.nm""")
 def tfidf_cosine(spark, d):
-    queries, names, _ = _corpora(spark, d)
-    r = _pairs(spark, d)
-    for column, corpus in (("query", queries), ("name", names)):
-        kinds = {f"{column[0]}1": similarity.unigrams, f"{column[0]}2": similarity.bigrams}
-        r = similarity.attach_vectors(r, column, similarity.text_vectors(corpus, **kinds))
+    rows, queries, names, _ = _pairs(spark, d)
+
     def of_gram(n: int):
         found = similarity.cosine_features(F.col(f"q{n}"), F.col(f"n{n}"))
         return features.let(found, lambda v: F.struct(F.lit(n).alias("gram"), *[F.round(F.get(v, i), 6).alias(k) for i, k in enumerate(similarity.COSINE)]))
 
-    return r.select("impression_id", F.inline(F.array(of_gram(1), of_gram(2))))
+    def scored(texts):
+        for column, corpus in (("query", queries), ("name", names)):
+            kinds = {f"{column[0]}1": similarity.unigrams, f"{column[0]}2": similarity.bigrams}
+            texts = similarity.attach_vectors(texts, column, similarity.text_vectors(corpus, **kinds))
+        return texts.select("query", "name", F.array(of_gram(1), of_gram(2)).alias("grams"))
+
+    return similarity.per_texts(rows, ["query", "name"], scored).select("impression_id", F.inline("grams"))
 
 
 def _slots_sql() -> str:
@@ -341,8 +343,7 @@ LEFT JOIN bm a ON a.query = p.query AND a.f = 'n' AND a.t = p.nm LEFT JOIN bm b
 
 @check("similarity_slots", "impressions places", _slots_sql())
 def similarity_slots(spark, d):
-    queries, names, addrs = _corpora(spark, d)
-    r = similarity.similarity_features(_pairs(spark, d), queries, names, addrs)
+    r = similarity.similarity_features(*_pairs(spark, d))
     return r.select("impression_id", scaled("sim").alias("slots"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +107,13 @@ def attach_vectors(rows: DataFrame, column: str, vectors: DataFrame) -> DataFram
     return joined.withColumns({c: F.coalesce(c, empty) for c in names})
 
 
+def per_texts(rows: DataFrame, columns: Sequence[str], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with the columns that ``score`` adds to the distinct combinations of their text columns,
+    however many rows hold one. Pass written rows, so that they aren't evaluated twice."""
+    texts = materialise(rows.select(*columns).distinct(), "text-pairs")
+    return attach(rows, score(texts), columns)
+
+
 COSINE = "cosine match_weight match_count_ratio match_weight_ratio query_max_weight item_max_weight".split()
 
 
@@ -159,7 +166,12 @@ def similarity_features(
     rows: DataFrame, queries: DataFrame, names: DataFrame, addrs: DataFrame
 ) -> DataFrame:
     """The 23 similarity features of rows with ``query``, ``name`` and ``addr``, as one
-    array column ``sim``; the other three inputs are corpora with a ``text`` column."""
+    array column ``sim``; the other three inputs are corpora with a ``text`` column.
+    They are computed once per distinct combination of the three texts; pass written rows."""
+    return per_texts(rows, ["query", "name", "addr"], lambda texts: _similarities(texts, queries, names, addrs))
+
+
+def _similarities(rows: DataFrame, queries: DataFrame, names: DataFrame, addrs: DataFrame) -> DataFrame:
     r = attach_vectors(rows, "query", text_vectors(queries, q1=unigrams, q2=bigrams))
     r = attach_vectors(r, "name", text_vectors(names, n1=unigrams, n2=bigrams))
     r = attach_vectors(r, "addr", text_vectors(addrs, a1=unigrams))

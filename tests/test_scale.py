@@ -295,3 +295,20 @@ def test_char_trigrams_of_single_rows_are_not_exchanged(spark, prose, tmp_path):
     rows.select("*", F.lit("x").alias("lang"), F.lit("y").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
     plan = catalog.load()[0]["char_trigrams"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_similarities_are_computed_once_for_each_combination_of_texts(spark, monkeypatch):
+    texts = [("blue cafe", "Blue cafe", "main st"), ("blue cafe", "blue bar", "main st"), ("red bar", "blue bar", "side st")]
+    rows = spark.createDataFrame([(i, *texts[i % 3]) for i in range(30)], "id int, query string, name string, addr string")
+    corpus = lambda c: rows.select(F.col(c).alias("text")).distinct()
+    seen, real = [], similarity.attach_vectors
+    monkeypatch.setattr(similarity, "attach_vectors", lambda df, *rest: seen.append(df.count()) or real(df, *rest))
+    got = similarity.similarity_features(rows, corpus("query"), corpus("name"), corpus("addr")).collect()
+    assert seen == [3, 3, 3] and sorted(r.id for r in got) == list(range(30))
+    assert all(len(r.sim) == 23 and r.sim == got[0].sim for r in got if r.id % 3 == got[0].id % 3)
+
+
+def test_rows_with_null_texts_keep_their_scores(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, None, None), (3, "a", "b"), (4, None, None)], "id int, x string, y string")
+    got = similarity.per_texts(rows, ["x", "y"], lambda t: t.withColumn("s", F.concat_ws("-", "x", "y"))).collect()
+    assert sorted((r.id, r.s) for r in got) == [(1, "a"), (2, ""), (3, "a-b"), (4, "")]
