@@ -62,7 +62,7 @@ def similarity_samples(
 
     Rows carry query, name, addr, query_type and both coordinates. ``counts`` and ``groups``
     (41 numbers each) give the statistics by the names in COUNTS and GROUPS; those left out,
-    a score or a tag left out, are taken as missing.
+    a score or a tag left out, are taken as missing. Pass written rows (see ``per_texts``).
     """
     r = similarity.similarity_features(rows, queries, names, addrs)
     km = geo.haversine_km(F.col("lng"), F.col("lat"), F.col("item_lng"), F.col("item_lat"))
