@@ -5,6 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from rankspark.catalog import aggregates as aggregate_queries
 from rankspark.catalog import jobs as job_queries
 from rankspark.operators import dictionary, groups, models, records, skew
 from rankspark.sources import tables
@@ -65,3 +66,8 @@ def test_samples_write_their_lines_once(spark, monkeypatch):
     log = spark.createDataFrame(lines, "search_key string, page int, query_info string, poi_info string")
     got = records.samples(log).select("search_uid", "p_impression_id", "group_len").collect()
     assert sorted(map(tuple, got)) == [("a", "1", 2), ("a", "2", 2)] and written == ["parsed"]
+
+
+def test_dedup_search_makes_the_log_once(spark, small):
+    plan = aggregate_queries.dedup_search(spark, small)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation [l_orderkey") == 1
