@@ -2,11 +2,13 @@
 
 Both levels have a centre and a radius, so the triangle inequality rules out whole groups first and
 single blocks then. The number of blocks grows with the corpus; a block holds a few hundred vectors
-and is stored once. What travels are the queries: packed, and only to the groups and blocks that
-their bound allows. Hot groups and blocks get many packs, which adaptive joins split.
+and is stored once. What travels are the queries, packed: first to their nearest blocks, which bound the
+distance of their k-th neighbour, then once to each part of a group (a *leaf*, of LEAF_BYTES) that
+the bound allows. A task holds one leaf and one slice of its queries, both of bounded size, and
+passes on ``k`` items a query at most, so where nothing can be ruled out, as among random vectors, the
+rows shuffled are queries x leaves, not queries x blocks. Hot leaves get many slices.
 
-An index is two tables and a few centres. ``blocks`` (payload) is only read for blocks that a query
-visits. ``meta`` (centre, radius, size and group of each block) is narrow. Group centres exist for
+An index is two tables and a few centres. ``blocks`` is the payload. ``meta`` (centre, radius, size and group of each block) is narrow. Group centres exist for
 parts of the corpus (cities, say) with more than ``group_rows`` items; ``group_rows`` grows with the
 corpus so that there are at most ``MOST_GROUPS`` of these, which is what is broadcast.
 
@@ -37,6 +39,8 @@ BLOCK_ROWS, GROUP_ROWS, MOST_GROUPS = 256, 20_000, 4_096
 SAMPLE_ROWS = 32
 #: Queries that travel in one pack, and blocks that one row of the directory lists.
 PACK_QUERIES, LEAF_BLOCKS = 256, 512
+#: Vectors that a task of the exact search holds at once, of items and of queries each, about.
+LEAF_BYTES = 16 << 20
 SCORE_DIGITS = 6
 #: Covers the rounding of scores in squared distances.
 SLACK = 4e-6
@@ -374,11 +378,74 @@ def _scored(packed: DataFrame, blocks: DataFrame, width: int, k: int) -> DataFra
     return packed.join(payload, "block").mapInArrow(score, "query_id long, item_id long, score double")
 
 
-def search(queries: DataFrame, index: Index, k: int) -> DataFrame:
+def _best(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The best ``k`` of (query's number, item id, score) for each query, by query and rank."""
+    q, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], ids[first], scores[first]
+
+
+def _leaf_scores(asked: pa.Table, items: pa.Table, width: int, k: int) -> pa.Table:
+    """Best ``k`` items of a leaf for each query of a slice, block by block; the bounds fall as better items are found."""
+    joined = lambda t, c, kind: np.concatenate([np.frombuffer(v.as_py(), kind) for v in t.column(c)]) if t.num_rows else np.empty(0, kind)
+    ids, bound = joined(asked, "qids", np.int64), joined(asked, "bounds", float)
+    x = joined(asked, "vectors", float).reshape(-1, width)
+    found, held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+    # 2 - 2 product <= squared bound, for all that count.
+    low = 1 - bound * bound / 2
+    for i in range(items.num_rows if len(ids) else 0):
+        row = items.slice(i, 1).to_pylist()[0]
+        y, own_ids = floats(row["vectors"], width), np.frombuffer(row["ids"], np.int64)
+        near = np.flatnonzero(np.sqrt(squares(x, np.frombuffer(row["centre"])[None]))[:, 0] - row["radius"] <= bound)
+        for s in range(0, len(near), 4096):
+            own = near[s : s + 4096]
+            scores = np.round(x[own] @ y.T, SCORE_DIGITS)
+            hit = scores >= low[own, None]
+            many = np.flatnonzero(hit.sum(1) > k)
+            if len(many):
+                hit[many] &= scores[many] >= -np.partition(-scores[many], k - 1, axis=1)[:, k - 1 : k]
+            q, at = np.nonzero(hit)
+            found.append((own[q], own_ids[at], scores[q, at]))
+            held += len(q)
+        if held > 4 * k * len(ids):
+            found = [_best(found, k)]
+            q, _, scores = found[0]
+            held, last = len(q), np.flatnonzero(np.bincount(q, minlength=len(ids)) == k)
+            low[last] = np.maximum(low[last], scores[np.searchsorted(q, last, "right") - 1])
+            bound[last] = np.minimum(bound[last], np.sqrt(np.maximum(2 - 2 * low[last], 0.0) + SLACK))
+    q, item, scores = _best(found, k)
+    return pa.table({"query_id": pa.array(ids[q]), "item_id": pa.array(item), "score": pa.array(scores)})
+
+
+def _searched(queries: DataFrame, index: Index, radii: dict[str, np.ndarray], k: int, leaf_bytes: int) -> DataFrame:
+    """Best ``k`` items of every leaf that a query's bound allows (written queries: query_id, part, vector, bound)."""
+    width, group = index.width, ["part", "coarse"]
+    rows = max(1, leaf_bytes // (8 * width))
+    asked = asking(queries, index, radii)
+    load = asked.groupBy(*group).agg(F.ceil(F.sum(F.octet_length("qids")) / 8 / rows).alias("_slices"))
+    leaves = index.meta.groupBy(*group).agg(F.ceil(F.sum("n") / rows).alias("_leaves"))
+    # Groups that no query asks aren't read.
+    grid = materialise(load.join(leaves, group), "grid")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = asked.join(grid, group).withColumn("_slice", F.pmod(F.xxhash64("qids"), F.col("_slices"))).withColumn("_leaf", every("_leaves"))
+    items = index.blocks.join(index.meta.select("block", *group, "radius"), "block").join(grid, group)
+    items = items.withColumn("_leaf", F.pmod(F.xxhash64("block"), F.col("_leaves"))).withColumn("_slice", every("_slices"))
+    key = [*group, "_leaf", "_slice"]
+    asked, items = asked.select(*key, "qids", "vectors", "bounds"), items.select(*key, "radius", "centre", "ids", "vectors")
+
+    def score(asked: pa.Table, items: pa.Table) -> pa.Table:
+        return _leaf_scores(asked, items, width, k)
+
+    return asked.groupBy(*key).cogroup(items.groupBy(*key)).applyInArrow(score, "query_id long, item_id long, score double")
+
+
+def search(queries: DataFrame, index: Index, k: int, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """Exact best ``k`` items by inner product for each query (query_id, vector and part, if the items have one).
 
     The blocks nearest to a query bound the distance of its k-th neighbour; the second pass visits
-    all blocks that may hold a nearer one.
+    all leaves, and in them all blocks, that may hold a nearer one.
     """
     columns = [F.col("query_id").cast("long").alias("query_id"), "vector"]
     rows = materialise(keyed(queries, columns).withColumn("bound", F.lit(float("inf"))), "queries")
@@ -392,5 +459,4 @@ def search(queries: DataFrame, index: Index, k: int) -> DataFrame:
     # Lengths of at most 1: squared distance <= 2 - 2 product.
     bound = near.select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0)) + SLACK).alias("_bound"))
     bounded = attach(rows, bound, ["query_id"], "left").withColumn("bound", F.coalesce("_bound", "bound")).drop("_bound")
-    second = asking(bounded, index, radii).join(directory, ["part", "coarse"])
-    return top_k(_scored(_to_blocks(second, index.width, k, False), index.blocks, index.width, k), ["query_id"], order, k)
+    return top_k(_searched(materialise(bounded, "bounded"), index, radii, k, leaf_bytes), ["query_id"], order, k)

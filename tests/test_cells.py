@@ -91,6 +91,25 @@ def test_items_are_stored_once_and_queries_travel(spark, points):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_queries_that_rule_nothing_out_travel_to_leaves(spark, monkeypatch):
+    """Random vectors, so every block may hold a neighbour: a query is sent to few blocks, and else to whole leaves."""
+    rng = np.random.default_rng(3)
+    x, q = unit(rng.normal(size=(1200, 24))), unit(rng.normal(size=(40, 24)))
+    sent, to_blocks = [], cells._to_blocks
+    monkeypatch.setattr(cells, "_to_blocks", lambda *a: sent.append(to_blocks(*a)) or sent[-1])
+    index = cells.build(frame(spark, x, "item_id"), 3, block_rows=16)
+    assert found(cells.search(frame(spark, q, "query_id"), index, 7)) == brute(x, q, 7)
+    assert sum(p.agg(F.sum(F.octet_length("qids") / 8)).first()[0] for p in sent) < 3 * len(q)
+
+
+@pytest.mark.parametrize("leaf_bytes", [4000, 20_000])
+def test_leaves_and_slices_of_any_size(spark, points, leaf_bytes):
+    x, q = points
+    index = cells.build(frame(spark, x, "item_id"), 3, block_rows=64)
+    for k in (1, 400):
+        assert found(cells.search(frame(spark, q, "query_id"), index, k, leaf_bytes)) == brute(x, q, k)
+
+
 def test_append_reads_no_stored_vectors(spark, points):
     x, q = points
     index = cells.build(frame(spark, x[:500], "item_id"), 4, block_rows=16)
