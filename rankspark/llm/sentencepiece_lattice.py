@@ -4,23 +4,25 @@ A text is cut into *segments* where no piece of the vocabulary can cross (before
 between letters and other signs); each distinct segment of the corpus is encoded once:
 
 1. its substrings of bounded length are exploded and equi-joined to the piece table;
-2. each hit is an edge of the lattice at the boundary where it starts, and a crossing at each one
-   inside it; all are single numbers, grouped by word;
-3. a higher-order ``aggregate`` folds Viterbi over the boundaries.
+2. each hit is an edge of the lattice; edges are single numbers, grouped by segment where the rows of
+   the segment have met, and sorted by their ends;
+3. a higher-order ``aggregate`` folds Viterbi over the edges.
 
 The model's pieces come from merges, so the path wanted isn't the one of the best sum of scores but
 the one whose adjacent pieces don't merge: two pieces may follow each other unless a piece that
 crosses their boundary has a better score than the merges that closed its two halves off. For each
 boundary exactly one last piece is admissible, which makes the fold as short as Viterbi's. Which
-halves a piece has open, and until which merge, is a table of the vocabulary, a constant of the fold.
+halves a piece has open, until which merge, and which pieces merge are tables of the vocabulary,
+constants of the fold.
 
-Segments of more than ``WINDOW`` characters are folded window by window; a window hands the states
-of its last ``LONGEST`` boundaries on, so the time grows with the length, and no row holds more than
-a window of edges before its word is put together.
+Segments of any length are folded with the states of the last ``WINDOW + LONGEST`` boundaries at
+hand, so the time grows with the length.
 
-Documents are worked on in chunks. What comes back to a chunk is packed, so the texts are shuffled
-once, compressed. The chunks are numbered by the scan's partitions; the input must be a table scan,
-which deals its rows out alike each time.
+Documents are worked on in chunks, scanned twice. The first scan gives each distinct segment of a
+chunk with its place there; ids come back to the chunk packed. The second gives the texts as numbers
+of their segments, which is what is shuffled, once, compressed. Nothing is written. Chunks are
+numbered by the scan's partitions; the input must be a table scan, which deals its rows out alike
+each time.
 
 Decoding maps ids to pieces, byte pieces to their bytes and the mark to a space.
 
@@ -31,12 +33,12 @@ like any other; an empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
-import io
 import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import sentencepiece
@@ -45,22 +47,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankspark import session
 from rankspark.llm.registry import query
 from rankspark.llm.texts import row_slices, table, utf8
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Text bytes of a chunk, about.
-CHUNK_BYTES = 8 << 20
-#: (segment, chunk) pairs that a task holds before it passes them on.
-PACKED = 150_000
+CHUNK_BYTES = 16 << 20
+#: Places that a task holds before it passes their ids on.
+PACKED = 250_000
 #: Longest piece, in characters.
 LONGEST = 16
-#: Characters that one step over a long segment takes.
+#: Characters of a segment that are spread, and boundaries that are put away, together.
 WINDOW = 64
-#: Distinct segments of a partition, about.
-PARTITION_SEGMENTS = 10_000
 #: Rank of a merge that never comes; ranks are below it.
 NEVER = (1 << 31) - 1
 #: Id of a character that no piece has, until its bytes take its place.
@@ -122,72 +121,91 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-# An item of the lattice is one number: boundary << 48 | kind << 47 | ..., for an edge (kind 1) its length << 40 | id,
-# for a crossing (kind 0) the characters before << 40 | those after << 34 | rank. A state is length << 20 | id.
+# An item is one number: an edge is its end << 34 | where it starts << 27 | where it ends << 20 | id, these two among the boundaries
+# that the fold holds then; so the longest edges of an end come first. A place of the segment is -1 - place.
 def _bits(c: Column, at: int, n: int) -> Column:
-    return F.shiftright(c, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    return (F.shiftright(c, at) if at else c).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
 
 
-def _constant(rows: list[list[int] | None]) -> Column:
-    """A table of the vocabulary as a constant: one list per id."""
-    return F.from_json(F.lit(json.dumps(rows)), "array<array<int>>")
+def _constant(rows: list, kind: str) -> Column:
+    """A table of the vocabulary as a constant."""
+    return F.from_json(F.lit(json.dumps(rows)), kind)
+
+
+def _merge_table(merges: list[tuple[int, int, int]], size: int) -> tuple[list[int], list[int]]:
+    """(bases, slots): two pieces x and y that merge have bases[x] << 32 | rank in slot bases[x] + y; other slots are -1."""
+    after: dict[int, list[tuple[int, int]]] = {}
+    for x, y, rank in merges:
+        after.setdefault(x, []).append((y, rank))
+    rng, bases, used = np.random.default_rng(0), [-1] * size, set()
+    slots = np.full(size + 4 * len(merges), -1, np.int64)
+    for x, found in sorted(after.items(), key=lambda f: -len(f[1])):
+        y, rank = np.array(found, np.int64).T
+        while (base := int(rng.integers(len(slots) - size + 1))) in used or (slots[base + y] >= 0).any():
+            pass
+        used.add(base)
+        bases[x], slots[base + y] = base, base << 32 | rank
+    return bases, slots.tolist()
 
 
 class _Fold:
-    """The fold over the boundaries of a window."""
+    """The fold over the edges of a segment, in the order of their ends."""
 
     def __init__(self, pieces: list[tuple]):
         size = max((p[1] for p in pieces), default=0) + 1
-        ends, begins = [None] * size, [None] * size
-        for _, i, _, e, b in pieces:
-            # What is open to no merge matters as little as what isn't there.
-            ends[i], begins[i] = e, b
-        self.ends, self.begins = _constant(ends), _constant(begins)
-
-    def window(self, items: Column, path: Column, n: Column) -> Column:
-        """``path`` (the state of each boundary from the window's first, -1 for none) after the items of ``n`` boundaries."""
-
-        def step(path: Column, at: Column) -> Column:
-            own = F.filter(items, lambda i: F.shiftright(i, 48) == at)
-
-            def taken(own: Column) -> Column:
-                last_ends = F.get(self.ends, _bits(F.get(path, at), 0, 20))
-                # Crossings that the piece before the boundary leaves open.
-                alive = _once(last_ends, lambda e: F.filter(own, lambda i: (_bits(i, 47, 1) == 0) & (
-                    F.coalesce(i.bitwiseAND(F.lit(NEVER)) < F.get(e, _bits(i, 40, 6) - 1), F.lit(False)))))
-                follow = _once(alive, lambda alive: F.filter(own, lambda i: (_bits(i, 47, 1) == 1) & (
-                    (F.size(alive) == 0) | ~_once(F.get(self.begins, _bits(i, 0, 20)), lambda b: F.exists(alive, lambda c: F.coalesce(
-                        c.bitwiseAND(F.lit(NEVER)) <= F.get(b, _bits(c, 34, 6) - 1), F.lit(False)))))))
-                reached = lambda i: F.shiftleft(_bits(i, 40, 6).cast("long"), 20).bitwiseOR(_bits(i, 0, 20).cast("long"))
-                return _once(F.transform(follow, reached), lambda to: F.transform(path, lambda v, p: F.coalesce(
-                    F.get(F.filter(to, lambda r: F.shiftright(r, 20) == p - at), F.lit(0)), v)))
-
-            return F.when(F.get(path, at) < 0, path).otherwise(_once(own, taken))
-
-        return F.aggregate(F.sequence(F.lit(0), n - 1), path, step)
-
-
-def _start(size: Column) -> Column:
-    """States of a word's first window: only its begin is reached."""
-    return F.concat(F.array(F.lit(RAW).cast("long")), F.array_repeat(F.lit(-1).cast("long"), size - 1))
-
-
-def _back(states: Column, length: Column) -> Column:
-    """(end << 20 | id) of the pieces on the path, from its states at all boundaries."""
+        ids, right, left = {p[0]: p[1] for p in pieces}, [None] * size, [None] * size
+        merges = [(ids[p[0][:k]], ids[p[0][k:]], p[2]) for p in pieces for k in range(1, len(p[0])) if p[0][:k] in ids and p[0][k:] in ids]
+        bases, slots = _merge_table(merges, size)
+        least: tuple[dict[int, int], dict[int, int]] = {}, {}
+        for x, y, rank in merges:
+            least[0][x], least[1][y] = min(rank, least[0].get(x, NEVER)), min(rank, least[1].get(y, NEVER))
+        # The parts of a piece that its merges leave open at its right and left, with the rank of the merge that closes them;
+        # without those that nothing merges with before.
+        for piece, i, _, ends, begins in pieces:
+            n = len(piece)
+            right[i] = [bases[x] << 32 | ends[k - 1] for k in range(1, n + 1) if ends[k - 1] >= 0 and least[0].get(x := ids[piece[n - k :]], NEVER) < ends[k - 1]]
+            left[i] = [y << 32 | begins[k - 1] for k in range(1, n + 1) if begins[k - 1] >= 0 and (y := ids[piece[:k]]) in least[1] and least[1][y] <= begins[k - 1]]
+        self.right, self.left, self.slots = _constant(right, "array<array<bigint>>"), _constant(left, "array<array<bigint>>"), _constant(slots, "array<bigint>")
+
+    def _merge(self, a: Column, b: Column) -> Column:
+        """Whether an open part of piece ``a`` and one of the piece ``b`` behind it merge before they are closed."""
+        rank = lambda c: c.bitwiseAND(F.lit(NEVER))
+
+        def pair(x: Column, y: Column) -> Column:
+            slot = F.get(self.slots, F.shiftright(x + y, 32))  # the ranks have 31 bits, so their sum doesn't reach the bases
+            return (F.shiftright(slot, 32) == F.shiftright(x, 32)) & (slot < x) & (rank(slot) <= rank(y))
+
+        return F.exists(F.get(self.right, a), lambda x: F.exists(F.get(self.left, b), lambda y: pair(x, y)))
+
+    def path(self, edges: Column) -> Column:
+        """The admissible edge that ends at each boundary, from the segment's begin; ``edges`` are sorted."""
+
+        def step(state: Column, e: Column) -> Column:
+            now, done, at = state["now"], state["done"], _bits(e, 20, 7)
+            longer = F.concat(now, F.array(e))
+            put_away = F.struct(F.slice(longer, WINDOW + 1, LONGEST + 1).alias("now"), F.concat(done, F.array(F.slice(longer, 1, WINDOW))).alias("done"))
+            taken = F.when(at == WINDOW + LONGEST, put_away).otherwise(F.struct(longer.alias("now"), done.alias("done")))
+            # Null, which is a character without a piece, merges with nothing.
+            return F.when((F.size(now) != at) | self._merge(_bits(F.get(now, _bits(e, 27, 7)), 0, 20), _bits(e, 0, 20)), state).otherwise(taken)
+
+        first = F.struct(F.array(F.lit(RAW).cast("long")).alias("now"), F.array().cast("array<array<bigint>>").alias("done"))
+        return F.aggregate(edges, first, step, lambda s: F.concat(F.flatten(s["done"]), s["now"]))
+
+
+def _back(states: Column) -> Column:
+    """The edges on the path to the last boundary, from the edges that end at each."""
     empty = F.array().cast("array<bigint>")
 
-    def step(state: Column, p: Column) -> Column:
-        def take(found: Column) -> Column:
-            now = F.concat(state["now"], F.array(F.shiftleft(p.cast("long"), 20).bitwiseOR(_bits(found, 0, 20).cast("long"))))
-            full = F.size(state["now"]) >= LISTED - 1
-            return F.struct(
-                (p - _bits(found, 20, 6)).alias("p"), F.when(full, empty).otherwise(now).alias("now"),
-                F.when(full, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"))
-
-        return F.when(state["p"] == p, _once(F.get(states, p), take)).otherwise(state)
+    def step(state: Column, e: Column) -> Column:
+        now = F.concat(state["now"], F.array(e))
+        full = F.size(state["now"]) >= LISTED - 1
+        taken = F.struct(
+            (state["p"] - _bits(e, 20, 7) + _bits(e, 27, 7)).alias("p"), F.when(full, empty).otherwise(now).alias("now"),
+            F.when(full, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"))
+        return F.when((state["p"] == F.shiftright(e, 34)) & (state["p"] > 0), taken).otherwise(state)
 
-    first = F.struct(length.alias("p"), empty.alias("now"), F.array().cast("array<array<bigint>>").alias("done"))
-    found = F.aggregate(F.reverse(F.sequence(F.lit(1), length)), first, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+    first = F.struct((F.size(states) - 1).cast("long").alias("p"), empty.alias("now"), F.array().cast("array<array<bigint>>").alias("done"))
+    found = F.aggregate(F.reverse(states), first, step, lambda s: F.concat(s["done"], F.array(s["now"])))
     return F.reverse(F.flatten(found))
 
 
@@ -199,91 +217,120 @@ def _with_bytes(path: Column, bytes_of: Column) -> Column:
             F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1),
             lambda i: F.get(bytes_of, F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))))
 
-    one = lambda e: F.when(_bits(e, 0, 20) == RAW, raw(F.shiftright(e, 20).cast("int"))).otherwise(F.array(_bits(e, 0, 20)))
-    return F.flatten(F.transform(path, one))
+    own = lambda e: _bits(e, 0, 20).cast("int")
+    one = lambda e: F.when(own(e) == RAW, raw(F.shiftright(e, 34).cast("int"))).otherwise(F.array(own(e)))
+    return F.when(F.exists(path, lambda e: own(e) == RAW), F.flatten(F.transform(path, one))).otherwise(F.transform(path, own))
 
 
 def _items(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(key, window, item): the lattice of words (key, first, text): windows of words with what a piece can reach beyond."""
-    spread = words.select("key", "first", "text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    spread = spread.select("key", (F.col("first") + F.col("s")).alias("s"), F.substring("text", F.col("s") + 1, F.lit(LONGEST)).alias("ahead"))
-    spread = spread.select("key", "s", "ahead", F.explode(F.sequence(F.lit(1), F.length("ahead"))).alias("k"))
-    parts = spread.select("key", "s", "k", F.substring("ahead", F.lit(1), F.col("k")).alias("part"))
+    """(segment, item): the edges and the places of words (segment, places)."""
+    n, at = F.length("segment").cast("long"), F.col("at")
+    windows = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(WINDOW).cast("long"))
+    spread = words.select("segment", F.explode(F.concat(windows, F.transform("places", lambda p: -1 - p))).alias("at"), n.alias("n"))
+    # A window's characters with what a piece can reach beyond.
+    text = F.when(at >= 0, F.substring("segment", at.cast("int") + 1, F.lit(WINDOW + LONGEST)))
+    spread = spread.select("segment", "at", text.alias("text"), F.when(at >= 0, F.least(F.lit(WINDOW), n - at)).otherwise(1).cast("int").alias("n"))
+    spread = spread.select("segment", "at", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    spread = spread.select("segment", (at + F.col("s")).alias("at"), F.substring("text", F.col("s") + 1, F.lit(LONGEST)).alias("ahead"))
+    spread = spread.select("segment", "at", "ahead", F.explode(F.sequence(F.lit(1), F.coalesce(F.length("ahead"), F.lit(1)))).alias("k"))
+    parts = spread.select("segment", "at", "k", F.substring("ahead", F.lit(1), F.col("k")).alias("part"))
     hits = parts.join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left").where(F.col("id").isNotNull() | (F.col("k") == 1))
-    hits = hits.select("key", "s", "k", F.coalesce("id", F.lit(RAW)).cast("long").alias("id"), F.coalesce("rank", F.lit(NEVER)).cast("long").alias("rank"))
-    cut = hits.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    long, at = lambda c: c.cast("long"), F.col("s") + F.col("j")
-    edge = F.lit(1 << 47).bitwiseOR(F.shiftleft(long(F.col("k")), 40)).bitwiseOR(F.col("id"))
-    crossing = F.shiftleft(long(F.col("j")), 40).bitwiseOR(F.shiftleft(long(F.col("k") - F.col("j")), 34)).bitwiseOR(F.col("rank"))
-    place = F.shiftleft(long(F.pmod(at, F.lit(WINDOW))), 48)
-    return cut.select("key", F.floor(at / WINDOW).cast("int").alias("window"), place.bitwiseOR(F.when(F.col("j") == 0, edge).otherwise(crossing)).alias("item"))
+    end, held = at + F.col("k"), WINDOW + LONGEST
+    there = F.when(end <= held, end).otherwise(LONGEST + 1 + (end - held - 1) % WINDOW)
+    edge = F.shiftleft(end, 34).bitwiseOR(F.shiftleft(there - F.col("k"), 27)).bitwiseOR(F.shiftleft(there, 20)).bitwiseOR(F.coalesce("id", F.lit(RAW)).cast("long"))
+    return hits.select("segment", F.when(at < 0, at).otherwise(edge).alias("item"))
 
 
-def encode_segments(segments: DataFrame, model: str) -> DataFrame:
-    """(segment, ids) of distinct segments (written)."""
-    spark = segments.sparkSession
+def encode_places(rows: DataFrame, model: str) -> DataFrame:
+    """(segment, places, ids) of each distinct segment of rows (segment, place); one exchange, where the rows of a segment meet."""
     table = piece_table(model)
-    pieces = spark.createDataFrame([p[:3] for p in table], "piece string, id int, rank int")
+    pieces = rows.sparkSession.createDataFrame([p[:2] for p in table], "piece string, id int")
     fold, bytes_of = _Fold(table), F.array(*map(F.lit, byte_ids(model)))
-    short = segments.where(F.length("segment") <= WINDOW)
-    # Their lattices are grouped where the words lie.
-    n = max(1, -(-segments.count() // PARTITION_SEGMENTS))
-    words = short.select(F.col("segment").alias("key")).repartition(n, "key").select("key", F.lit(0).alias("first"), F.col("key").alias("text"), F.length("key").alias("n"))
-    grouped = _items(words, pieces).groupBy("key").agg(F.collect_list("item").alias("items"))
-    length = F.length("key")
-    path = _once(fold.window(F.col("items"), _start(length + 1), length), lambda states: _back(states, length))
-    found = grouped.select(F.col("key").alias("segment"), path.alias("path")).select("segment", _with_bytes(F.col("path"), bytes_of).alias("ids"))
-
-    long = segments.where(F.length("segment") > WINDOW)
-    if not long.head(1):
-        return found
-    named = long.select(F.sha2("segment", 256).alias("key"), "segment", F.length("segment").alias("length"))
-    starts = F.sequence(F.lit(0), F.col("length") - 1, F.lit(WINDOW))
-    words = named.select("key", "segment", "length", F.explode(starts).alias("first")).select(
-        "key", "first", F.substring("segment", F.col("first") + 1, F.lit(WINDOW + LONGEST)).alias("text"), F.least(F.lit(WINDOW), F.col("length") - F.col("first")).alias("n"))
-    windows = _items(words.repartition("key", "first"), pieces).groupBy("key", "window").agg(F.collect_list("item").alias("items"))
-    lists = windows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("window", "items"))).alias("windows"))
-    whole = lists.join(named, "key")
-
-    def step(state: Column, w: Column) -> Column:
-        left = F.col("length") - w["window"] * WINDOW
-        last = left <= WINDOW
-        size = F.when(last, left + 1).otherwise(F.lit(WINDOW + LONGEST))
-        before = F.slice(F.concat(state["carry"], F.array_repeat(F.lit(-1).cast("long"), WINDOW + LONGEST)), F.lit(1), size)
-        return _once(fold.window(w["items"], before, F.least(left, F.lit(WINDOW))), lambda states: F.struct(
-            F.when(last, states).otherwise(F.slice(states, WINDOW + 1, LONGEST)).alias("carry"),
-            F.concat(state["done"], F.array(F.when(last, states).otherwise(F.slice(states, 1, WINDOW)))).alias("done")))
-
-    first = F.struct(_start(F.lit(LONGEST)).alias("carry"), F.array().cast("array<array<bigint>>").alias("done"))
-    states = F.flatten(F.aggregate("windows", first, step, lambda s: s["done"]))
-    path = _once(states, lambda states: _back(states, F.col("length")))
-    return found.unionByName(whole.select("segment", path.alias("path")).select("segment", _with_bytes(F.col("path"), bytes_of).alias("ids")))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(number, document ids, texts) of the chunks of a partition; the numbers hold for every run of the scan."""
-    number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
+    words = rows.repartition("segment").groupBy("segment").agg(F.collect_list("place").alias("places"))
+    # Edges come sorted by their ends; places, which are negative, before them.
+    lists = _items(words, pieces).groupBy("segment").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    path = _once(fold.path(F.filter("items", lambda i: i >= 0)), _back)
+    places = F.transform(F.filter("items", lambda i: i < 0), lambda i: -1 - i)
+    return lists.select("segment", places.alias("places"), path.alias("path")).select("segment", "places", _with_bytes(F.col("path"), bytes_of).alias("ids"))
+
+
+def encode_segments(segments: DataFrame, model: str) -> DataFrame:
+    """(segment, ids) of distinct segments."""
+    return encode_places(segments.select("segment", F.lit(0).cast("long").alias("place")), model).select("segment", "ids")
+
+
+class _Chunk:
+    """Some texts as numbers: ``sequence`` has the units of all texts, ``sizes`` how many each has, ``segments`` those of all units, sorted, ``spans`` and ``counts`` their numbers in each unit.
+
+    A unit is a run of spaces with what follows it up to the next; segments don't cross units.
+    """
+
+    def __init__(self, number: int, ids: list, texts: list[bytes]):
+        self.number, self.ids = number, ids
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        first = (np.cumsum(lengths) - lengths)[lengths > 0]
+        begins = data == 32
+        begins[1:] &= data[:-1] != 32
+        begins[first] = True
+        starts = np.flatnonzero(begins)
+        offsets = np.append(starts, len(data)).astype(np.int64)
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        self.sequence = units.indices.to_numpy()
+        self.sizes = np.diff(np.searchsorted(starts, np.append(0, np.cumsum(lengths))))
+        words = pc.replace_substring(units.dictionary.cast(pa.large_string()), " ", MARK).to_numpy(zero_copy_only=False).tolist()
+        cuts, counts = [], np.ones(len(words), np.int32)
+        for i, word in enumerate(words):
+            if word[1:].isalpha():
+                cuts.append(word)
+            else:
+                cuts += (cut := SEGMENT.findall(word))
+                counts[i] = len(cut)
+        self.counts = counts
+        found = pa.array(cuts, pa.large_string()).dictionary_encode()
+        order = pc.sort_indices(found.dictionary)
+        self.segments = found.dictionary.take(order)
+        numbers = np.empty(len(order), np.int32)
+        numbers[order.to_numpy()] = np.arange(len(order))
+        self.spans = numbers[found.indices.to_numpy()]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    """The chunks of a partition; their numbers and those of their segments hold for every run of the scan."""
+    number, ids, texts, size = TaskContext.get().partitionId() << 12, [], [], 0
     for batch in row_slices(batches, 256):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids.append(doc_id)
-            texts.append(model_text(text.decode()))
+            texts.append(b" " + text.replace(MARK.encode(), b" ") if text else text)
             size += len(text)
             if size >= CHUNK_BYTES:
-                yield number, ids, texts
+                yield _Chunk(number, ids, texts)
                 number, ids, texts, size = number + 1, [], [], 0
     if ids:
-        yield number, ids, texts
+        yield _Chunk(number, ids, texts)
+
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of int32, byte by byte of their numbers, compressed."""
+    planes = [np.ascontiguousarray(a, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(arrays), *map(len, arrays)], "<i8").tobytes(), *planes]))
 
-def _pack(columns: dict[str, pa.Array]) -> bytes:
-    rows, out = pa.record_batch(columns), io.BytesIO()
-    with pa.ipc.new_stream(out, rows.schema) as stream:
-        stream.write_batch(rows)
-    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
 
+def _unpack(data: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    out, at = [], 8 + 8 * n
+    for size in np.frombuffer(data, "<i8", n, 8).tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * size, at).reshape(4, size).T).view("<i4").ravel())
+        at += 4 * size
+    return out
 
-def _unpack(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(data)).read_all()
+
+def _taken(values: np.ndarray, counts: np.ndarray, which: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The lists numbered ``which`` one behind the other, and how many values each has; the lists lie in ``values``, of ``counts`` each."""
+    starts = np.cumsum(counts) - counts if starts is None else starts
+    n = counts[which]
+    return values[np.arange(n.sum()) + np.repeat(starts[which] - (np.cumsum(n) - n), n)], n
 
 
 def encode(documents: DataFrame, model: str) -> DataFrame:
@@ -291,65 +338,68 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, texts in _chunks(batches):
-            found: set[str] = set()
-            for text in texts:
-                found.update(SEGMENT.findall(text))
-            words = sorted(found)
-            for s in range(0, len(words), 20_000):
-                some = words[s : s + 20_000]
-                yield pa.record_batch({"segment": pa.array(some, pa.string()), "chunk": pa.array(np.full(len(some), number))})
+        for chunk in _chunks(batches):
+            for s in range(0, len(chunk.segments), 20_000):
+                some = chunk.segments.slice(s, 20_000)
+                yield pa.record_batch({"segment": some.cast(pa.string()), "place": pa.array(np.arange(s, s + len(some)) + (chunk.number << 28))})
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[str, list[int]]]] = {}
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            blobs = [_pack({"segment": pa.array([w for w, _ in x], pa.string()), "ids": pa.array([i for _, i in x], pa.list_(pa.int32()))}) for x in held.values()]
-            return pa.record_batch({"chunk": pa.array(list(held), pa.int64()), "known": pa.array(blobs, pa.binary())})
+            places, counts, ids = map(np.concatenate, zip(*held, strict=True))
+            order = np.argsort(places)
+            ids, counts = _taken(ids, counts, order)
+            chunks, first = np.unique(places[order] >> 28, return_index=True)
+            numbers, ends = (places[order] & ((1 << 28) - 1)).astype(np.int32), np.append(0, np.cumsum(counts))
+            limits = np.append(first, len(places))
+            blobs = [_pack(np.diff(numbers[a:b], prepend=0), counts[a:b], ids[ends[a] : ends[b]]) for a, b in zip(limits[:-1], limits[1:], strict=True)]
+            return pa.record_batch({"chunk": pa.array(chunks, pa.int64()), "known": pa.array(blobs, pa.binary())})
 
         for batch in row_slices(batches, 4096):
-            for word, ids, chunk in zip(*(batch.column(c).to_pylist() for c in ("segment", "ids", "chunk")), strict=True):
-                held.setdefault(chunk, []).append((word, ids))
-            size += batch.num_rows
+            places, ids = batch.column("places"), batch.column("ids")
+            counts = ids.value_lengths().to_numpy().astype(np.int64)
+            of = np.repeat(np.arange(len(counts)), places.value_lengths().to_numpy())
+            values, counts = _taken(ids.flatten().to_numpy(), counts, of)
+            held.append((places.flatten().to_numpy(), counts, values))
+            size += len(of)
             if size >= PACKED:
                 yield out()
-                held, size = {}, 0
+                held, size = [], 0
         if held:
             yield out()
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, ids, texts in _chunks(batches):
-            blob = _pack({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_string())})
-            yield pa.record_batch({"chunk": pa.array([number]), "texts": pa.array([blob], pa.binary())})
+        for c in _chunks(batches):
+            yield pa.record_batch({
+                "chunk": pa.array([c.number]), "doc_ids": pa.array([c.ids], pa.list_(pa.int64())), "sizes": pa.array([c.sizes], pa.list_(pa.int32())),
+                "texts": pa.array([_pack(c.sequence, c.spans, c.counts)], pa.binary())})
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, 1):
-            for texts, blobs in zip(batch.column("texts").to_pylist(), batch.column("known").to_pylist(), strict=True):
-                known: dict[str, bytes] = {}
-                for blob in blobs or ():
-                    rows = _unpack(blob)
-                    ids = rows.column("ids").combine_chunks()
-                    data, ends = ids.flatten().to_numpy().astype("<i4").tobytes(), np.cumsum(ids.value_lengths().to_numpy()).tolist()
-                    start = 0
-                    for word, end in zip(rows.column("segment").to_pylist(), ends, strict=True):
-                        known[word] = data[4 * start : 4 * end]
-                        start = end
-                rows = _unpack(texts)
-                doc_ids, n = rows.column("doc_id").to_pylist(), rows.num_rows
-                for s in range(0, n, 256):
-                    found = [b"".join([known[w] for w in SEGMENT.findall(t)]) for t in rows.column("text").slice(s, 256).to_pylist()]
-                    lengths = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
-                    values = pa.array(np.frombuffer(b"".join(found), "<i4"))
-                    yield pa.record_batch({"doc_id": pa.array(doc_ids[s : s + 256], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(lengths), values)})
-
-    pairs = session.materialise(rows.mapInArrow(segments, "segment string, chunk long"), "segments")
-    words = session.materialise(pairs.select("segment").distinct(), "words")
-    # Written, so that a segment of all chunks is split where it is joined.
-    coded = session.materialise(encode_segments(words, model), "words-ids")
-    known = session.materialise(pairs.join(coded, "segment").mapInArrow(packed, "chunk long, known binary"), "segments-ids")
-    known = known.groupBy("chunk").agg(F.collect_list("known").alias("known"))
-    return rows.mapInArrow(texts_of, "chunk long, texts binary").join(known, "chunk", "left").mapInArrow(encoded, "doc_id long, ids array<int>")
+            sequence, spans, per_unit = _unpack(batch.column("texts")[0].as_py())
+            known = [_unpack(blob) for blob in batch.column("known")[0].as_py() or ()]
+            if known:
+                numbers, counts, ids = (np.concatenate(x) for x in zip(*((np.cumsum(n), c, i) for n, c, i in known), strict=True))
+                ids, counts = _taken(ids, counts, np.argsort(numbers))
+                ids, n = _taken(ids, counts, spans)
+                ends = np.append(0, np.cumsum(n))
+                per_unit = np.diff(ends[np.append(0, np.cumsum(per_unit))])
+            else:
+                ids = np.zeros(0, np.int32)
+            starts = np.cumsum(per_unit) - per_unit
+            doc_ids, ends = batch.column("doc_ids").flatten(), np.append(0, np.cumsum(batch.column("sizes").flatten().to_numpy()))
+            for s in range(0, len(doc_ids), 256):
+                limits = ends[s : s + 257]
+                values, n = _taken(ids, per_unit, sequence[limits[0] : limits[-1]], starts)
+                lengths = np.append(0, np.cumsum(n))[limits - limits[0]].astype(np.int32)
+                yield pa.record_batch({"doc_id": doc_ids.slice(s, 256), "ids": pa.ListArray.from_arrays(pa.array(lengths), pa.array(values, pa.int32()))})
+
+    coded = encode_places(rows.mapInArrow(segments, "segment string, place long"), model).select("places", "ids")
+    known = coded.mapInArrow(packed, "chunk long, known binary").groupBy("chunk").agg(F.collect_list("known").alias("known"))
+    texts = rows.mapInArrow(texts_of, "chunk long, doc_ids array<long>, sizes array<int>, texts binary")
+    return texts.join(known, "chunk", "left").mapInArrow(encoded, "doc_id long, ids array<int>")
 
 
 def decode(ids: Column, model: str) -> Column:
@@ -359,14 +409,21 @@ def decode(ids: Column, model: str) -> Column:
         bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else b"" if own.is_control(i)
         else own.id_to_piece(i).replace(MARK, " ").encode() for i in range(own.get_piece_size())]
 
+    table = pa.array(pieces, pa.large_binary())
+
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = []
-            for row in batch:
-                text = b"".join([pieces[i] for i in row.as_py() or ()])
-                found.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
-            yield pa.array(found, pa.string())
+            for s in range(0, len(batch), 256):
+                found = []
+                rows = batch.slice(s, 256)
+                joined = table.take(rows.flatten())
+                data = joined.buffers()[2]
+                limits = np.frombuffer(joined.buffers()[1], np.int64)[np.append(0, np.cumsum(rows.value_lengths().fill_null(0).to_numpy()))].tolist()
+                for a, b in zip(limits[:-1], limits[1:], strict=True):
+                    text = data[a:b].to_pybytes() if b > a else b""
+                    found.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+                yield pa.array(found, pa.string())
 
     return texts(ids)
 

@@ -310,6 +310,18 @@ def test_lattice_on_random_segments(spark):
         assert [i for s in cut for i in ids[s]] == library.encode(t), t
 
 
+def test_sentencepiece_writes_no_tables(spark, stored):
+    """The texts travel once, as numbers; neither segments nor their ids are written on the way."""
+    from pathlib import Path
+
+    from rankspark.session import shared_folder
+
+    there = lambda: {str(p) for p in Path(shared_folder(spark).removeprefix("file:")).iterdir()}
+    before = there()
+    assert sentencepiece_lattice.encode(stored, public_tokenizers.path(sentencepiece_lattice.MODEL)).count() == stored.count()
+    assert there() == before
+
+
 def test_sentencepiece_of_nothing(empty):
     assert sentencepiece_lattice.encode(empty, public_tokenizers.path(sentencepiece_lattice.MODEL)).count() == 0
 
