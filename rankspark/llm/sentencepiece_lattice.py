@@ -267,17 +267,19 @@ class _Chunk:
 
     def __init__(self, number: int, ids: list, texts: list[bytes]):
         self.number, self.ids = number, ids
-        data = np.frombuffer(b"".join(texts), np.uint8)
         lengths = np.array([len(t) for t in texts], np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        texts.clear()
         first = (np.cumsum(lengths) - lengths)[lengths > 0]
         begins = data == 32
         begins[1:] &= data[:-1] != 32
         begins[first] = True
         starts = np.flatnonzero(begins)
-        offsets = np.append(starts, len(data)).astype(np.int64)
+        offsets = np.append(starts, len(data))
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         self.sequence = units.indices.to_numpy()
         self.sizes = np.diff(np.searchsorted(starts, np.append(0, np.cumsum(lengths))))
+        del data, begins, starts, offsets
         words = pc.replace_substring(units.dictionary.cast(pa.large_string()), " ", MARK).to_numpy(zero_copy_only=False).tolist()
         cuts, counts = [], np.ones(len(words), np.int32)
         for i, word in enumerate(words):
