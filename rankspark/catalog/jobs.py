@@ -14,13 +14,14 @@ from rankspark.catalog.texts import sql_normalise
 from rankspark.functions import calendar, features, geo, text, tokens
 from rankspark.operators import dictionary, encoding, groups, profile, records
 from rankspark.plans import jobs
-from rankspark.session import materialise, new_path
+from rankspark.session import freed_shuffles, kept, materialise, new_path, scratch
 from rankspark.sources import files, logs, tables
 
 
 def _lines(spark, df, *columns):
     path = new_path(spark, "lines")
-    files.write_lines(df, path, *columns)
+    with freed_shuffles(spark):
+        files.write_lines(df, path, *columns, compression="gzip")
     return files.scan_text(spark, path)
 
 
@@ -50,7 +51,7 @@ def _located(spark, d):
     p = tables.places(spark, d).select("poi_id", F.col("lat").alias("item_lat"), F.col("lng").alias("item_lng"), cell.alias("geo"))
     s = tables.searchers(spark, d).select("uid", "lat", "lng", cell.alias("q_geo"))
     return (
-        tables.impressions(spark, d).join(p, "poi_id").join(s, "uid")
+        tables.impressions(spark, d, p, s)
         .withColumns({"name": name, "addr": addr, "f": features.parse_features(F.col("ltr_features"))})
     )
 
@@ -322,6 +323,17 @@ FROM f JOIN last ON last.search_uid = f.search_uid JOIN f p ON p.search_uid = f.
 
 @check("job_rank_rows", "impressions places searchers", _rank_sql())
 def job_rank_rows(spark, d):
+    with scratch(spark):
+        lines, ids = _rank_lines(spark, d)
+    out = jobs.rank_rows(lines, vocabulary(spark, d), ids)
+    return out.select(
+        "query", "uid_id", "part", "new_label", "poi_id", "pos_poi_id", "n_match", "distance_id",
+        *shown(["query_token_ids", "poi_token_ids", "cross_token_ids", "pos_cross_token_ids"]),
+    )
+
+
+def _rank_lines(spark, d):
+    """Rank lines and the dictionary of their values; these two are kept."""
     # Five passes over the rows follow.
     rows = materialise(_located(spark, d).select(
         "search_uid", "impression_id", "label", "show_pos", "poi_id", "name_address", "item_lat", "item_lng", "category", "layer", "geo",
@@ -334,11 +346,12 @@ def job_rank_rows(spark, d):
     searches = groups.first_by(rows, "search_uid", F.struct(*head), F.struct("show_pos", "impression_id"), "h")
     listed = rows.select("search_uid", "show_pos", "impression_id", item.alias("item"))
     lists = groups.gather(listed, ["search_uid"], [F.col("show_pos"), F.col("impression_id")], F.col("item"))
-    lines = _lines(
-        spark, lists.join(searches, "search_uid"), F.col("h.city_id").cast("string"), "h.query", F.col("h.uid").cast("string"),
-        F.concat_ws("|", "h.lat", "h.lng"), "h.time_text", F.col("h.query_type").cast("string"), "h.q_geo", F.array_join("items", "||"),
-        "search_uid", F.col("page").cast("string"),
-    )
+    with kept():
+        lines = _lines(
+            spark, lists.join(searches, "search_uid"), F.col("h.city_id").cast("string"), "h.query", F.col("h.uid").cast("string"),
+            F.concat_ws("|", "h.lat", "h.lng"), "h.time_text", F.col("h.query_type").cast("string"), "h.q_geo", F.array_join("items", "||"),
+            "search_uid", F.col("page").cast("string"),
+        )
     keys = {"uid": ["uid"], "geo": ["q_geo", "geo"], "poiid": ["poi_id"], "cate": ["category"], "layer": ["layer"]}
     counts = dictionary.value_counts(rows, {k: [F.col(c) for c in cs] for k, cs in keys.items()})
     fixed = dictionary.value_counts(rows, {
@@ -346,11 +359,8 @@ def job_rank_rows(spark, d):
     })
     unknown = dictionary.unknown_rows(rows, [*keys, "qtype", "hour"])
     ids = dictionary.number(counts.unionByName(fixed).unionByName(unknown))
-    out = jobs.rank_rows(lines, vocabulary(spark, d), ids)
-    return out.select(
-        "query", "uid_id", "part", "new_label", "poi_id", "pos_poi_id", "n_match", "distance_id",
-        *shown(["query_token_ids", "poi_token_ids", "cross_token_ids", "pos_cross_token_ids"]),
-    )
+    with kept():
+        return lines, materialise(ids, "ids")
 
 
 # Rows of these layers have no features, and a third of the items are in no index.

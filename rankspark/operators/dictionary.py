@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankspark.fields import FieldSpec
 from rankspark.functions import features
 from rankspark.operators.skew import sorted_positions
-from rankspark.session import materialise, new_path
+from rankspark.session import freed_shuffles, materialise, new_path
 
 UNKNOWN = "UNK"
 
@@ -108,7 +108,8 @@ def look_up(
     spark = rows.sparkSession
     # By field, so that each join sees the size of its own field's entries.
     path = new_path(spark, "dictionary")
-    dictionary.select("dict_key", "value", "idx").write.partitionBy("dict_key").parquet(path)
+    with freed_shuffles(spark):
+        dictionary.select("dict_key", "value", "idx").write.partitionBy("dict_key").parquet(path)
     dictionary = spark.read.schema("value string, idx int, dict_key string").parquet(path)
     known = {
         r.dict_key: r for r in dictionary.where(F.col("dict_key").isin([k for _, k in fields.values()])).groupBy("dict_key").agg(

@@ -51,6 +51,21 @@ def split_repeated(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | No
     return attach(rows, repeated, [key], "left_anti"), attach(rows, repeated, [key], "left_semi")
 
 
+def split_hot_groups(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary groups, rows of hot groups or None) of written rows; a null key is a key like any other."""
+    total = rows.count()
+    if total < hot_rows:
+        return rows, None
+    names = {k: f"_key_{k}" for k in keys}
+    hot = rows.groupBy(*keys).count().where(F.col("count") >= max(hot_rows, int(total * HOT_SHARE)))
+    hot = materialise(hot.select(*keys), "hot-groups").withColumnsRenamed(names)
+    if not hot.head(1):
+        return rows, None
+    # At most 1 / HOT_SHARE groups, as counted.
+    hot, same = F.broadcast(hot), reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    return rows.join(hot, same, "left_anti"), rows.join(hot, same, "left_semi")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """First ``k`` rows per group; each map task passes on at most ``k`` rows of a group."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -85,9 +100,20 @@ def sorted_positions(
     )
 
 
-def group_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "position") -> DataFrame:
-    """1-based position within each group, by one sort for groups of any size; the rows are evaluated once."""
-    return sorted_positions(materialise(df, "rows"), keys, order, out)
+def group_positions(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "position", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """1-based position within each group of any size; the rows are evaluated once.
+
+    Groups are numbered where one exchange brings their rows together, and stay there by ``keys``;
+    those with a large share of all rows are numbered by one sort over several tasks.
+    """
+    rows = materialise(df, "rows")
+    ordinary, hot = split_hot_groups(rows, keys, hot_rows) if keys else (None, rows)
+    if ordinary is None:
+        return sorted_positions(rows, keys, order, out)
+    numbered = ordinary.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return numbered if hot is None else numbered.unionByName(sorted_positions(hot, keys, order, out))
 
 
 def running_sums(

@@ -40,12 +40,12 @@ def load_feature_stats(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_lines(df: DataFrame, path: str, *columns: Column, partitions: int | None = None) -> None:
+def write_lines(df: DataFrame, path: str, *columns: Column, partitions: int | None = None, compression: str = "none") -> None:
     """Tab-separated text lines, in ``partitions`` files when given."""
     lines = df.select(F.concat_ws("\t", *columns).alias("value"))
     if partitions:
         lines = lines.repartition(partitions)
-    lines.write.text(path)
+    lines.write.option("compression", compression).text(path)
 
 
 def write_compact(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:

@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.session import freed_shuffles
+
 # Fixed value: a day known to be bad in the log, for ``skip_days``.
 BAD_DAYS = ("20230324",)
 
@@ -16,7 +18,8 @@ BAD_DAYS = ("20230324",)
 def write_log(log: DataFrame, path: str) -> None:
     """Store the log by day and country. Rebalancing gives few files per partition and
     still splits a partition that is far larger than the others."""
-    log.hint("rebalance", "dt", "country_code").write.partitionBy("dt", "country_code").parquet(path)
+    with freed_shuffles(log.sparkSession):
+        log.hint("rebalance", "dt", "country_code").write.partitionBy("dt", "country_code").option("compression", "zstd").parquet(path)
 
 
 def scan_log(
