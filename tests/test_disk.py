@@ -18,6 +18,12 @@ def test_positions_of_hot_groups_equal_those_of_ordinary_ones(spark):
     assert got[0] == got[1] and len(got[0]) == 90
 
 
+def test_first_items_of_hot_groups_equal_those_of_ordinary_ones(spark):
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else "a" if i < 40 else f"k{i % 5}", i % 3) for i in range(90)], "id int, k string, item int")
+    found = lambda n: sorted(map(str, groups.dedup_items(rows, "k", "item", [F.col("id")], n).collect()))
+    assert found(8) == found(skew.HOT_ROWS) and len(found(8)) == 21
+
+
 def exchanges(df, kind="hashpartitioning"):
     return df._jdf.queryExecution().executedPlan().toString().count(f"Exchange {kind}")
 
@@ -27,6 +33,11 @@ def test_groups_are_gathered_with_one_exchange(spark):
     assert exchanges(groups.gather(rows, ["k"], [F.col("id")], F.col("id"), page_rows=4)) == 1
 
 
+def test_first_items_and_lengths_take_one_exchange(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 50).alias("k"), (F.col("id") % 3).alias("item"))
+    assert exchanges(groups.dedup_items(rows, "k", "item", [F.col("id")])) == 1
+
+
 def test_scratch_tables_go_and_kept_ones_stay(spark):
     before = spark.conf.get(session.FREE_SHUFFLES, None)
     with session.scratch(spark):
