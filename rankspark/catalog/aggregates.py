@@ -37,8 +37,8 @@ WITH n AS (SELECT search_uid, impression_id, show_pos, (row_number() OVER (PARTI
 SELECT search_uid, page, string_agg(impression_id, ',' ORDER BY show_pos, impression_id) AS items FROM n GROUP BY search_uid, page""")
 def collect_group(spark, d):
     g = groups.gather(
-        tables.impressions(spark, d), ["search_uid"], [F.col("show_pos"), F.col("impression_id")],
-        F.col("impression_id"), page_rows=4,
+        tables.impressions(spark, d).select("search_uid", "show_pos", "impression_id"), ["search_uid"],
+        [F.col("show_pos"), F.col("impression_id")], F.col("impression_id"), page_rows=4,
     )
     return g.withColumn("items", ints("items"))
 

@@ -38,6 +38,16 @@ def test_first_items_and_lengths_take_one_exchange(spark):
     assert exchanges(groups.dedup_items(rows, "k", "item", [F.col("id")])) == 1
 
 
+@pytest.mark.parametrize("query, columns", [
+    ("collect_group", {"search_uid", "show_pos", "impression_id"}), ])
+def test_only_used_columns_are_written(spark, small, monkeypatch, query, columns):
+    written, real = [], session.materialise
+    for module in (skew, groups):
+        monkeypatch.setattr(module, "materialise", lambda df, label="table": written.append((label, set(df.columns))) or real(df, label))
+    catalog.load()[0][query](spark, small)
+    assert [c for label, c in written if label == "rows"] == [columns]
+
+
 def test_scratch_tables_go_and_kept_ones_stay(spark):
     before = spark.conf.get(session.FREE_SHUFFLES, None)
     with session.scratch(spark):
