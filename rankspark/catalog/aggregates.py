@@ -27,7 +27,8 @@ WITH f AS (SELECT * FROM impressions QUALIFY row_number() OVER (PARTITION BY sea
 SELECT search_uid, layer, impression_id, count(*) OVER (PARTITION BY search_uid) AS group_len FROM f""")
 def dedup_items(spark, d):
     order = [F.col("show_pos"), F.col("impression_id")]
-    return groups.dedup_items(tables.impressions(spark, d), "search_uid", "layer", order).select(
+    im = tables.impressions(spark, d).select("search_uid", "layer", "show_pos", "impression_id")
+    return groups.dedup_items(im, "search_uid", "layer", order).select(
         "search_uid", "layer", "impression_id", "group_len"
     )
 
