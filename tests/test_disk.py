@@ -40,7 +40,7 @@ def test_first_items_and_lengths_take_one_exchange(spark):
 
 @pytest.mark.parametrize("query, columns", [
     ("collect_group", {"search_uid", "show_pos", "impression_id"}), ("dedup_items", {"search_uid", "layer", "show_pos", "impression_id"}),
-    ])
+    ("hard_negative_slice", {"uid", "impression_id", "score"})])
 def test_only_used_columns_are_written(spark, small, monkeypatch, query, columns):
     written, real = [], session.materialise
     for module in (skew, groups):
