@@ -103,10 +103,16 @@ def job_gbdt_samples(spark, d):
 
 
 def _pair_job(spark, d, keep=(), prepare=lambda df: df, trees=True):
+    with scratch(spark):
+        return _pairs_of_rows(spark, d, keep, prepare, trees)
+
+
+def _pairs_of_rows(spark, d, keep, prepare, trees):
     # Counts, statistics, trees and pairs all pass over the rows, so they are joined and parsed once.
     f = features.parse_features(F.col("ltr_features"))
+    texts = ["query", "name_address"] if keep else []
     rows = materialise(tables.impressions(spark, d).select(
-        "search_uid", "impression_id", "uid", "poi_id", "layer", "query", "name_address", "label", "show_pos", f.alias("f")), "typed")
+        "search_uid", "impression_id", "uid", "poi_id", "layer", *texts, "label", "show_pos", f.alias("f")), "typed")
     counts = dictionary.value_counts(
         rows, {"uid": [F.col("uid")], "poiid": [F.col("poi_id")], "layer": [F.col("layer")]}
     )
@@ -119,7 +125,9 @@ def _pair_job(spark, d, keep=(), prepare=lambda df: df, trees=True):
     # One row per feature index: a fixed number.
     table = {r.idx: (r.median, r.low) for r in stats.collect()}
     fields = {"uid_id": ("uid", "uid"), "poi_idx": ("poi_id", "poiid"), "layer_id": ("layer", "layer")}
-    return jobs.pair_samples(prepare(rows), "search_uid", ids, fields, model, table, keep)
+    ready = prepare(rows)
+    with kept():
+        return jobs.pair_samples(ready, "search_uid", ids, fields, model, table, keep)
 
 
 @check("job_pair_samples")

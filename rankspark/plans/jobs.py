@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankspark.fields import ITEM_FIELDS, QUERY_FIELDS
 from rankspark.functions import calendar, features, geo, text, tokens
 from rankspark.operators import dictionary, encoding, groups, models, pairs, records, similarity, skew
-from rankspark.session import bucketed, materialise
+from rankspark.session import bucketed, kept, materialise, scratch
 
 
 SHORT = tokens.SHORT_TOKEN_LENGTH
@@ -80,19 +80,23 @@ def pair_samples(
     """Ids, leaves, tree score and scaled features of each item, with those of the search's
     top item in front. Without a tree model (None), leaves and score are left out.
 
-    ``stats``: feature index -> (median, minimum); these features are scaled.
+    ``stats``: feature index -> (median, minimum); these features are scaled. The rows are scored and
+    written once, with the columns of the output alone.
     """
-    coded = dictionary.look_up(rows, ids, id_fields)
-    scored = coded if tree_model is None else models.with_leaves(tree_model, coded)
+    scored = rows if tree_model is None else models.with_leaves(tree_model, rows)
     scaled = F.array(*[
         features.median_ratio_log(
             F.coalesce(F.try_element_at("f", F.lit(i)), F.lit(0.0)), F.lit(float(median)), F.lit(float(low))
         )
         for i, (median, low) in sorted(stats.items())
     ])
-    ready = scored.withColumn("scaled", scaled)
-    columns = [*id_fields, *([] if tree_model is None else ["leaves", "tree_score"]), "scaled", "label", *keep]
-    return pairs.top_with_all(ready, key, columns)
+    made = [*([] if tree_model is None else ["leaves", "tree_score"]), "scaled", "label", *keep]
+    used = dict.fromkeys([key, "show_pos", "impression_id", *[column for column, _ in id_fields.values()], *made])
+    with scratch(rows.sparkSession):
+        coded = dictionary.look_up(scored.withColumn("scaled", scaled).select(*used), ids, id_fields)
+        with kept():
+            ready = materialise(coded.select(*dict.fromkeys([key, "show_pos", "impression_id", *id_fields, *made])), "ready")
+    return pairs.top_with_all(ready, key, [*id_fields, *made])
 
 
 # ---------------------------------------------------------------- retrieval samples

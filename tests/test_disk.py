@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from rankspark import catalog, session
 from rankspark.catalog import jobs as job_queries
-from rankspark.operators import groups, skew
+from rankspark.operators import encoding, groups, skew
+from rankspark.plans import jobs as plans
 from rankspark.sources import tables
 
 
@@ -81,3 +82,18 @@ def test_items_and_users_are_joined_before_the_rows(spark, small):
     # The outermost join brings the rows to their searches; nothing deals them out after it.
     assert "l_orderkey" in next(line for line in wide.split("\n") if "Join Inner" in line)
     assert own.count() == tables.impressions(spark, small).count()
+
+
+def left_by(spark, make):
+    """Labels of the tables that ``make`` leaves in the shared folder."""
+    folder = Path(session.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    make()
+    return sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before)
+
+
+def test_pair_jobs_leave_only_rows_with_used_columns(spark, small, monkeypatch):
+    written, real = [], session.materialise
+    monkeypatch.setattr(plans, "materialise", lambda df, label="table": written.append(df.columns) or real(df, label))
+    assert left_by(spark, lambda: job_queries.job_pair_samples(spark, small)) == ["per-key", "ready"]
+    assert written == [["search_uid", "show_pos", "impression_id", "uid_id", "poi_idx", "layer_id", "leaves", "tree_score", "scaled", "label"]]
