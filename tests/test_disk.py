@@ -97,3 +97,7 @@ def test_pair_jobs_leave_only_rows_with_used_columns(spark, small, monkeypatch):
     monkeypatch.setattr(plans, "materialise", lambda df, label="table": written.append(df.columns) or real(df, label))
     assert left_by(spark, lambda: job_queries.job_pair_samples(spark, small)) == ["per-key", "ready"]
     assert written == [["search_uid", "show_pos", "impression_id", "uid_id", "poi_idx", "layer_id", "leaves", "tree_score", "scaled", "label"]]
+
+
+def test_multitask_buckets_are_all_that_stays(spark, small):
+    assert left_by(spark, lambda: job_queries.job_multitask_pairs(spark, small)) == ["searches"]
