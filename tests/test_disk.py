@@ -101,3 +101,8 @@ def test_pair_jobs_leave_only_rows_with_used_columns(spark, small, monkeypatch):
 
 def test_multitask_buckets_are_all_that_stays(spark, small):
     assert left_by(spark, lambda: job_queries.job_multitask_pairs(spark, small)) == ["searches"]
+
+
+def test_ranking_rows_are_joined_once_for_trees(spark, small):
+    for query in ("gbt_train", "gbt_leaves"):
+        assert not any("lineitem" in f for f in catalog.load()[0][query](spark, small).inputFiles())
