@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankspark.catalog.registry import check, ints, scaled
 from rankspark.functions import address, calendar, features, text
 from rankspark.operators import similarity, skew
-from rankspark.session import materialise
+from rankspark.session import kept, materialise, scratch
 from rankspark.sources import tables
 
 # Pieces of SQL used by several checks.
@@ -234,14 +234,17 @@ SELECT doc_id, gram, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_words, ro
 def tfidf_terms(spark, d):
     docs = tables.texts(spark, d)
     words = text.words_of(F.lower("text"))
-    parts = [
-        similarity.tfidf(docs, "doc_id", terms).withColumn("gram", F.lit(n))
-        for n, terms in ((1, words), (2, text.word_bigrams(words)))
-    ]
-    return parts[0].unionByName(parts[1]).groupBy("doc_id", "gram").agg(
-        F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_words"),
-        F.round(F.sum("weight"), 4).alias("total_weight"), F.round(F.max("weight"), 6).alias("max_weight"),
-    )
+    parts = []
+    for n, terms in ((1, words), (2, text.word_bigrams(words))):
+        # The counts of one kind of term go before those of the next are made.
+        with scratch(spark):
+            totals = similarity.tfidf(docs, "doc_id", terms).groupBy("doc_id", F.lit(n).alias("gram")).agg(
+                F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_words"),
+                F.round(F.sum("weight"), 4).alias("total_weight"), F.round(F.max("weight"), 6).alias("max_weight"),
+            )
+            with kept():
+                parts.append(materialise(totals, "totals"))
+    return parts[0].unionByName(parts[1])
 
 
 # Term tables of every distinct text, for queries, item names and addresses.

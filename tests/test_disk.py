@@ -103,6 +103,13 @@ def test_multitask_buckets_are_all_that_stays(spark, small):
     assert left_by(spark, lambda: job_queries.job_multitask_pairs(spark, small)) == ["searches"]
 
 
+def test_term_counts_go_when_documents_are_summed(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "s", "a b a"), (2, "en", "s", "b c")], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    assert left_by(spark, lambda: made.append(catalog.load()[0]["tfidf_terms"](spark, str(tmp_path)))) == ["totals", "totals"]
+    assert sorted((r.doc_id, r.gram, r.n_terms, r.n_words) for r in made[0].collect()) == [(1, 1, 2, 3), (1, 2, 2, 2), (2, 1, 2, 2), (2, 2, 1, 1)]
+
+
 def test_ranking_rows_are_joined_once_for_trees(spark, small):
     for query in ("gbt_train", "gbt_leaves"):
         assert not any("lineitem" in f for f in catalog.load()[0][query](spark, small).inputFiles())
