@@ -12,7 +12,7 @@ from rankspark.catalog.records import SQL_NAME
 from rankspark.catalog.registry import check, ints, scaled, scaled_text
 from rankspark.catalog.texts import sql_normalise
 from rankspark.functions import calendar, features, geo, text, tokens
-from rankspark.operators import dictionary, encoding, groups, profile, records
+from rankspark.operators import dictionary, encoding, groups, profile, records, similarity
 from rankspark.plans import jobs
 from rankspark.session import freed_shuffles, kept, materialise, new_path, scratch
 from rankspark.sources import files, logs, tables
@@ -140,11 +140,12 @@ def job_pair_samples(spark, d):
 
 
 def _with_tokens(spark, d):
-    def add(rows):
-        coded = encoding.with_ids(rows, {"query": "_q", "name_address": "_n"}, vocabulary(spark, d))
-        return coded.withColumn("token_ids", tokens.encode_pair(F.col("_q"), F.col("_n"), 60).token_ids)
+    """Adds the shown token ids of written rows, made once for each distinct pair of texts."""
+    def lists(texts):
+        coded = encoding.with_ids(texts, {"query": "_q", "name_address": "_n"}, vocabulary(spark, d))
+        return coded.select("query", "name_address", ints(tokens.encode_pair(F.col("_q"), F.col("_n"), 60).token_ids).alias("token_ids"))
 
-    return add
+    return lambda rows: similarity.per_texts(rows, ["query", "name_address"], lists)
 
 
 SQL_PAIR_KEYS = {"uid_id": ("uid", "uid"), "poi_idx": ("poiid", "poi_id"), "layer_id": ("layer", "layer")}
@@ -171,14 +172,14 @@ def job_pair_columns(spark, d):
     both = lambda c: (c, f"pos_{c}")
     return out.select(
         "search_uid", "impression_id", *both("label"), *[c for n in SQL_PAIR_KEYS for c in both(n)],
-        *[scaled(c).alias(c) for c in both("scaled")], *shown(both("token_ids")))
+        *[scaled(c).alias(c) for c in both("scaled")], *both("token_ids"))
 
 
 @check("job_token_pair_samples")
 def job_token_pair_samples(spark, d):
     out = _pair_job(spark, d, ["token_ids"], _with_tokens(spark, d))
     return out.select(
-        "search_uid", "impression_id", "poi_idx", "pos_poi_idx", *shown(["token_ids", "pos_token_ids"]),
+        "search_uid", "impression_id", "poi_idx", "pos_poi_idx", "token_ids", "pos_token_ids",
         F.round("tree_score", 6).alias("tree_score"),
     )
 

@@ -113,3 +113,11 @@ def test_term_counts_go_when_documents_are_summed(spark, tmp_path):
 def test_ranking_rows_are_joined_once_for_trees(spark, small):
     for query in ("gbt_train", "gbt_leaves"):
         assert not any("lineitem" in f for f in catalog.load()[0][query](spark, small).inputFiles())
+
+
+def test_rows_of_one_text_pair_are_encoded_once(spark, small, monkeypatch):
+    seen, real = [], encoding.with_ids
+    monkeypatch.setattr(encoding, "with_ids", lambda rows, *rest: seen.append(rows) or real(rows, *rest))
+    rows = spark.createDataFrame([(i, "goldenrod", "x|y" if i else None) for i in range(6)], "id int, query string, name_address string")
+    got = job_queries._with_tokens(spark, small)(rows).collect()
+    assert seen[0].count() == 2 and len(got) == 6 and len({r.token_ids for r in got}) == 2
